@@ -63,11 +63,11 @@ class Signer:
     """n-gram hashes, set digests and band hashes of texts."""
 
     def __init__(self, bands: int, rows: int, n: int = N, seed: int = 11):
-        rng = np.random.default_rng(seed)
         self.bands, self.rows, self.n = bands, rows, n
+        self.of_word = np.random.default_rng(seed + 1).integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)  # digests must not depend on bands and rows
+        rng = np.random.default_rng(seed)
         self.a = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
         self.b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-        self.of_word = rng.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)
         self.of_row = rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
         self.known: dict[bytes, int] = {}
 
