@@ -70,3 +70,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_toxicity, op4_chat_formatting, op5_bpe, op6_mixing, op7_quality_classifier, op8_language_id, op9_url_filter, op10_ngram_jaccard_join)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
