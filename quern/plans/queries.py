@@ -331,7 +331,12 @@ def numeric_features(spark, d):
     return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in flags.items()], rt.channel_weights(flags["is_numeric_heavy"])[0].alias("dense_weight"))
 
 
-_TOPICS = {"advisory": [r"\bthe\b", r"\bde\b"], "comparison": [r"\band\b.*\bof\b"], "prediction": [r"\bfor\b"], "unsupported": [r"\bder\b.*\bdie\b"], "factual": [r"\bque\b", r"\bto\b"]}
+def _word(w: str) -> str:
+    """A whole word in either engine, whatever its \b takes for letters."""
+    return rf"(^|[^\p{{L}}\p{{N}}_]){w}([^\p{{L}}\p{{N}}_]|$)"
+
+
+_TOPICS = {"advisory": [_word("the"), _word("de")], "comparison": [_word("and") + ".*" + _word("of")], "prediction": [_word("for")], "unsupported": [_word("der") + ".*" + _word("die")], "factual": [_word("que"), _word("to")]}
 
 
 def _intent_sql(patterns: dict[str, list[str]]) -> str:
