@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import lexicons as lx
 from quern.functions.text import collapse
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which Spark lacks."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")

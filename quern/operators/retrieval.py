@@ -35,7 +35,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str
     if got.num_rows > max_queries:
         raise ValueError(f"more than {max_queries} queries; ask them in blocks")
     ids = np.array(got.column(0).to_pylist(), np.int64)
-    q = np.array(got.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
+    q = np.array(got.column(1).to_pylist(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
     q_norm = np.sqrt((q * q).sum(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.functions.html import html_sections, section_text, tidy_sections
 from quern.functions.urls import slug, title_from_url
 from quern.functions.vectors import hash_encoder
+from quern.operators.ranking import distributed_rank
 
 CLEANER_VERSION = "2.3-v1"
 
@@ -30,10 +31,10 @@ def clean(docs: DataFrame) -> DataFrame:
 def chunk(docs: DataFrame, positive: list[str] | None = None, negative: list[str] | None = None, threshold: float = 0.25, fallback_threshold: float = 0.2) -> DataFrame:
     """chunk_id, text and metadata. A document without a relevant section is cut from its relevant sentences instead.
 
-    Both ways are decided inside a document's row, so there is no join; the number
-    of a document is its rank by url.
+    Both ways are decided inside a document's row, without a join; the number of a
+    document is its place in a fixed order of the urls.
     """
-    numbered = docs.withColumn("doc_no", F.row_number().over(Window.orderBy("url")))
+    numbered = distributed_rank(docs, "url", "doc_no")
     score = lambda c: tx.relevance_score(c, positive, negative)
     section = lambda s, i: F.struct((i + 1).alias("no"), s["heading"].alias("heading"), tx.collapse(F.array_join(s["content"], " ")).alias("text"))
     good = F.filter(F.transform("sections", section), lambda s: tx.is_relevant(s["text"], threshold, positive, negative))
