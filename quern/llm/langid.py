@@ -11,15 +11,17 @@ The score falls with the ratio of the best to the second-best size; a text whose
 margin is below ``min_margin`` is marked ``rejected`` and keeps its best guess.
 
 Bounds: ``docs_per_lang`` documents of ``max_langs`` languages are read for
-training, and ``dict_bytes`` of each language kept.
+training, and ``dict_bytes`` of each language kept. Equal sizes (and, in texts of
+under 64 bytes, sizes a byte apart) go to the dictionary that has the words.
 
 Defined results: null text and text without a letter are ``und`` with score 0;
-without training rows every text is ``und``; ties go to the first language by
-code point; rows with null lang teach nothing.
+without training rows every text is ``und``; remaining ties go to the first
+language by code point; rows with null lang teach nothing.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -29,6 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SHORT = 64
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -62,6 +65,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 class Compressors:
     def __init__(self, dictionaries: dict[str, bytes], piece: int = 2048, level: int = 7):
         self.langs, self.piece = sorted(dictionaries), piece
+        self.contents = [b" " + dictionaries[lang] + b" " for lang in self.langs]
         self.by = []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -73,14 +77,20 @@ class Compressors:
         pieces = [raw[k : k + self.piece] for k in range(0, len(raw), self.piece)]
         return [sum(len(c.compress(p)) for p in pieces) for c in self.by]
 
+    def known_words(self, raw: bytes, k: int) -> float:
+        """How common the words are in a dictionary; decides between equal sizes only."""
+        return sum(math.log1p(self.contents[k].count(b" " + w + b" ")) for w in raw.split())
+
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """lang, score, margin (how much smaller the best is than the second, as a share)."""
         raw = plain(text) if text else b""
         if not raw or not self.langs:
             return "und", 0.0, 0.0
         sizes = self.sizes(raw)
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        second = min((s for k, s in enumerate(sizes) if k != best), default=2 * sizes[best])
+        least = min(sizes) + (len(raw) < SHORT)  # a byte says nothing about so short a text
+        ties = [k for k, s in enumerate(sizes) if s <= least]
+        best = ties[0] if len(ties) == 1 else max(ties, key=lambda k: (self.known_words(raw, k), -sizes[k], -k))
+        second = max(sizes[best], min((s for k, s in enumerate(sizes) if k != best), default=2 * sizes[best]))
         margin = 1 - sizes[best] / second
         return self.langs[best], min(1.0, 0.5 + 2.5 * margin), margin
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut
+from quern.llm.common import cut, free_name
 from quern.llm.components import connected_components
 
 N = 5
@@ -51,7 +51,10 @@ def choose_bands(threshold: float, target_recall: float, max_hashes: int = 128)
     """(bands, rows): the most rows per band, so the fewest false candidates, that reach the recall within max_hashes."""
     best = None
     for rows in range(1, max_hashes + 1):
-        bands = 1 if threshold >= 1 else math.ceil(math.log(1 - target_recall) / math.log(1 - threshold**rows))
+        miss = math.log1p(-(threshold**rows)) if threshold < 1 else -math.inf
+        if not miss:  # a shared band is too rare for any number of them
+            break
+        bands = max(1, math.ceil(math.log(1 - target_recall) / miss))
         if bands * rows <= max_hashes:
             best = bands, rows
     if best is None:
@@ -243,5 +246,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stay, one of each class: its smallest id; rows without an id all stay. All columns."""
-    gone = ngram_join(docs, id_col, text_col, **options).where("class_id <> " + f"`{id_col}`").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = ngram_join(docs, id_col, text_col, **options).where(F.col("class_id") != F.col(f"`{id_col}`")).select(F.col(f"`{id_col}`").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
