@@ -16,7 +16,7 @@ from quern.operators import answers, evaluate, ops, policy
 from quern.operators import resolve as rs
 from quern.operators import retrieval as rt
 from quern.plans import answer as pl
-from quern.plans import ingest
+from quern.plans import generate, ingest
 from quern.sources import fetch
 from quern.sources import io as sio
 from quern.streaming import streams
@@ -455,6 +455,69 @@ def answer_pipeline(spark, d):
     return pl.answer(turns, best, banned=_BANNED, pii=lx.SYNTHETIC_PII, intents=_TOPICS)
 
 
+_ROUTE = f"""r AS (SELECT conv_id, turn, text, trim(coalesce(text, '')) = '' AS blank, len(list_filter({_PII_TYPES}, lambda x: x IS NOT NULL)) > 0 AS has_pii,
+CASE WHEN {' OR '.join(f"regexp_matches(text, {lit('(?i-s)' + p)})" for p in _TOPICS['unsupported'])} THEN 'unsupported' WHEN {' OR '.join(f"regexp_matches(text, {lit('(?i-s)' + p)})" for p in _TOPICS['advisory'])} THEN 'advisory' WHEN {' OR '.join(f"regexp_matches(text, {lit('(?i-s)' + p)})" for p in _TOPICS['comparison'])} THEN 'comparison' WHEN {' OR '.join(f"regexp_matches(text, {lit('(?i-s)' + p)})" for p in _TOPICS['prediction'])} THEN 'prediction' ELSE 'factual' END AS intent FROM conversations)"""
+
+
+@query(f"WITH {_ROUTE} SELECT conv_id, turn, CASE WHEN blank THEN 'error' WHEN has_pii THEN 'pii_block' WHEN intent <> 'factual' THEN 'refusal' ELSE 'retrieve' END AS route FROM r")
+def query_route(spark, d):
+    return pl.route(table(spark, d, "conversations"), "text", lx.SYNTHETIC_PII, _TOPICS).select("conv_id", "turn", "route")
+
+
+@query(f"WITH {_ROUTE}, m AS (SELECT CASE WHEN blank THEN 'error' WHEN has_pii THEN 'pii_block' WHEN intent <> 'factual' THEN 'refusal' ELSE 'retrieve' END AS route FROM r) SELECT route, count(*) AS n, round(count(*) / (SELECT count(*) FROM m), 6) AS share FROM m GROUP BY 1")
+def route_summary(spark, d):
+    r = query_route(spark, d)
+    total = r.agg(F.count(F.lit(1)).alias("total"))
+    return r.groupBy("route").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("route", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: w IN ('the', 'de', 'der')))), ',') AS tokens, contains(lower(text), 'ing') OR contains(lower(text), 'que') AS is_specific FROM conversations")
+def domain_tokens(spark, d):
+    low = F.lower("text")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(qn.domain_tokens(low, ["the", "de", "der"], {"zz": "no-such-word"}), ",").alias("tokens"), qn.is_entity_specific(low, ["ing", "que"]).alias("is_specific"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.08::DOUBLE WHEN 1 THEN 0.12 WHEN 2 THEN 0.09 ELSE 0.1 END AS threshold, CASE doc_id % 4 WHEN 0 THEN 0.025::DOUBLE WHEN 1 THEN 0.075 WHEN 2 THEN 0.045 ELSE 0.05 END AS margin FROM documents")
+def adaptive_thresholds(spark, d):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("numeric", "comparison", "specific", "other")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    t, m = rt.adaptive_thresholds(kind)
+    return table(spark, d, "documents").select("doc_id", F.round(t, 6).alias("threshold"), F.round(m, 6).alias("margin"))
+
+
+@query(rf"""WITH c AS (SELECT doc_id, source, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS pieces FROM documents)
+SELECT doc_id, sha256(array_to_string(pieces[1:2], ' ') || chr(10) || chr(10) || 'Source: ' || source || chr(10) || chr(10) || 'Last updated from sources: 2024-01-01') AS answer_sha FROM c""")
+def fallback_answer(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(generate.fallback(F.col("text"), F.col("source"), F.lit("2024-01-01")), 256).alias("answer_sha"))
+
+
+@query(f"""WITH {_DENSE}, p AS (SELECT query_id, string_agg('[' || rank || '] ' || 'chunk ' || chunk_id, chr(10) ORDER BY rank) AS context FROM dense WHERE rank <= 3 GROUP BY query_id)
+SELECT query_id, {lit(generate.INSTRUCTION)} || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: about ' || query_id AS prompt FROM p""")
+def prompt_assembly(spark, d):
+    r = _dense(spark, d).select("query_id", "rank", F.concat(F.lit("chunk "), "chunk_id").alias("text"), F.concat(F.lit("about "), "query_id").alias("query"))
+    return generate.prompts(r)
+
+
+@query(f"WITH {_CITED} SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'refusal' WHEN 1 THEN 'answer' ELSE 'error' END AS type, nullif(regexp_extract(text, '(https?://[^\\s<>\"''\\)]+)', 1), '') AS source_url FROM cited".replace("\\\\", "\\"))
+def ui_format(spark, d):
+    method = F.element_at(F.array(F.lit("refusal"), F.lit("extractive"), F.lit("broken")), (F.col("page_id") % 3 + 1).cast("int"))
+    c = answers.ui_columns(method, F.col("text"))
+    return _cited(spark, d).select("page_id", c["type"].alias("type"), c["source_url"].alias("source_url"))
+
+
+@query(rf"WITH {_TURNS} SELECT conv_id, turn, len(list_filter(list_distinct(regexp_extract_all(s, '[0-9]+(?:\.[0-9]+)?')), lambda x: NOT list_contains(regexp_extract_all(q, '[0-9]+(?:\.[0-9]+)?'), x))) = 0 AS faithful FROM turns")
+def numeric_fidelity(spark, d):
+    return _turn_pairs(spark, d).select("conv_id", "turn", answers.numeric_fidelity(F.col("s"), F.col("q")).alias("faithful"))
+
+
+@query(r"""WITH p AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS part FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, count(*) AS parts, bool_or(regexp_matches(part, '(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|$)')) AND NOT bool_and(regexp_matches(part, '(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|$)')) AS mixed FROM p GROUP BY ALL""")
+def mixed_intents(spark, d):
+    """User turns whose sentences fall into different intents."""
+    parts = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(tx.sentences(F.col("text"))).alias("part"))
+    hit = F.regexp_like("part", F.lit(_word("the")))
+    return parts.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("parts"), (F.bool_or(hit) & ~F.bool_and(hit)).alias("mixed"))
+
+
 # ---------------------------------------------------------------- operations
 @query("""WITH g AS (
  SELECT 'fetch' AS gate, CASE WHEN count(*) FILTER (html IS NOT NULL) < 0.95 * count(*) OR count(*) FILTER (strlen(html) = 0) > 0 THEN 'failed' WHEN count(html) < count(*) THEN 'warning' ELSE 'passed' END AS status, round(count(html) / count(*), 6) AS value, count(*) AS total FROM pages
@@ -511,6 +574,37 @@ def notification_log(spark, d):
     return table(spark, d, "events").select("event_id", ops.notification(F.col("event_type"), m).alias("line"))
 
 
+@query("SELECT sha256(concat_ws(chr(1), trim(text), lang, source)) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicates_with_metadata(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.concat_ws("\u0001", F.trim("text"), "lang", "source").alias("t"))
+    return rows.groupBy(F.sha2("t", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("SELECT round(avg((lang IS NULL)::INT), 6) AS lang_nulls, round(avg((source IS NULL)::INT), 6) AS source_nulls, count(*) FILTER (lang IS NULL OR source IS NULL OR doc_id IS NULL) AS rejected FROM documents")
+def null_metadata_rate(spark, d):
+    missing = lambda c: F.round(F.avg(F.col(c).isNull().cast("int")), 6)
+    return table(spark, d, "documents").agg(missing("lang").alias("lang_nulls"), missing("source").alias("source_nulls"), F.count_if(F.col("lang").isNull() | F.col("source").isNull() | F.col("doc_id").isNull()).alias("rejected"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (url LIKE '%.org%') AS listed, count(*) FILTER (url NOT LIKE '%.org%') AS unlisted FROM pages")
+def approved_difference(spark, d):
+    p = table(spark, d, "pages")
+    ok, rest = sio.gate_urls(p, p.where("url like '%.org%'"))
+    return p.agg(F.count(F.lit(1)).alias("total")).crossJoin(F.broadcast(ok.agg(F.count(F.lit(1)).alias("listed")))).crossJoin(F.broadcast(rest.agg(F.count(F.lit(1)).alias("unlisted"))))
+
+
+@query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(max(value), 4) AS worst FROM events GROUP BY 1")
+def latency_percentiles(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.percentile("value", 0.95), 4).alias("p95"), F.round(F.max("value"), 4).alias("worst"))
+
+
+@query("SELECT user_id, count(*) AS attempts FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 150) GROUP BY 1")
+def retry_reset(spark, d):
+    e = table(spark, d, "events")
+    done = e.where("event_type = 'signup' and value > 150").select("user_id").distinct()
+    return ops.reset_retries(e.where("event_type = 'error'"), done, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts"))
+
+
 # ---------------------------------------------------------------- evaluation
 _JUDGED = "judged AS (SELECT l.doc_id AS query_id, CASE WHEN length(d.text) < 500 THEN 'easy' WHEN length(d.text) < 2000 THEN 'medium' ELSE 'hard' END AS difficulty, l.quality = 1 AS success, l.toxic = 0 AS entity_correct, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'junk' END AS reason FROM labels l JOIN documents d USING (doc_id))"
 
