@@ -84,16 +84,17 @@ def duplicate_groups(texts: DataFrame, id_col: str, col: str = "text") -> DataFr
     return texts.groupBy(F.sha2(F.trim(F.col(col)), 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id")).where("n > 1")
 
 
-def embedding_health(embedded: DataFrame, expected: int, col: str = "embedding") -> DataFrame:
-    """Coverage, lengths and zero vectors, with a status by the number of issues."""
+def embedding_health(embedded: DataFrame, expected: int | None = None, col: str = "embedding") -> DataFrame:
+    """Coverage (of expected chunks, or of the rows), lengths and zero vectors, with a status by the number of issues."""
     e = F.col(col)
     m = embedded.agg(
+        F.count(F.lit(1)).alias("_rows"),
         F.count_if(e.isNotNull()).alias("embedded"),
         F.min(F.size(e)).alias("min_dim"),
         F.max(F.size(e)).alias("max_dim"),
         F.round(F.avg(F.size(e)), 6).alias("avg_dim"),
         F.count_if(F.forall(e, lambda x: F.abs(x) < 1e-10)).alias("zero_vectors"),
-    ).withColumn("coverage", F.round(F.col("embedded") / F.lit(max(expected, 1)), 6))
+    ).withColumn("coverage", F.round(F.col("embedded") / F.greatest(F.col("_rows") if expected is None else F.lit(expected), F.lit(1)), 6)).drop("_rows")
     issues = (F.col("coverage") < 1).cast("int") + (F.col("min_dim") != F.col("max_dim")).cast("int") + (F.col("zero_vectors") > 0).cast("int") + ((F.col("min_dim") < 100) | (F.col("max_dim") > 2000)).cast("int")
     return m.withColumn("issues", F.coalesce(issues, F.lit(4))).withColumn("status", health_status(F.col("issues"), 2))
 

@@ -24,6 +24,21 @@ def ranked(scores: DataFrame, k: int | None = None, by: str = "query_id", score:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+_QUERY_BLOCK = 256
+
+
+def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's k highest scores with their names, smaller names first among equal scores."""
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    row, col = np.nonzero(scores >= least)  # ties at the edge are all in
+    s, n = scores[row, col], names[row, col]
+    order = np.lexsort((n, -s, row))
+    row, s, n = row[order], s[order], n[order]
+    start = np.searchsorted(row, np.arange(len(scores)))
+    keep = (np.arange(len(row)) - start[row]) < k
+    return s[keep].reshape(-1, k), n[keep].reshape(-1, k)
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", max_queries: int = 20_000) -> DataFrame:
     """query_id, chunk_id, score (cosine), rank: exact, one matrix product per Arrow batch.
 
@@ -39,19 +54,22 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str
     q_norm = np.sqrt((q * q).sum(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s, best_i = [np.empty(0)] * len(ids), [np.empty(0, np.int64)] * len(ids)
+        if not len(ids):
+            return
+        # What is kept of each query so far; unused places have score -inf.
+        best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
         for batch in batches:
             rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and len(v) == q.shape[1]]
-            if not rows or not len(ids):
+            if not rows:
                 continue
             c_ids, c = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-            s = np.round(q @ c.T / (q_norm[:, None] * np.sqrt((c * c).sum(1))[None, :] + 1e-8), 12)
-            for j in range(len(ids)):
-                scores, names = np.concatenate([best_s[j], s[j]]), np.concatenate([best_i[j], c_ids])
-                at = np.lexsort((names, -scores))[:k]
-                best_s[j], best_i[j] = scores[at], names[at]
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(b) for b in best_i])), pa.array(np.concatenate(best_i)), pa.array(np.concatenate(best_s))], ["query_id", "chunk_id", "score"])
+            c_norm = np.sqrt((c * c).sum(1))
+            for at in range(0, len(ids), _QUERY_BLOCK):
+                part = slice(at, at + _QUERY_BLOCK)
+                s = np.round(q[part] @ c.T / (q_norm[part, None] * c_norm[None, :] + 1e-8), 12)
+                best_s[part], best_i[part] = _best(np.hstack([best_s[part], s]), np.hstack([best_i[part], np.broadcast_to(c_ids, s.shape)]), k)
+        there = best_s > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(1))), pa.array(best_i[there]), pa.array(best_s[there])], ["query_id", "chunk_id", "score"])
 
     local = corpus.select(F.col(chunk_id).cast("long").alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "query_id long, chunk_id long, score double")
     return ranked(local, k)

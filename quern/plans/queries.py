@@ -217,8 +217,7 @@ def duplicate_groups(spark, d):
 # ---------------------------------------------------------------- pages
 @query(r"SELECT page_id, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS host, sha256(html) AS fingerprint, strlen(html) AS content_length, replace(regexp_replace(url, 'https?://', ''), '/', '_') || '_' || substr(sha256(url), 1, 12) || '.html' AS snapshot FROM pages")
 def fetched_pages(spark, d):
-    p = table(spark, d, "pages")
-    return fetch.from_pages(p).join(p.select("page_id", "url"), "url").select("page_id", ul.host(F.col("url")).alias("host"), F.col("response_fingerprint").alias("fingerprint"), "content_length", ul.snapshot_name(F.col("url")).alias("snapshot"))
+    return fetch.from_pages(table(spark, d, "pages"), "page_id").select("page_id", ul.host(F.col("url")).alias("host"), F.col("response_fingerprint").alias("fingerprint"), "content_length", ul.snapshot_name(F.col("url")).alias("snapshot"))
 
 
 @query("SELECT count(*) AS total_urls, count(html) AS success_count, count(*) - count(html) AS failure_count FROM pages")
@@ -551,8 +550,7 @@ def gate_rollup(spark, d):
 @query("""WITH m AS (SELECT count(embedding) AS embedded, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim, round(avg(len(embedding)), 6) AS avg_dim, count(*) FILTER (len(list_filter(embedding, lambda x: abs(x) >= 1e-10)) = 0) AS zero_vectors, round(count(embedding) / count(*), 6) AS coverage FROM embeddings)
 SELECT *, (coverage < 1)::BIGINT + (min_dim <> max_dim)::BIGINT + (zero_vectors > 0)::BIGINT + (min_dim < 100 OR max_dim > 2000)::BIGINT AS issues FROM m""")
 def embedding_health(spark, d):
-    e = table(spark, d, "embeddings")
-    r = ops.embedding_health(e, e.count()).drop("status")
+    r = ops.embedding_health(table(spark, d, "embeddings")).drop("status")
     return r.select("embedded", long("min_dim").alias("min_dim"), long("max_dim").alias("max_dim"), "avg_dim", "zero_vectors", "coverage", long("issues").alias("issues"))
 
 

@@ -55,11 +55,12 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, bytes]] = http_g
     return urls.select("url").where("url is not null").mapInArrow(run, FETCHED)
 
 
-def from_pages(pages: DataFrame) -> DataFrame:
-    """A table of stored pages (url, html) in the form of fetch()."""
+def from_pages(pages: DataFrame, *keep: str) -> DataFrame:
+    """A table of stored pages (url, html) in the form of fetch(), with further columns to keep."""
     body = F.col("html").cast("binary")
     ok = F.col("html").isNotNull()
     return pages.select(
+        *keep,
         "url",
         F.when(ok, "success").otherwise("failed").alias("fetch_status"),
         F.when(ok, 200).otherwise(0).alias("http_status_code"),
