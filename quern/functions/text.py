@@ -105,3 +105,13 @@ def tokens(text: Column) -> Column:
 
 def sentence_count(text: Column) -> Column:
     return F.when(F.coalesce(F.char_length(text), F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.regexp_count(text, F.lit("[.!?]"))))
+
+
+def flag_true(value: Column) -> Column:
+    """Text flags: true, 1 and yes."""
+    return F.coalesce(F.lower(F.trim(value)).isin("true", "1", "yes"), F.lit(False))
+
+
+def comma_list(value: Column) -> Column:
+    """Items of a comma-separated text, trimmed, empty ones dropped."""
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -76,3 +76,14 @@ def refresh(index: DataFrame, new_chunks: DataFrame, changed: DataFrame) -> Data
 
 def now_text(now: Column) -> Column:
     return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def chunks_per_document(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """url, n_chunks; documents without a chunk are there with 0."""
+    n = chunks.groupBy(F.col("source_url").alias("url")).agg(F.count(F.lit(1)).alias("n"))
+    return docs.select("url").distinct().join(n, "url", "left").select("url", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+
+
+def embedding_summary(embedded: DataFrame) -> DataFrame:
+    """total, embedded, failed, and the number of different dimensions (more than one is an error)."""
+    return embedded.agg(F.count(F.lit(1)).alias("total"), F.count("embedding").alias("embedded"), F.count_if(F.col("embedding").isNull()).alias("failed"), F.count_distinct("embedding_dim").alias("dimensions"))

@@ -517,6 +517,40 @@ def mixed_intents(spark, d):
     return parts.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("parts"), (F.bool_or(hit) & ~F.bool_and(hit)).alias("mixed"))
 
 
+_BAD = _TERMS(_BANNED)
+
+
+@query(rf"""WITH u AS (SELECT conv_id, turn, text, {_URLS} AS urls FROM conversations)
+SELECT conv_id, turn, concat_ws(',', CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN length(text) > 0 AND greatest(1, len(regexp_extract_all(text, '[.!?]'))) > 3 THEN 'too_many_sentences' END, CASE WHEN {_BAD} <> '' THEN 'banned_tokens' END, CASE WHEN len(urls) > 0 THEN 'has_url' END) AS issues FROM u""")
+def extractive_checks(spark, d):
+    c = answers.extractive_checks(F.col("text"), banned=_BANNED)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(c["issues"], ",").alias("issues"))
+
+
+@query(f"""WITH {_ROUTE} SELECT conv_id, turn, 'The query ' || CASE intent WHEN 'advisory' THEN 'asks for advice or a recommendation' WHEN 'comparison' THEN 'asks for a comparison or ranking' WHEN 'prediction' THEN 'asks for a prediction' WHEN 'unsupported' THEN 'is outside the supported topics' ELSE 'asks for facts' END || '.' AS reason FROM r WHERE NOT blank""")
+def refusal_reason(spark, d):
+    t = table(spark, d, "conversations").where("trim(coalesce(text, '')) <> ''")
+    return t.select("conv_id", "turn", policy.refusal_reason(policy.intent_columns(F.col("text"), _TOPICS)["intent"]).alias("reason"))
+
+
+@query("SELECT page_id AS query_id, CASE WHEN page_id % 3 = 0 THEN url WHEN (SELECT count(*) FROM pages WHERE url LIKE 'https%') > 0 THEN (SELECT min(url) FROM pages WHERE url LIKE 'https%') END AS url FROM pages")
+def fallback_urls(spark, d):
+    p = table(spark, d, "pages")
+    q = p.select(F.col("page_id").alias("query_id"), F.concat(F.lit("Page "), "page_id").alias("entity_name"))
+    own = p.where("page_id % 3 = 0").select(F.concat(F.lit("page "), "page_id").alias("key"), "url")
+    return policy.fallback_urls(q, own, p.where("url like 'https%'").select("url"))
+
+
+@query()
+def chunks_per_document(spark, d):
+    return ingest.chunks_per_document(table(spark, d, "pages").select("url"), _chunks(spark, d))
+
+
+@query()
+def embedding_summary(spark, d):
+    return ingest.embedding_summary(ingest.embed(_chunks(spark, d), dim=64))
+
+
 # ---------------------------------------------------------------- operations
 @query("""WITH g AS (
  SELECT 'fetch' AS gate, CASE WHEN count(*) FILTER (html IS NOT NULL) < 0.95 * count(*) OR count(*) FILTER (strlen(html) = 0) > 0 THEN 'failed' WHEN count(html) < count(*) THEN 'warning' ELSE 'passed' END AS status, round(count(html) / count(*), 6) AS value, count(*) AS total FROM pages
