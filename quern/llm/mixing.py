@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD_PATTERN
+from quern.llm.common import WORD_PATTERN, cut
 
 WEIGHTS = (3, 1, 2)
 
@@ -69,7 +69,8 @@ def targets(sizes: DataFrame, share: float = 1.5, max_copies: int = 2, weights:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = 1.5, max_copies: int = 2, weights: tuple[float, ...] = WEIGHTS, blocks: int = 256) -> DataFrame:
     """row (struct of all columns), id, size, source_size, target, copies."""
     rows = _prepared(docs, id_col, text_col, source_col, seed, blocks)
-    counts = rows.groupBy("src", "cls", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    # Used twice below; cut, so that texts are read for it once.
+    counts = cut(rows.groupBy("src", "cls", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
     sizes = counts.groupBy("src").agg(F.sum("words").alias("source_size"))
     order = Window.partitionBy("src").orderBy("cls", "block").rowsBetween(Window.unboundedPreceding, -1)
     plan = counts.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0))).select("src", "cls", "block", "first").join(targets(sizes, share, max_copies, weights), "src")
