@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from quern.functions import query as qn
@@ -31,20 +33,13 @@ def test_relevance(evaluate):
     assert not evaluate(tx.is_relevant(F.lit("fund nav risk")))
 
 
-def brute_chunks(text, low=600, high=900, overlap=150):
-    out, start = [], 0
-    while start < len(text):
-        end = min(len(text), start + high)
-        if end < len(text):
-            cut = max(text[start:end].rfind(d) for d in (". ", "; ", ", "))
-            if cut >= low:
-                end = start + cut + 1
-        if piece := text[start:end].strip():
-            out.append(piece)
-        if end >= len(text):
-            break
-        start = end - overlap
-    return out
+def expected_chunks(text, low=600, high=900, overlap=150):
+    """The rule, recursively: the head up to its last late delimiter, then the rest from `overlap` before the cut."""
+    if len(text) <= high:
+        return [text.strip()] if text.strip() else []
+    late = [m.start() + 1 for m in re.finditer("[.;,] ", text[:high]) if m.start() >= low]
+    cut = late[-1] if late else high
+    return [text[:cut].strip()] + expected_chunks(text[cut - overlap :], low, high, overlap)
 
 
 def test_chunks_match_brute_force(spark):
@@ -55,7 +50,7 @@ def test_chunks_match_brute_force(spark):
     texts += [" ".join(rng.choice(["alpha", "beta,", "gamma;", "delta."]) for _ in range(n)) for n in (50, 200, 700, 3000)]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.chunks(F.col("t")).alias("c")).collect()
     for row in got:
-        assert row["c"] == brute_chunks(texts[row["i"]])
+        assert row["c"] == expected_chunks(texts[row["i"]])
         assert all(len(c) <= 900 for c in row["c"])
 
 
