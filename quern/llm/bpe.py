@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 #: The published splitting rule of byte-level BPE (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS, CACHE_PAIRS = 400_000, 2_000_000
+CACHE_WORDS, CACHE_PAIRS = 250_000, 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:

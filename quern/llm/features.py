@@ -16,7 +16,7 @@ import numpy as np
 
 _WORDS = re.compile(r"\w+").findall
 _MIX_A, _MIX_B, _MIX_C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 class WordHasher:

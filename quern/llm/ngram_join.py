@@ -44,7 +44,7 @@ from quern.llm.components import connected_components
 N = 5
 BLOCK = 512
 SALTS = 32
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 
 
 def choose_bands(threshold: float, target_recall: float, max_hashes: int = 128) -> tuple[int, int]:
