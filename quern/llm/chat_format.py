@@ -17,8 +17,8 @@ A turn is never cut: if the system turn and one turn pass the budget alone,
 their window has ``over_budget``. Windows are bounded by the budget or one turn.
 
 Defined results: null role and text count as empty; a null conversation id is a
-conversation of its own; turns are ordered by (turn, role, text), nulls first,
-so repeated rows are repeated turns; an empty table gives no windows.
+conversation of its own; turns are ordered by (turn, role, MD5 of the
+text), nulls first, and repeated rows are repeated turns; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -54,44 +54,46 @@ def quarter_chars(piece: Column) -> Column:
 
 def format_windows(turns: DataFrame, budget: int = 2048, history: int = 512, target_role: str = "assistant", tokens: Callable[[Column], Column] = quarter_chars) -> DataFrame:
     """conv_id, window, text, loss_spans (code points, end exclusive), repeated (leading turns), n_tokens, over_budget."""
-    # ck: the conversation's id as a join key that null has a value of, too.
+    # ck and tk: the conversation and the turn as join keys that null has a value of, too.
     rows = turns.select(
         "conv_id",
         F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n")).alias("ck"),
         "turn",
+        F.coalesce(F.col("turn").cast("string"), F.lit("n")).alias("tk"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("raw"),
     )
-    rows = rows.withColumn("head", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))).withColumn("piece", F.concat("head", escape(F.col("raw")), F.lit(END + "\n")))
-    rows = rows.withColumn("lo", F.char_length("head")).withColumn("hi", F.char_length("piece") - len(END) - 1).withColumn("tok", tokens(F.col("piece")))
-    by, whole = Window.partitionBy("ck").orderBy("turn", "role", "raw"), Window.partitionBy("ck")
-    rows = rows.withColumn("nth", F.row_number().over(by)).withColumn("end", F.sum("tok").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("is_system", (F.col("nth") == 1) & (F.col("role") == "system"))
-    rows = rows.withColumn("sys", F.coalesce(F.max(F.when(F.col("is_system"), F.col("tok"))).over(whole), F.lit(0)))
-    rows = rows.withColumn("longest", F.coalesce(F.max(F.when(~F.col("is_system"), F.col("tok"))).over(whole), F.lit(0)))
-    rows = rows.withColumn("stride", F.greatest(F.lit(1), F.lit(budget) - F.col("sys") - F.col("longest"))).withColumn("start", F.col("end") - F.col("tok") - F.col("sys"))
-    rows = rows.withColumn("span", F.when(F.col("is_system"), F.lit(0)).otherwise(F.floor(F.col("start") / F.col("stride"))).cast("long"))
-    rows = rows.select("conv_id", "ck", "nth", "role", "piece", "lo", "hi", "tok", "sys", "stride", "start", "end", "span", "is_system")
-
-    spans = rows.groupBy("ck", "span").agg(F.coalesce(F.min(F.when(~F.col("is_system"), F.col("start"))), F.lit(0)).alias("first"), (F.max("end") - F.max("sys")).alias("last"), F.max("sys").alias("sys"), F.max("is_system").alias("has_system"))
+    rows = rows.withColumn("head", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))).withColumn("piece", F.concat("head", escape(F.col("raw")), F.lit(END + "\n"))).withColumn("h", F.md5("raw"))
+    # The plan is made from lengths alone; texts join it when it is done.
+    plan = rows.select("conv_id", "ck", "turn", "tk", "role", "h", F.char_length("head").alias("lo"), F.char_length("piece").alias("size"), tokens(F.col("piece")).alias("tok"))
+    by, whole = Window.partitionBy("ck").orderBy("turn", "role", "h"), Window.partitionBy("ck")
+    plan = plan.withColumn("nth", F.row_number().over(by)).withColumn("end", F.sum("tok").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    plan = plan.withColumn("is_system", (F.col("nth") == 1) & (F.col("role") == "system"))
+    plan = plan.withColumn("sys", F.coalesce(F.max(F.when(F.col("is_system"), F.col("tok"))).over(whole), F.lit(0)))
+    plan = plan.withColumn("longest", F.coalesce(F.max(F.when(~F.col("is_system"), F.col("tok"))).over(whole), F.lit(0)))
+    plan = plan.withColumn("stride", F.greatest(F.lit(1), F.lit(budget) - F.col("sys") - F.col("longest"))).withColumn("start", F.col("end") - F.col("tok") - F.col("sys"))
+    plan = plan.withColumn("span", F.when(F.col("is_system"), F.lit(0)).otherwise(F.floor(F.col("start") / F.col("stride"))).cast("long")).drop("longest", "turn")
+
+    spans = plan.groupBy("ck", "span").agg(F.coalesce(F.min(F.when(~F.col("is_system"), F.col("start"))), F.lit(0)).alias("first"), (F.max("end") - F.max("sys")).alias("last"), F.max("sys").alias("sys"), F.max("is_system").alias("has_system"))
     spans = spans.withColumn("room", F.least(F.lit(history), F.lit(budget) - F.col("sys") - F.greatest(F.lit(0), F.col("last") - F.col("first"))))
-    kept = ["conv_id", "ck", "span", "nth", "role", "piece", "lo", "hi", "tok"]
-    new = rows.select(*kept, F.lit(2).alias("part"))
+    spans = spans.withColumn("window", F.row_number().over(Window.partitionBy("ck").orderBy("span")) - 1).drop("last", "sys")
+    kept = ["conv_id", "ck", "tk", "role", "h", "nth", "lo", "size", "tok", "window"]
+    new = plan.join(spans.select("ck", "span", "window"), ["ck", "span"]).select(*kept, F.lit(2).alias("part"))
     # A turn can be history only of spans whose first token is at most `history` after its own.
-    later = rows.where(~F.col("is_system")).withColumn("to", F.floor((F.col("start") + history) / F.col("stride"))).where("to > span")
-    past = later.withColumn("span", F.explode(F.sequence(F.col("span") + 1, F.col("to")))).join(spans.select("ck", "span", "first", "room"), ["ck", "span"]).where("start >= first - room").select(*kept, F.lit(1).alias("part"))
-    opening = rows.where("is_system").drop("span").join(spans.where("not has_system").select("ck", "span"), "ck").select(*kept, F.lit(0).alias("part"))
-
-    in_window = Window.partitionBy("ck", "span").orderBy("part", "nth")
-    parts = new.unionByName(past).unionByName(opening).withColumn("at", F.coalesce(F.sum(F.char_length("piece")).over(in_window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    got = parts.groupBy("ck", "span").agg(
-        F.max("conv_id").alias("conv_id"),
-        F.sort_array(F.collect_list(F.struct("part", "nth", "piece", (F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("hi")).alias("end"), (F.col("role") == target_role).alias("target")))).alias("p"),
-        F.sum("tok").alias("n_tokens"),
-    )
+    later = plan.where(~F.col("is_system")).withColumn("to", F.floor((F.col("start") + history) / F.col("stride"))).where("to > span")
+    past = later.withColumn("span", F.explode(F.sequence(F.col("span") + 1, F.col("to")))).join(spans.drop("has_system"), ["ck", "span"]).where("start >= first - room").select(*kept, F.lit(1).alias("part"))
+    opening = plan.where("is_system").join(spans.where("not has_system").select("ck", "window"), "ck").select(*kept, F.lit(0).alias("part"))
+
+    before = Window.partitionBy("ck", "window").orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    parts = new.unionByName(past).unionByName(opening).withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    # Repeated rows have one text; its numbering leaves the rows in place and order for the join.
+    key = ["ck", "tk", "role", "h"]
+    texts = rows.select(*key, "piece").withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))).where("copy = 1").drop("copy")
+    piece = F.struct("part", "nth", "piece", (F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("size") - len(END) - 1).alias("end"), (F.col("role") == target_role).alias("target"))
+    got = parts.join(texts, key).groupBy("ck", "window").agg(F.max("conv_id").alias("conv_id"), F.sort_array(F.collect_list(piece)).alias("p"), F.sum("tok").alias("n_tokens"))
     return got.select(
         "conv_id",
-        (F.row_number().over(Window.partitionBy("ck").orderBy("span")) - 1).alias("window"),
+        "window",
         F.array_join(F.col("p.piece"), "").alias("text"),
         F.transform(F.filter("p", lambda x: (x["part"] == 2) & x["target"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("loss_spans"),
         F.size(F.filter("p", lambda x: x["part"] < 2)).alias("repeated"),

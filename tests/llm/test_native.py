@@ -146,7 +146,7 @@ def test_windows_say_each_turn_once(spark, budget, history):
         by[c].append((k if k is not None else -1, r or "", t or ""))
     assert set(got) == set(by)
     for c, turns in by.items():
-        turns.sort()
+        turns.sort(key=lambda x: (x[0], x[1], hashlib.md5(x[2].encode()).hexdigest()))
         text = "".join(f"{r}\n{t}\n" for _, r, t in turns)
         loss = "".join(t for _, r, t in turns if r == "assistant")
         g = got[c]
