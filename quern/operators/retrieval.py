@@ -75,6 +75,11 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str
     return ranked(local, k)
 
 
+def small_side(df: DataFrame, limit: int) -> DataFrame:
+    """df with a broadcast hint if it was counted to have at most ``limit`` rows; else df as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def corpus_stats(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """One row: n_docs, avgdl."""
     return docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -89,12 +94,16 @@ def token_idf(docs: DataFrame, text_col: str = "text", epsilon: float = 0.25) ->
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "query", chunk_id: str = "chunk_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """query_id, chunk_id, score for pairs that share a token. Tokens are counted inside a document's row."""
+def bm25_scores(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "query", chunk_id: str = "chunk_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, broadcast_tokens: int = 500_000) -> DataFrame:
+    """query_id, chunk_id, score for pairs that share a token.
+
+    The queries' tokens are counted; up to ``broadcast_tokens`` of them filter the
+    documents' tokens before any shuffle, more of them join by shuffle.
+    """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
     weights = asked.join(token_idf(docs, text_col, epsilon), "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
     words = docs.select(F.col(chunk_id).alias("chunk_id"), tokens(F.col(text_col)).alias("t"))
-    postings = words.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("chunk_id", "token", "dl").agg(F.count(F.lit(1)).alias("f"))
+    postings = words.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("token")).join(small_side(asked.select("token").distinct(), broadcast_tokens), "token", "left_semi").groupBy("chunk_id", "token", "dl").agg(F.count(F.lit(1)).alias("f"))
     pairs = postings.join(weights, "token").crossJoin(F.broadcast(corpus_stats(docs, chunk_id, text_col).select("avgdl")))
     part = F.col("w") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
