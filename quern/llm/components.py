@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import cut
 
+SALTS = 32
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
@@ -16,7 +18,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Columns a, b (bigint) of undirected edges -> node, comp (its component's smallest node).
 
     Neither step gathers the neighbours of a node: the smallest is a plain
-    aggregate, and edges meet it again in a join that can be split when skewed.
+    aggregate, and a hub's edges meet it again by (hub, salt), for the salts in use.
     Only the edge count and a checksum reach the driver. Nodes without an edge
     to another node are not returned.
     """
@@ -26,8 +28,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(smallest, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        both = both.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        smallest = both.groupBy("u", "s").agg(F.min("v").alias("m")).groupBy("u").agg(F.least(F.first("u"), F.min("m")).alias("m"), F.bit_or(F.expr("shiftleft(1L, s)")).alias("mask"))
+        used = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), s)) != 0)
+        large = both.join(smallest.select("u", "m", F.explode(used).alias("s")), ["u", "s"]).where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         e = cut(moved.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct())
