@@ -42,10 +42,14 @@ class SparseModel:
 
 
 class Ftrl:
-    """FTRL-proximal for logistic loss over presence features."""
+    """FTRL-proximal for logistic loss over presence features.
 
-    def __init__(self, bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 0.5):
-        self.bits, self.alpha, self.beta, self.l1, self.l2 = bits, alpha, beta, l1, l2
+    Toxic rows are rare and mostly hold several toxic words, so they weigh more:
+    one such word alone must outweigh the bias.
+    """
+
+    def __init__(self, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.5, positive_weight: float = 3.0):
+        self.bits, self.alpha, self.beta, self.l1, self.l2, self.positive_weight = bits, alpha, beta, l1, l2, positive_weight
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)  # the last place is the bias
 
     def weights(self, at: np.ndarray) -> np.ndarray:
@@ -57,7 +61,7 @@ class Ftrl:
     def learn(self, places: np.ndarray, label: int) -> None:
         at = np.append(places, 1 << self.bits)
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - label
+        g = (1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - label) * (self.positive_weight if label else 1.0)
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] += g * g
