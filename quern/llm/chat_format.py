@@ -28,6 +28,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import cut
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -73,6 +75,7 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 512, tar
     plan = plan.withColumn("longest", F.coalesce(F.max(F.when(~F.col("is_system"), F.col("tok"))).over(whole), F.lit(0)))
     plan = plan.withColumn("stride", F.greatest(F.lit(1), F.lit(budget) - F.col("sys") - F.col("longest"))).withColumn("start", F.col("end") - F.col("tok") - F.col("sys"))
     plan = plan.withColumn("span", F.when(F.col("is_system"), F.lit(0)).otherwise(F.floor(F.col("start") / F.col("stride"))).cast("long")).drop("longest", "turn")
+    plan = cut(plan)  # used five times below; a row of it is some numbers and keys
 
     spans = plan.groupBy("ck", "span").agg(F.coalesce(F.min(F.when(~F.col("is_system"), F.col("start"))), F.lit(0)).alias("first"), (F.max("end") - F.max("sys")).alias("last"), F.max("sys").alias("sys"), F.max("is_system").alias("has_system"))
     spans = spans.withColumn("room", F.least(F.lit(history), F.lit(budget) - F.col("sys") - F.greatest(F.lit(0), F.col("last") - F.col("first"))))
