@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quern.llm.common import bounded
+
 #: The published splitting rule of byte-level BPE (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS, CACHE_PAIRS = 250_000, 1_000_000
@@ -232,4 +234,4 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {n} {t}" for n, t in extra)
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return bounded(rows).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -28,6 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with Arrow batches of at most ``rows`` rows in its session, so that long texts do not pile up in a Python worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+    return df
+
+
 def fold(id_col: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import sampled
+from quern.llm.common import bounded, sampled
 from quern.llm.features import WordHasher
 
 
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: SparseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score for every document."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(_scorer(model, "text", ["id"]), f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return bounded(rows).mapInArrow(_scorer(model, "text", ["id"]), f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def _scorer(model: SparseModel, text_col: str, keep: list[str]):
@@ -119,4 +119,4 @@ def drop_toxic(docs: DataFrame, model: SparseModel, text_col: str = "text", thre
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     names = docs.columns
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -23,6 +23,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.llm.common import bounded
+
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 #: (host, path, verdict)
@@ -96,4 +98,4 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     rows = pages.selectExpr(f"`{id_col}` AS id", f"`{url_col}` AS url")
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, host string, path string, rule string, verdict string, terms array<string>").withColumnRenamed("id", id_col)
+    return bounded(rows).mapInArrow(run, f"id {id_type}, host string, path string, rule string, verdict string, terms array<string>").withColumnRenamed("id", id_col)
