@@ -7,6 +7,7 @@ smaller chunk id everywhere.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,12 @@ def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np
     return s[keep].reshape(-1, k), n[keep].reshape(-1, k)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", max_queries: int = 20_000) -> DataFrame:
-    """query_id, chunk_id, score (cosine), rank: exact, one matrix product per Arrow batch.
+def _asked(queries: DataFrame, query_id: str, vector: str) -> DataFrame:
+    return queries.select(F.col(query_id).cast("long"), F.col(vector).cast("array<double>")).where(F.col(vector).isNotNull())
 
-    The queries travel to every task, so their number is checked against
-    ``max_queries``; more of them are to be asked in several calls. A task emits
-    at most k rows per query, whatever the size of its partition.
-    """
-    got = queries.select(F.col(query_id).cast("long"), F.col(vector).cast("array<double>")).where(F.col(vector).isNotNull()).limit(max_queries + 1).toArrow()
-    if got.num_rows > max_queries:
-        raise ValueError(f"more than {max_queries} queries; ask them in blocks")
+
+def _nearest(got: pa.Table, corpus: DataFrame, k: int, chunk_id: str, vector: str) -> DataFrame:
+    """query_id, chunk_id, score: at most k rows of each task for each row (id, vector) of ``got``, which travels to the tasks."""
     ids = np.array(got.column(0).to_pylist(), np.int64)
     q = np.array(got.column(1).to_pylist(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
     q_norm = np.sqrt((q * q).sum(1))
@@ -71,8 +68,30 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str
         there = best_s > -np.inf
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(1))), pa.array(best_i[there]), pa.array(best_s[there])], ["query_id", "chunk_id", "score"])
 
-    local = corpus.select(F.col(chunk_id).cast("long").alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "query_id long, chunk_id long, score double")
-    return ranked(local, k)
+    return corpus.select(F.col(chunk_id).cast("long").alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "query_id long, chunk_id long, score double")
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", max_queries: int = 20_000) -> DataFrame:
+    """query_id, chunk_id, score (cosine), rank: exact, one matrix product per Arrow batch.
+
+    The queries travel to every task, so their number is checked against
+    ``max_queries``; dense_topk_blocks takes any number. A task emits at most k
+    rows per query, whatever the size of its partition.
+    """
+    got = _asked(queries, query_id, vector).limit(max_queries + 1).toArrow()
+    if got.num_rows > max_queries:
+        raise ValueError(f"more than {max_queries} queries; ask them by dense_topk_blocks")
+    return ranked(_nearest(got, corpus, k, chunk_id, vector), k)
+
+
+def dense_topk_blocks(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", max_queries: int = 20_000) -> DataFrame:
+    """dense_topk for any number of queries: blocks of at most ``max_queries``, one pass over the corpus each, ranked together.
+
+    A task holds one block; the driver holds all query vectors, read once.
+    """
+    got = _asked(queries, query_id, vector).toArrow()
+    blocks = [_nearest(got.slice(at, max_queries), corpus, k, chunk_id, vector) for at in range(0, max(1, got.num_rows), max_queries)]
+    return ranked(reduce(DataFrame.unionByName, blocks), k)
 
 
 def small_side(df: DataFrame, limit: int) -> DataFrame:

@@ -63,7 +63,7 @@ def _vectors(spark, d):
 
 def _dense(spark, d, k=10):
     v = _vectors(spark, d)
-    return rt.dense_topk(v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v, k)
+    return rt.dense_topk_blocks(v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v, k)
 
 
 @query(f"WITH {_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dense")
@@ -119,7 +119,7 @@ _HALF = _DENSE.replace("dense_scores", "half_scores").replace("dense AS", "half
 SELECT query_id, chunk_id, round(sum(a) + sum(b), 6) AS score FROM parts GROUP BY ALL""")
 def rrf_fusion(spark, d):
     v = _vectors(spark, d).withColumn("embedding", F.slice("embedding", 1, 32))
-    half = rt.dense_topk(v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v)
+    half = rt.dense_topk_blocks(v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v)
     return rt.reciprocal_rank_fusion(_dense(spark, d), half).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
