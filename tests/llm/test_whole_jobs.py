@@ -1,8 +1,9 @@
 """What the operators do with all of their rows: hot hosts."""
 
+import numpy as np
 import pytest
 
-from quern.llm import quality_rules
+from quern.llm import quality_pu, quality_rules
 
 
 @pytest.fixture(scope="module")
@@ -24,3 +25,24 @@ def test_share_of_a_hot_host_as_in_the_sql(hot_host):
     """2,200 texts: the limit is 22, so the passage of 20 documents stays."""
     got = {r["doc_id"]: r["removed_lines"] for r in quality_rules.quality_rules(hot_host).collect()}
     assert got[0] == [1, 2] and got[20] == [0, 1] and got[200] == [0] and got[2_100] == []
+
+
+def test_unlabelled_side_is_all_documents(spark):
+    good = "A plain sentence of some common words, and one more of them."
+    rows = [(i, good + " word" * (i % 40)) for i in range(12_000)] + [(20_000, "### $$$ *** " * 20)] * 3 + [(None, "@@@ " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = quality_pu.counted(docs).collect()
+    assert sum(r["n"] for r in got) == len(rows)
+    odd = quality_pu.bins(np.array([quality_pu.statistics("### $$$ *** " * 20)]))[0].tobytes()
+    assert [r["n"] for r in got if bytes(r["bins"]) == odd] == [3]
+
+
+def test_counts_weigh_as_rows():
+    rng = np.random.default_rng(6)
+    codes = np.column_stack([rng.integers(0, len(e) + 1, 40) for e in quality_pu.EDGES.values()]).astype(np.uint8)
+    n = rng.integers(1, 9, 40)
+    p = codes[rng.integers(0, 40, 30)]
+    halves = [(codes[:20], n[:20]), (codes[20:], n[20:])]
+    rows = [(np.repeat(c, k, 0), np.ones(k.sum())) for c, k in halves]
+    a, b = quality_pu.fit_bins(p, halves, 50), quality_pu.fit_bins(p, rows, 50)
+    assert a.prior == pytest.approx(b.prior) and a.weights == pytest.approx(b.weights)
