@@ -11,7 +11,8 @@ The score falls with the ratio of the best to the second-best size; a text whose
 margin is below ``min_margin`` is marked ``rejected`` and keeps its best guess.
 
 Bounds: ``docs_per_lang`` documents of ``max_langs`` languages are read for
-training, and ``dict_bytes`` of each language kept. Equal sizes (and, in texts of
+training, and ``dict_bytes`` of each language kept; a document gives words drawn
+from its whole text, of 4 x ``dict_bytes`` / documents (256 at least) bytes. Equal sizes (and, in texts of
 under 64 bytes, sizes a byte apart) go to the dictionary that has the words.
 
 Defined results: null text and text without a letter are ``und`` with score 0;
@@ -41,6 +42,15 @@ def plain(text: str) -> bytes:
     return _NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
 
 
+def drawn(text: bytes, size: int) -> list[bytes]:
+    """Words from all of the text in a fixed random order, as many as fit into ``size`` bytes; all of a text that fits."""
+    words = text.split()
+    if len(text) <= size:
+        return words
+    random.Random(5).shuffle(words)
+    return b" ".join(words)[:size].split()
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 200, dict_bytes: int = 65_536, max_langs: int = 200, seed: str = "langid") -> dict[str, bytes]:
     """lang -> dictionary content, from at most docs_per_lang x max_langs documents of ``docs``."""
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(f"`{id_col}`").cast("string")))
@@ -52,12 +62,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for row in picked.select("_lang", "_h", "_id", "_text").orderBy("_lang", "_h", "_id", "_text").toArrow().to_pylist():
         if row["_text"]:
             got.setdefault(row["_lang"], []).append(plain(row["_text"]))
-    # Each document gives an equal share, so one very long document does not fill a dictionary; words are
-    # shuffled, so a passage that a text shares with the sample is no long match for one language.
+    # Each document gives an equal share, so one very long document does not fill a dictionary; it is drawn from
+    # the whole text, since heads can be licences or quotations. Words are shuffled, so a passage that a text
+    # shares with the sample is no long match for one language.
     out = {}
     for lang, texts in got.items():
         share = max(256, 4 * dict_bytes // len(texts))
-        words = [w for t in texts for w in t[:share].split()]
+        words = [w for t in texts for w in drawn(t, share)]
         random.Random(5).shuffle(words)
         if content := b" ".join(words)[:dict_bytes]:
             out[lang] = content

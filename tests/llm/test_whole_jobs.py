@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quern.llm import quality_pu, quality_rules
+from quern.llm import langid, quality_pu, quality_rules
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,11 @@ def test_counts_weigh_as_rows():
     rows = [(np.repeat(c, k, 0), np.ones(k.sum())) for c, k in halves]
     a, b = quality_pu.fit_bins(p, halves, 50), quality_pu.fit_bins(p, rows, 50)
     assert a.prior == pytest.approx(b.prior) and a.weights == pytest.approx(b.weights)
+
+
+def test_dictionaries_learn_from_whole_texts(spark):
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    head = " ".join(f"licence{letters(k)}" for k in range(200))  # longer than the share of a document
+    rows = [(i, head + " " + " ".join(f"korpo{letters(i * 100 + k)}" for k in range(900)), "xx") for i in range(200)]
+    words = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["xx"].split()
+    assert sum(w.startswith(b"korpo") for w in words) > 0.7 * len(words)
