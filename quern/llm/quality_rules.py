@@ -113,10 +113,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The documents that are kept, without their boilerplate lines; all columns. Ids must be unique and not null."""
-    told, gone = free_name(docs, "_id"), free_name(docs, "_gone")
-    kept = quality_rules(docs, id_col, text_col, host_col, **limits).where("kept").select(F.col(id_col).alias(told), F.col("removed_lines").alias(gone))
-    joined = docs.join(kept, F.col(f"`{id_col}`") == F.col(told))
+    """The rows that are kept, without their boilerplate lines; all columns. Rows travel through the verdict whole, so ids may be null or repeated."""
+    row = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    whole = docs.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in row.items()]).alias("doc"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{host_col}`").alias("host"))
+    kept = quality_rules(whole, "doc", "text", "host", **limits).where("kept").select("doc.*", "removed_lines").withColumnsRenamed({n: c for c, n in row.items()} | {"removed_lines": (gone := free_name(docs, "_gone"))})
     lines = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col(gone), i), x)), lambda x: x.isNotNull()), "\n")
-    return joined.withColumn(text_col, F.when(F.size(gone) > 0, left).otherwise(F.col(f"`{text_col}`"))).select(*[f"`{c}`" for c in docs.columns])
+    return kept.withColumn(text_col, F.when(F.size(gone) > 0, left).otherwise(F.col(f"`{text_col}`"))).select(*[f"`{c}`" for c in docs.columns])

@@ -54,3 +54,14 @@ def test_dictionaries_learn_from_whole_texts(spark):
     rows = [(i, head + " " + " ".join(f"korpo{letters(i * 100 + k)}" for k in range(900)), "xx") for i in range(200)]
     words = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["xx"].split()
     assert sum(w.startswith(b"korpo") for w in words) > 0.7 * len(words)
+
+
+def test_clean_documents_keeps_null_and_repeated_ids(spark):
+    body = lambda i: " ".join(f"d{i}w{k}" for k in range(30))
+    rows = [(i, f"shared line here\n{body(i)}", "h", ["t"]) for i in range(15)]
+    rows += [(None, f"{body(50)}\nshared line here", "h", None), (3, f"shared line here\n{body(51)}", None, ["u", None]), (3, body(52), "h", []), (4, body(4), "h", ["v"]), (4, body(4), "h", ["v"]), (60, "short", "h", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `odd name` array<string>")
+    clean = quality_rules.clean_documents(df)
+    assert clean.schema.names == df.schema.names
+    want = [(i, t.replace("shared line here\n", "").replace("\nshared line here", "") if s == "h" else t, s, o) for i, t, s, o in rows[:-1]]
+    assert sorted(map(repr, map(tuple, clean.collect()))) == sorted(map(repr, want))
