@@ -36,7 +36,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quern.llm.common import bounded
+from quern.llm.common import pieces
 
 #: The published splitting rule of byte-level BPE (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -386,23 +386,21 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounds what one step holds besides the batch
-                part = batch.slice(at, 256)
-                ids = bpe.encode_batch([t or "" for t in part.column("text").to_pylist()])
-                texts = [bpe.decode(i) for i in ids]
-                columns = [
-                    part.column("id"),
-                    pa.array([len(i) // 4 for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
-                    pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]),
-                ]
-                if with_ids:
-                    columns.append(pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())))
-                if with_text:
-                    columns.append(pa.array(texts))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(n for n, _ in extra)])
+        for part in pieces(batches):
+            ids = bpe.encode_batch([t or "" for t in part.column("text").to_pylist()])
+            texts = [bpe.decode(i) for i in ids]
+            columns = [
+                part.column("id"),
+                pa.array([len(i) // 4 for i in ids], pa.int64()),
+                pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
+                pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]),
+            ]
+            if with_ids:
+                columns.append(pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())))
+            if with_text:
+                columns.append(pa.array(texts))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(n for n, _ in extra)])
 
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {n} {t}" for n, t in extra)
-    return bounded(rows).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

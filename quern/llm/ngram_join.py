@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded, cut, free_name
+from quern.llm.common import pieces, cut, free_name
 from quern.llm.components import connected_components
 
 N = 5
@@ -108,7 +108,7 @@ class Signer:
 def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
-        for batch in batches:
+        for batch in pieces(batches):
             keys, hashes = [], []
             for text in batch.column("text").to_pylist():
                 grams = signer.ngrams(text or "")
@@ -117,7 +117,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["id", "key", "bands"])
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return bounded(narrow).mapInArrow(run, "id long, key binary, bands array<long>")
+    return narrow.mapInArrow(run, "id long, key binary, bands array<long>")
 
 
 def exact_sets(texts: list[str], n: int = N) -> list[np.ndarray]:

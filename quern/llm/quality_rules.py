@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded, cut, free_name
+from quern.llm.common import pieces, cut, free_name
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -80,14 +80,14 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             got = [measure(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), *(pa.array([g[k] for g in got], t) for k, t in enumerate(types))], ["id", "host", *names])
 
     host = F.col(f"`{host_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.concat(F.lit("h"), host), F.lit("n")).alias("host"), F.col(f"`{text_col}`").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    return bounded(rows).mapInArrow(run, f"id {id_type}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>, same long")
+    return rows.mapInArrow(run, f"id {id_type}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>, same long")
 
 
 def frequent_lines(rows: DataFrame, min_docs: int, share: float) -> DataFrame:

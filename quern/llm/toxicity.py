@@ -1,17 +1,23 @@
 """Toxicity by FTRL-proximal logistic regression over hashed n-grams and skip-grams.
 
 Training reads a bounded sample of labelled rows (``max_rows``, in a fixed
-pseudo-random order of the id), on the driver. The update keeps a rate per
-coordinate, and its L1 term leaves most weights at exactly zero: what the
-executors get is the list of non-zero places and weights, at most ``2**bits``
-of them and in practice some thousands, whatever the size of the corpus.
+pseudo-random order of the id). Their features, at most ``2**bits`` places a
+text, are made where the texts are; one task then learns from all of them in a
+fixed order. The update keeps a rate per coordinate, and its L1 term leaves most
+weights at exactly zero: what the driver and the executors get is the list of
+non-zero places and weights, in practice some thousands, whatever the size of
+the corpus.
 
 Scoring reads whole texts. A score is the logistic of the bias and the weights
 of the features present. Only the text enters it.
 
 Defined results: null and empty texts score the bias alone; labels that are
 null, or of ids without a document, are left out; of several labels of an id the
-largest counts; without any labels every score is 0.5 and no text is toxic.
+largest counts, of several texts of a labelled id the one whose places come
+first; without any labels every score is 0.5, which predicts toxic in a query
+but drops nothing; repeated rows and ids, null ids among them, are scored row by
+row; an empty table gives no rows; texts of any length are read whole; other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded, sampled
+from quern.llm.common import pieces, sampled
 from quern.llm.features import WordHasher
 
 
@@ -77,29 +83,50 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lab = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     chosen = sampled(lab, id_col, max_rows, seed)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col(id_col)).select("_id", "_text", "_label")
-    # Bounded by max_rows: the sample is broadcast as ids, and its texts alone come to the driver.
-    got = rows.toArrow()
-    ids, texts, y = (got.column(k).to_pylist() for k in range(3))
-    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k] or ""))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(bits)
+        for batch in pieces(batches):
+            places = [hasher.places(t or "").astype(np.int32) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([y > 0 for y in batch.column("_label").to_pylist()], pa.bool_()), pa.array(places, pa.list_(pa.int32()))], ["id", "y", "places"])
+
+    def learnt(sample: pa.Table) -> pa.Table:
+        model = train(sample, bits, epochs)
+        return pa.table({"bias": pa.array([model.bias]), "places": pa.array([model.places], pa.list_(pa.int32())), "weights": pa.array([model.weights], pa.list_(pa.float32()))})
+
+    # Bounded by max_rows: the ids are broadcast, an id has one row after the aggregate, and one task learns from all.
+    found = rows.mapInArrow(features, f"id {rows.schema['_id'].dataType.simpleString()}, y boolean, places array<int>")
+    sample = found.groupBy("id").agg(F.max("y").alias("y"), F.min("places").alias("places"))
+    got = sample.groupBy(F.lit("all")).applyInArrow(learnt, "bias double, places array<int>, weights array<float>").toArrow()
+    if not got.num_rows:
+        return Ftrl(bits).model()
+    return SparseModel(bits, got.column("bias")[0].as_py(), np.array(got.column("places")[0].values, np.int32), np.array(got.column("weights")[0].values, np.float32))
+
+
+def train(sample: pa.Table, bits: int, epochs: int) -> SparseModel:
+    """A model from id, y, places, in a fixed shuffled order of the ids."""
+    ids, y = sample.column("id").to_pylist(), sample.column("y").to_pylist()
+    lists = sample.column("places").combine_chunks()
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    order = sorted(range(len(ids)), key=ids.__getitem__)
     np.random.default_rng(7).shuffle(order)
-    hasher, ftrl = WordHasher(bits), Ftrl(bits)
-    places = {k: hasher.places(texts[k] or "").astype(np.int32) for k in order}
+    ftrl = Ftrl(bits)
     for _ in range(epochs):
         for k in order:
-            ftrl.learn(places[k], int(y[k] > 0))
+            ftrl.learn(flat[ends[k] : ends[k + 1]], int(y[k]))
     return ftrl.model()
 
 
 def score(docs: DataFrame, model: SparseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score for every document."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return bounded(rows).mapInArrow(_scorer(model, "text", ["id"]), f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_scorer(model, "text", ["id"]), f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def _scorer(model: SparseModel, text_col: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(model.bits, weights=model.dense())
-        for batch in batches:
+        for batch in pieces(batches):
             logits = np.array([model.bias + hasher.total(t or "") for t in batch.column(text_col).to_pylist()])
             scores = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, "score"])
@@ -108,15 +135,15 @@ def _scorer(model: SparseModel, text_col: str, keep: list[str]):
 
 
 def drop_toxic(docs: DataFrame, model: SparseModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that score below the threshold, with all their columns. One pass, no shuffle."""
+    """The documents that score at most the threshold, with all their columns. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(model.bits, weights=model.dense())
         edge = np.log(threshold / (1 - threshold))
         at = names.index(text_col)
-        for batch in batches:
-            keep = [model.bias + hasher.total(t or "") < edge for t in batch.column(at).to_pylist()]
+        for batch in pieces(batches):
+            keep = [model.bias + hasher.total(t or "") <= edge for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     names = docs.columns
-    return bounded(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.common import bounded
+from quern.llm.common import pieces
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -91,11 +91,11 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = UrlJudge(rules, vocabulary)
-        for batch in batches:
+        for batch in pieces(batches):
             found = [judge.judge(u) for u in batch.column("url").to_pylist()]
             columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "host", "path", "rule", "verdict", "terms"])
 
     rows = pages.selectExpr(f"`{id_col}` AS id", f"`{url_col}` AS url")
     id_type = rows.schema["id"].dataType.simpleString()
-    return bounded(rows).mapInArrow(run, f"id {id_type}, host string, path string, rule string, verdict string, terms array<string>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {id_type}, host string, path string, rule string, verdict string, terms array<string>").withColumnRenamed("id", id_col)
