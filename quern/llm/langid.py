@@ -10,14 +10,22 @@ own beginning would otherwise be the better dictionary. Nothing is left out.
 The score falls with the ratio of the best to the second-best size; a text whose
 margin is below ``min_margin`` is marked ``rejected`` and keeps its best guess.
 
-Bounds: ``docs_per_lang`` documents of ``max_langs`` languages are read for
-training, and ``dict_bytes`` of each language kept; a document gives words drawn
-from its whole text, of 4 x ``dict_bytes`` / documents (256 at least) bytes. Equal sizes (and, in texts of
-under 64 bytes, sizes a byte apart) go to the dictionary that has the words.
+Bounds: ``docs_per_lang`` documents of each of the ``max_langs`` languages that
+have most documents are learnt from, and ``dict_bytes`` of each language kept; a
+document gives words drawn from its whole text, of 4 x ``dict_bytes`` /
+``docs_per_lang`` (256 at least) bytes. Documents are drawn by a hash of the id
+that counts of ids per language make low enough, and their words where they are.
+
+Equal sizes, which whole bytes can't tell apart, go to the dictionary with the
+smaller ideal code length in bits: of an order-0 coder of words whose counts are
+the dictionary's.
 
 Defined results: null text and text without a letter are ``und`` with score 0;
 without training rows every text is ``und``; remaining ties go to the first
-language by code point; rows with null lang teach nothing.
+language by code point; rows with null lang or null id teach nothing; rows that
+repeat an id and a language teach as one, the one whose drawn words come first;
+repeated rows and null ids are predicted row by row; an empty table gives no
+rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -25,6 +33,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,9 +41,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import pieces
+from quern.llm.common import hash_unit, pieces, sample_limit
 
-SHORT = 64
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -51,34 +59,47 @@ def drawn(text: bytes, size: int) -> list[bytes]:
     return b" ".join(words)[:size].split()
 
 
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, share: int, max_langs: int, seed: str) -> DataFrame:
+    """lang, nth, words: of each language at most ``docs_per_lang`` documents with a letter, each with the words drawn from it."""
+    low = hash_unit(seed, F.col(f"`{id_col}`"))
+    rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
+    sizes = rows.groupBy(F.col(f"`{lang_col}`").cast("string").alias("lang")).agg(F.approx_count_distinct(F.col(f"`{id_col}`")).alias("n"))
+    limits = [(r["lang"], sample_limit(docs_per_lang, r["n"])) for r in sizes.orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            got = [b" ".join(drawn(plain(t or ""), share)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("lang", "h", "id")), pa.array(got, pa.binary())], ["lang", "h", "id", "words"])
+
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits for x in pair]), F.col("lang")) if limits else F.lit(0)
+    near = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), low.alias("h"), F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("h") < limit)
+    each = near.mapInArrow(words, "lang string, h long, id string, words binary").where("length(words) > 0").groupBy("lang", "h", "id").agg(F.min("words").alias("words"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    return each.withColumn("nth", nth).where(F.col("nth") <= docs_per_lang).select("lang", "nth", "words")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 200, dict_bytes: int = 65_536, max_langs: int = 200, seed: str = "langid") -> dict[str, bytes]:
     """lang -> dictionary content, from at most docs_per_lang x max_langs documents of ``docs``."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(f"`{id_col}`").cast("string")))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{lang_col}`").alias("_lang"), key.alias("_h")).where("_lang is not null and _id is not null")
-    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))
-    chosen = rows.withColumn("_nth", nth).where(F.col("_nth") <= docs_per_lang).orderBy("_nth", "_lang").limit(docs_per_lang * max_langs)
-    picked = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen.select("_id", "_lang", "_h")), ["_id", "_lang"])
-    got: dict[str, list[bytes]] = {}
-    for row in picked.select("_lang", "_h", "_id", "_text").orderBy("_lang", "_h", "_id", "_text").toArrow().to_pylist():
-        if row["_text"]:
-            got.setdefault(row["_lang"], []).append(plain(row["_text"]))
     # Each document gives an equal share, so one very long document does not fill a dictionary; it is drawn from
     # the whole text, since heads can be licences or quotations. Words are shuffled, so a passage that a text
     # shares with the sample is no long match for one language.
+    share = max(256, 4 * dict_bytes // docs_per_lang)
+    got: dict[str, list[bytes]] = {}
+    # Bounded by docs_per_lang x max_langs x share.
+    for row in sample(docs, id_col, text_col, lang_col, docs_per_lang, share, max_langs, seed).orderBy("lang", "nth").toArrow().to_pylist():
+        got.setdefault(row["lang"], []).extend(row["words"].split())
     out = {}
-    for lang, texts in got.items():
-        share = max(256, 4 * dict_bytes // len(texts))
-        words = [w for t in texts for w in drawn(t, share)]
+    for lang, words in got.items():
         random.Random(5).shuffle(words)
-        if content := b" ".join(words)[:dict_bytes]:
-            out[lang] = content
+        out[lang] = b" ".join(words)[:dict_bytes]
     return out
 
 
 class Compressors:
     def __init__(self, dictionaries: dict[str, bytes], piece: int = 2048, level: int = 7):
         self.langs, self.piece = sorted(dictionaries), piece
-        self.contents = [b" " + dictionaries[lang] + b" " for lang in self.langs]
+        self.contents: list[bytes] = [dictionaries[lang] for lang in self.langs]
+        self.counts: list[Counter | None] = [None] * len(self.langs)
         self.by = []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -90,9 +111,12 @@ class Compressors:
         pieces = [raw[k : k + self.piece] for k in range(0, len(raw), self.piece)]
         return [sum(len(c.compress(p)) for p in pieces) for c in self.by]
 
-    def known_words(self, raw: bytes, k: int) -> float:
-        """How common the words are in a dictionary; decides between equal sizes only."""
-        return sum(math.log1p(self.contents[k].count(b" " + w + b" ")) for w in raw.split())
+    def code_length(self, raw: bytes, k: int) -> float:
+        """Bits of an ideal order-0 coder of words with the counts (and one for any other word) of a dictionary."""
+        if self.counts[k] is None:
+            self.counts[k] = Counter(self.contents[k].split())
+        counts = self.counts[k]
+        return len(words := raw.split()) * math.log2(counts.total() + 1) - sum(math.log2(counts[w] + 1) for w in words)
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """lang, score, margin (how much smaller the best is than the second, as a share)."""
@@ -100,11 +124,11 @@ class Compressors:
         if not raw or not self.langs:
             return "und", 0.0, 0.0
         sizes = self.sizes(raw)
-        least = min(sizes) + (len(raw) < SHORT)  # a byte says nothing about so short a text
-        ties = [k for k, s in enumerate(sizes) if s <= least]
-        best = ties[0] if len(ties) == 1 else max(ties, key=lambda k: (self.known_words(raw, k), -sizes[k], -k))
-        second = max(sizes[best], min((s for k, s in enumerate(sizes) if k != best), default=2 * sizes[best]))
-        margin = 1 - sizes[best] / second
+        least = min(sizes)
+        ties = [k for k, size in enumerate(sizes) if size == least]
+        best = ties[0] if len(ties) == 1 else min(ties, key=lambda k: (self.code_length(raw, k), k))
+        second = min((size for k, size in enumerate(sizes) if k != best), default=2 * least)
+        margin = 1 - least / second
         return self.langs[best], min(1.0, 0.5 + 2.5 * margin), margin
 
 
