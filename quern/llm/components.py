@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut
+from quern.llm.common import cut, release
 
 SALTS = 32
 
@@ -15,7 +15,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Columns a, b (bigint) of undirected edges -> node, comp (its component's smallest node).
+    """Columns a, b (of one type with an order) of undirected edges -> node, comp (its component's smallest node).
 
     Neither step gathers the neighbours of a node: the smallest is a plain
     aggregate, and a hub's edges meet it again by (hub, salt), for the salts in use.
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(smallest.select("u", "m", F.explode(used).alias("s")), ["u", "s"]).where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = cut(moved.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct())
+        before, e = e, cut(moved.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct())
+        release(before)
         if (now := _state(e)) == state:
             break
         state = now

@@ -18,11 +18,15 @@ similarity of their sets of n-grams is at least the threshold.
    rows; a group gives one row per member: its links and its smallest member
    connected inside the group. These edges' components are the classes.
 
-No pair that shares a band is dropped, whatever the size of its bucket.
-
-Defined results: a document without words (null, empty, blank) is alone in its
-class without links; a null id has null class; rows that share an id are
-versions of one document and fall into one class; an empty table gives no rows.
+No pair that shares a band is dropped, whatever the size of its bucket. What a
+component of n representatives costs: each text goes to n / block groups, and
+the n x n comparisons are dealt out over (n / block)**2 of them.
+
+Defined results: ids may have any type with an order; a document without words
+(null, empty, blank) is alone in its class without links; a null id has null
+class; rows that share an id are versions of one document and fall into one
+class; an empty table gives no rows; texts of any length are read whole; other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -116,8 +120,8 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
                 hashes.append(signer.band_hashes(grams) if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["id", "key", "bands"])
 
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return narrow.mapInArrow(run, "id long, key binary, bands array<long>")
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, key binary, bands array<long>")
 
 
 def exact_sets(texts: list[str], n: int = N) -> list[np.ndarray]:
@@ -158,13 +162,26 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096
     return total
 
 
+def _connected(linked: np.ndarray, left: np.ndarray, right: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """The smallest place that each place is connected with, by links of left with right places and by equal values of ``same``."""
+    low = np.arange(len(same))
+    while True:
+        before, none = low, len(same)
+        low = low.copy()
+        low[left] = np.minimum(low[left], np.where(linked, low[right][None, :], none).min(1, initial=none))
+        low[right] = np.minimum(low[right], np.where(linked, low[left][:, None], none).min(0, initial=none))
+        least = np.full(len(same), none)
+        np.minimum.at(least, same, low)
+        low = least[same]
+        if (low == before).all():
+            return low
+
+
 def _verify(threshold: float):
-    """For one pair of blocks: links of each member, and its smallest member connected here."""
+    """For one pair of blocks: links of each member, and its smallest member connected here; alone: it is all of its component."""
 
     def run(group: pa.Table) -> pa.Table:
-        from quern.llm.ngram_join import Signer, _overlaps, exact_sets
-
-        rep, key, copies, block, bi, bj, texts = (group.column(c).to_pylist() for c in ("rep", "key", "copies", "block", "bi", "bj", "text"))
+        rep, key, copies, block, bi, bj, blocks, texts = (group.column(c).to_pylist() for c in ("rep", "key", "copies", "block", "bi", "bj", "blocks", "text"))
         signer = Signer(1, 1)
         # Rows that share an id may have other texts; only the representative's own counts, once.
         mine: dict[tuple[int, bytes], int] = {}
@@ -172,35 +189,25 @@ def _verify(threshold: float):
             if (rep[k], key[k]) not in mine and signer.key(signer.ngrams(t or "")) == key[k]:
                 mine[rep[k], key[k]] = k
         rows = sorted(mine.values(), key=lambda k: (rep[k], key[k]))
-        left = [k for k in rows if block[k] == bi[k]]
-        right = left if bi[0] == bj[0] else [k for k in rows if block[k] == bj[k]]
-        parent = {k: k for k in rows}
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        links = dict.fromkeys(rows, 0)
-        if left and right:
-            used = sorted(set(left) | set(right))
-            sets = dict(zip(used, exact_sets([texts[k] for k in used])))
-            both = _overlaps([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
-            size = lambda side: np.array([len(sets[k]) for k in side], np.int64)
-            union = size(left)[:, None] + size(right)[None, :] - both
-            linked = both.astype(np.float64) >= threshold * union - 1e-9
+        n, rep, key = len(rows), [rep[k] for k in rows], [key[k] for k in rows]
+        left = np.array([i for i, k in enumerate(rows) if block[k] == bi[k]], np.int64)
+        right = left if bi[0] == bj[0] else np.array([i for i, k in enumerate(rows) if block[k] == bj[k]], np.int64)
+        weight, links, linked = np.array([copies[k] for k in rows], np.int64), np.zeros(n, np.int64), np.zeros((len(left), len(right)), bool)
+        if len(left) and len(right):
+            sets = exact_sets([texts[k] for k in rows])
+            both = _overlaps([sets[i] for i in left], [sets[i] for i in right])
+            size = np.array([len(x) for x in sets], np.float64)
+            linked = both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9
             if left is right:
-                linked &= np.triu(np.ones_like(linked), 1)
-            for i, j in zip(*np.nonzero(linked)):
-                a, b = left[i], right[j]
-                links[a] += copies[b]
-                links[b] += copies[a]
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    lo, hi = (ra, rb) if (rep[ra], key[ra]) <= (rep[rb], key[rb]) else (rb, ra)
-                    parent[hi] = lo
-        return pa.table({"rep": pa.array([rep[k] for k in rows], pa.int64()), "key": pa.array([key[k] for k in rows], pa.binary()), "links": pa.array([links[k] for k in rows], pa.int64()), "root": pa.array([rep[root(k)] for k in rows], pa.int64())})
+                np.fill_diagonal(linked, False)
+            else:
+                links[right] = linked.T @ weight[left]
+            links[left] = linked @ weight[right]
+        # Rows are in order of their ids, so the smallest place has the smallest id; rows of one id are one document.
+        same = np.cumsum([0] + [a != b for a, b in zip(rep, rep[1:])]) if n else np.empty(0, np.int64)
+        low = _connected(linked, left, right, same)
+        id_type = group.schema.field("rep").type
+        return pa.table({"rep": pa.array(rep, id_type), "key": pa.array(key, pa.binary()), "links": pa.array(links), "root": pa.array([rep[i] for i in low], id_type), "alone": pa.array([blocks[0] == 1] * n, pa.bool_())})
 
     return run
 
@@ -225,11 +232,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = groups.join(reps.select(F.col("rep").alias("node"), "key", "copies"), "node")
     sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("text"))
-    dealt = texts.join(placed, "node").select("comp", "block", F.col("node").alias("rep"), "key", "copies", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = dealt.select("comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "key", "copies", "text")
-    found = cut(pairs.groupBy("comp", "bi", "bj").applyInArrow(_verify(threshold), "rep long, key binary, links long, root long"))
-    classes = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    texts = docs.select(F.col(f"`{id_col}`").alias("node"), F.col(f"`{text_col}`").alias("text"))
+    dealt = texts.join(placed, "node").select("comp", "block", "blocks", F.col("node").alias("rep"), "key", "copies", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = dealt.select("comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "blocks", "rep", "key", "copies", "text")
+    id_type = docs.select(f"`{id_col}`").schema[0].dataType.simpleString()
+    found = cut(pairs.groupBy("comp", "bi", "bj").applyInArrow(_verify(threshold), f"rep {id_type}, key binary, links long, root {id_type}, alone boolean"))
+    # A component that one block holds has its classes already; the others' edges are joined over their groups.
+    joined = connected_components(found.where("not alone").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    classes = found.where("alone").select(F.col("rep").alias("node"), F.col("root").alias("comp")).distinct().unionByName(joined)
 
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     told = reps.join(links, "key", "left").join(classes, F.col("rep") == F.col("node"), "left").select("key", "rep", "copies", "mask", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "rep").alias("class_id"))
@@ -248,4 +258,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The documents that stay, one of each class: its smallest id; rows without an id all stay. All columns."""
     name = free_name(docs, "_gone")
     gone = ngram_join(docs, id_col, text_col, **options).where(F.col("class_id") != F.col(f"`{id_col}`")).select(F.col(f"`{id_col}`").alias(name)).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
