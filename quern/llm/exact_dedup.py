@@ -8,11 +8,15 @@ Three stages, each comparing whole normalised texts (they are grouping keys):
 3. the salt winners - at most 64 rows for a text - are combined into one.
 
 Rows find their group again by (digest, salt), never by a digest alone, so this
-join is spread like stage 2. Texts cross the network in stages 2 and 3 only.
+join is spread like stage 2. Texts cross the network in stages 2 and 3 only. The
+salt is a function of the id, so rows that share one (or have none) share it:
+those are folded by the map tasks, too - into counts per (digest, id, part of
+the input) for the report, into one row per (digest, salt) where rows are kept.
 
 Defined results: null text counts as empty; a null id sorts last and its group
 keeps it only if all ids are null; of rows that repeat the winning id and text
-exactly one is kept; columns of any other name are untouched.
+exactly one is kept; an empty table gives no rows; texts of any length are
+compared whole; columns of any other name are untouched.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import SPACE
 
 MAX_SALTS = 64
+#: Parts of the input that count an id's rows apart, and rows that one step of writing them out makes.
+PARTS, STEP = 64, 4096
 
 
 def normalised(text: Column) -> Column:
@@ -57,19 +63,22 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
-    rows = _keyed(docs, id_col, text_col, salts).drop("norm")
-    joined = rows.join(duplicate_groups(docs, id_col, text_col, salts), ["digest", "salt"])
-    # The salt is a function of the id: this window needs no exchange after the join.
-    nth = F.row_number().over(Window.partitionBy("digest", "salt", "id").orderBy(F.lit(1)))
-    return joined.withColumn("nth", nth).withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1))
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = MAX_SALTS) -> DataFrame:
     """One row per document: its id, keep_id, group_size, kept, text_sha256."""
-    return _decided(docs, id_col, text_col, salts).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    parts = F.pmod(F.spark_partition_id(), F.lit(PARTS))
+    rows = _keyed(docs, id_col, text_col, salts).select("digest", "salt", "id", parts.alias("part")).groupBy("digest", "salt", "id", "part").agg(F.count(F.lit(1)).alias("times"))
+    joined = rows.join(duplicate_groups(docs, id_col, text_col, salts), ["digest", "salt"])
+    # At most PARTS rows of an id and digest. This window needs no exchange after the join.
+    first = F.min("part").over(Window.partitionBy("digest", "salt", "id"))
+    told = joined.withColumn("wins", F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("part") == first)).repartition("digest", "salt", "part")
+    # Each row as often as it is there; in two steps, so that no array is longer than STEP or the number of steps.
+    steps = told.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / STEP))))
+    every = steps.withColumn("nth", F.explode(F.sequence(F.col("step") * STEP + 1, F.least("times", (F.col("step") + 1) * STEP))))
+    return every.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("wins") & (F.col("nth") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = MAX_SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    return _decided(docs, id_col, text_col, salts).where("kept").select("row.*")
+    order = F.struct(F.col("id").isNull(), "id")
+    best = _keyed(docs, id_col, text_col, salts).groupBy("digest", "salt").agg(F.min_by("row", order).alias("row"), F.min("id").alias("id"))
+    return best.join(duplicate_groups(docs, id_col, text_col, salts), ["digest", "salt"]).where(F.col("id").eqNullSafe(F.col("keep_id"))).select("row.*")
