@@ -5,20 +5,27 @@ every ``<|`` gets a backslash between its characters (and ``<\|`` one more, and
 on), so control strings appear only where a turn begins or ends, and the change
 can be undone exactly. Roles also have ``%`` and line feeds percent-encoded.
 
-Windows: the running sum of turn tokens within a conversation puts a turn into
-the span ``start // stride``. The stride is the budget less the system turn and
-less the conversation's longest turn, so that a span never passes the budget by
-ending in the middle of a turn. The first turn, if its role is ``system``, opens
-every window. What the budget leaves is filled with the turns just before the
-span, up to ``history`` tokens. Only assistant texts of the span itself are
-under the loss mask; repeated ones are not, so each is a target exactly once.
-
-A turn is never cut: if the system turn and one turn pass the budget alone,
-their window has ``over_budget``. Windows are bounded by the budget or one turn.
+Windows: a turn too long to be history (more than ``history`` tokens, but at
+least a quarter and at most half of the budget less the system turn) has a
+window of its own and no history. Between such turns, the running sum of turn
+tokens puts a turn into the span ``start // stride``. The stride is the budget
+less the system turn and less the longest of the conversation's other turns, so
+that a span never passes the budget by ending in the middle of a turn, and is at
+least half of what the system turn leaves. The first turn, if its role is
+``system``, opens every window. What the budget leaves is filled with the turns
+just before the span, back to the last long turn at most and up to ``history``
+tokens. Only assistant texts of the span itself are under the loss mask;
+repeated ones are not, so each is a target exactly once.
+
+So all windows together have at most 1 + history / stride times the turns'
+tokens, and a system turn each. A turn is never cut: if the system turn and one
+turn pass the budget alone, their window has ``over_budget``. Windows are bounded
+by the budget or one turn.
 
 Defined results: null role and text count as empty; a null conversation id is a
 conversation of its own; turns are ordered by (turn, role, MD5 of the
-text), nulls first, and repeated rows are repeated turns; an empty table gives no windows.
+text), nulls first, and repeated rows are repeated turns; an empty table gives no
+windows; texts of any length are kept whole; other columns play no part.
 """
 
 from __future__ import annotations
@@ -69,22 +76,30 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 512, tar
     # The plan is made from lengths alone; texts join it when it is done.
     plan = rows.select("conv_id", "ck", "turn", "tk", "role", "h", F.char_length("head").alias("lo"), F.char_length("piece").alias("size"), tokens(F.col("piece")).alias("tok"))
     by, whole = Window.partitionBy("ck").orderBy("turn", "role", "h"), Window.partitionBy("ck")
-    plan = plan.withColumn("nth", F.row_number().over(by)).withColumn("end", F.sum("tok").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    plan = plan.withColumn("nth", F.row_number().over(by))
     plan = plan.withColumn("is_system", (F.col("nth") == 1) & (F.col("role") == "system"))
     plan = plan.withColumn("sys", F.coalesce(F.max(F.when(F.col("is_system"), F.col("tok"))).over(whole), F.lit(0)))
-    plan = plan.withColumn("longest", F.coalesce(F.max(F.when(~F.col("is_system"), F.col("tok"))).over(whole), F.lit(0)))
-    plan = plan.withColumn("stride", F.greatest(F.lit(1), F.lit(budget) - F.col("sys") - F.col("longest"))).withColumn("start", F.col("end") - F.col("tok") - F.col("sys"))
-    plan = plan.withColumn("span", F.when(F.col("is_system"), F.lit(0)).otherwise(F.floor(F.col("start") / F.col("stride"))).cast("long")).drop("longest", "turn")
+    room = F.greatest(F.lit(1), F.lit(budget) - F.col("sys"))
+    plan = plan.withColumn("is_long", ~F.col("is_system") & (F.col("tok") > F.greatest(F.least(F.lit(history), F.floor(room / 2)), F.floor(room / 4))))
+    short = ~F.col("is_system") & ~F.col("is_long")
+    plan = plan.withColumn("stride", F.greatest(F.lit(1), room - F.coalesce(F.max(F.when(short, F.col("tok"))).over(whole), F.lit(0))))
+    # Segments, in order: odd ones are a long turn each, even ones the turns between two of them. A system turn goes with the next turn.
+    seg = 2 * F.sum(F.col("is_long").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("is_long").cast("int")
+    plan = plan.withColumn("seg", seg).withColumn("seg", F.when(F.col("is_system"), F.coalesce(F.lead("seg").over(by), F.lit(0))).otherwise(F.col("seg")))
+    inside = Window.partitionBy("ck", "seg").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    plan = plan.withColumn("start", F.when(F.col("is_system"), F.lit(0)).otherwise(F.sum(F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("tok"))).over(inside) - F.col("tok")))
+    plan = plan.withColumn("span", F.floor(F.col("start") / F.col("stride")).cast("long")).drop("turn")
     plan = cut(plan)  # used five times below; a row of it is some numbers and keys
 
-    spans = plan.groupBy("ck", "span").agg(F.coalesce(F.min(F.when(~F.col("is_system"), F.col("start"))), F.lit(0)).alias("first"), (F.max("end") - F.max("sys")).alias("last"), F.max("sys").alias("sys"), F.max("is_system").alias("has_system"))
-    spans = spans.withColumn("room", F.least(F.lit(history), F.lit(budget) - F.col("sys") - F.greatest(F.lit(0), F.col("last") - F.col("first"))))
-    spans = spans.withColumn("window", F.row_number().over(Window.partitionBy("ck").orderBy("span")) - 1).drop("last", "sys")
+    own = ~F.col("is_system")
+    spans = plan.groupBy("ck", "seg", "span").agg(F.coalesce(F.min(F.when(own, F.col("start"))), F.lit(0)).alias("first"), F.coalesce(F.max(F.when(own, F.col("start") + F.col("tok"))), F.lit(0)).alias("last"), F.max("sys").alias("sys"), F.max("is_system").alias("has_system"))
+    spans = spans.withColumn("room", F.least(F.lit(history), F.lit(budget) - F.col("sys") - (F.col("last") - F.col("first"))))
+    spans = spans.withColumn("window", F.row_number().over(Window.partitionBy("ck").orderBy("seg", "span")) - 1).drop("last", "sys")
     kept = ["conv_id", "ck", "tk", "role", "h", "nth", "lo", "size", "tok", "window"]
-    new = plan.join(spans.select("ck", "span", "window"), ["ck", "span"]).select(*kept, F.lit(2).alias("part"))
+    new = plan.join(spans.select("ck", "seg", "span", "window"), ["ck", "seg", "span"]).select(*kept, F.lit(2).alias("part"))
     # A turn can be history only of spans whose first token is at most `history` after its own.
-    later = plan.where(~F.col("is_system")).withColumn("to", F.floor((F.col("start") + history) / F.col("stride"))).where("to > span")
-    past = later.withColumn("span", F.explode(F.sequence(F.col("span") + 1, F.col("to")))).join(spans.drop("has_system"), ["ck", "span"]).where("start >= first - room").select(*kept, F.lit(1).alias("part"))
+    later = plan.where(short).withColumn("to", F.floor((F.col("start") + history) / F.col("stride"))).where("to > span")
+    past = later.withColumn("span", F.explode(F.sequence(F.col("span") + 1, F.col("to")))).join(spans.drop("has_system"), ["ck", "seg", "span"]).where("start >= first - room").select(*kept, F.lit(1).alias("part"))
     opening = plan.where("is_system").join(spans.where("not has_system").select("ck", "window"), "ck").select(*kept, F.lit(0).alias("part"))
 
     before = Window.partitionBy("ck", "window").orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)

@@ -30,15 +30,18 @@ _ESC = r"regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g')"
 
 OP4 = rf"""WITH src AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS raw FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
 t AS (SELECT *, length('<|im_start|>' || {_ESC.format("replace(replace(role, '%', '%25'), chr(10), '%0A')")} || chr(10) || {_ESC.format("raw")} || '<|im_end|>' || chr(10)) AS size FROM src),
-a AS (SELECT *, (size + 3) // 4 AS tok, row_number() OVER w AS nth, sum((size + 3) // 4) OVER (w ROWS UNBOUNDED PRECEDING) AS fin FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, md5(raw))),
+a AS (SELECT *, (size + 3) // 4 AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(raw)) AS nth FROM t),
 b AS (SELECT *, nth = 1 AND role = 'system' AS is_system FROM a),
-c AS (SELECT *, coalesce(max(CASE WHEN is_system THEN tok END) OVER (PARTITION BY conv_id), 0) AS sys, coalesce(max(CASE WHEN NOT is_system THEN tok END) OVER (PARTITION BY conv_id), 0) AS longest FROM b),
-e AS (SELECT *, greatest(1, 2048 - sys - longest) AS stride, fin - tok - sys AS start FROM c),
-s AS (SELECT *, CASE WHEN is_system THEN 0 ELSE start // stride END AS span FROM e),
-spans AS (SELECT conv_id, span, coalesce(min(CASE WHEN NOT is_system THEN start END), 0) AS first, max(fin) - max(sys) AS last, max(sys) AS sys, bool_or(is_system) AS has_system FROM s GROUP BY conv_id, span),
-rooms AS (SELECT *, least(512, 2048 - sys - greatest(0, last - first)) AS room FROM spans),
+c AS (SELECT *, coalesce(max(CASE WHEN is_system THEN tok END) OVER (PARTITION BY conv_id), 0) AS sys FROM b),
+l AS (SELECT *, NOT is_system AND tok > greatest(least(512, greatest(1, 2048 - sys) // 2), greatest(1, 2048 - sys) // 4) AS is_long FROM c),
+o AS (SELECT *, greatest(1, greatest(1, 2048 - sys) - coalesce(max(CASE WHEN NOT is_system AND NOT is_long THEN tok END) OVER (PARTITION BY conv_id), 0)) AS stride, 2 * sum(is_long::INT) OVER (PARTITION BY conv_id ORDER BY nth ROWS UNBOUNDED PRECEDING) - is_long::INT AS own FROM l),
+g AS (SELECT *, CASE WHEN is_system THEN coalesce(lead(own) OVER (PARTITION BY conv_id ORDER BY nth), 0) ELSE own END AS seg FROM o),
+e AS (SELECT *, CASE WHEN is_system THEN 0 ELSE sum(CASE WHEN is_system THEN 0 ELSE tok END) OVER (PARTITION BY conv_id, seg ORDER BY nth ROWS UNBOUNDED PRECEDING) - tok END AS start FROM g),
+s AS (SELECT *, start // stride AS span FROM e),
+spans AS (SELECT conv_id, seg, span, coalesce(min(CASE WHEN NOT is_system THEN start END), 0) AS first, coalesce(max(CASE WHEN NOT is_system THEN start + tok END), 0) AS last, max(sys) AS sys, bool_or(is_system) AS has_system FROM s GROUP BY conv_id, seg, span),
+rooms AS (SELECT *, least(512, 2048 - sys - (last - first)) AS room FROM spans),
 pieces AS (SELECT conv_id, size FROM s
- UNION ALL SELECT s.conv_id, size FROM s JOIN rooms r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND NOT s.is_system AND r.span > s.span AND s.start >= r.first - r.room
+ UNION ALL SELECT s.conv_id, size FROM s JOIN rooms r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND NOT s.is_system AND r.seg = s.seg AND r.span > s.span AND s.start >= r.first - r.room
  UNION ALL SELECT s.conv_id, size FROM s JOIN rooms r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.is_system AND NOT r.has_system),
 chars AS (SELECT conv_id, sum(size)::BIGINT AS formatted_chars FROM pieces GROUP BY conv_id),
 wins AS (SELECT conv_id, count(*) AS n_windows FROM spans GROUP BY conv_id),
