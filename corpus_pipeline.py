@@ -1,10 +1,19 @@
-"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, encoding."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, encoding.
+
+Defined results: rows with null in any column, empty and very long texts, and
+repeated rows take part in every stage. Null text counts as empty: it scores the
+bias, equals other empty texts, is near to none, has size 0 and no tokens. Of
+rows that are equal in id and text one stays; rows without an id stay, one of
+each text. Ties go to the smallest doc_id. An empty table gives no rows. Columns
+of any other name come through all stages but the last, whose columns are its own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe, exact_dedup, mixing, ngram_join, queries, toxicity
+from quern.llm.common import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each but the last is cut, so that its successor's several passes do not run it again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = cut(docs)
     return docs
