@@ -81,4 +81,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, with all their columns."""
     order = F.struct(F.col("id").isNull(), "id")
     best = _keyed(docs, id_col, text_col, salts).groupBy("digest", "salt").agg(F.min_by("row", order).alias("row"), F.min("id").alias("id"))
-    return best.join(duplicate_groups(docs, id_col, text_col, salts), ["digest", "salt"]).where(F.col("id").eqNullSafe(F.col("keep_id"))).select("row.*")
+    # No id is below its group's keep_id, so this is equality; as such it would become a key of the join, and rows would be exchanged again.
+    wins = (F.col("id") <= F.col("keep_id")) | F.col("keep_id").isNull()
+    return best.join(duplicate_groups(docs, id_col, text_col, salts), ["digest", "salt"]).where(wins).select("row.*")
