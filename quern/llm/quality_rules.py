@@ -6,14 +6,17 @@ their words. Documents with equal texts count as one document. A line whose
 number of documents within a host passes the host's limit is boilerplate: it is
 removed, and a document left with too small a share of its words is rejected.
 
-The limit is ``max(min_docs, share x documents of the host)``, so that in a host
-which grows a line must be shared by a growing number of documents. Counting is
-by (host, line, document) and then (host, line), both with partial sums on the
-map side; lines above limits meet documents again in a salted join.
+The limit is ``min_docs`` distinct texts, whatever the size of the host, so a
+passage planted in a few dozen documents of a host with a third of all rows is
+found there as it is in a small one. A ``share`` above 0 raises the limit to that
+share of the host's texts. Counting is by (host, line, document) and then (host,
+line), both with partial sums on the map side; lines above limits meet documents
+again in a salted join.
 
 Defined results: null text has no words or lines; a null host is a host of its
 own; rows without a line left or too few words fail the base rules; null and
-repeated ids are kept apart as rows.
+repeated ids are kept apart as rows; an empty table gives no rows; texts of any
+length are read whole; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -94,11 +97,13 @@ def frequent_lines(rows: DataFrame, min_docs: int, share: float) -> DataFrame:
     """host, line: those whose number of distinct documents passes the host's limit."""
     lines = rows.select("host", "same", F.explode(F.array_distinct("lines")).alias("line")).distinct()
     per_line = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
+    if not share:
+        return per_line.select("host", "line")
     hosts = rows.select("host", "same").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     return per_line.join(hosts, "host").where(F.col("n_docs") > F.col("host_docs") * share).select("host", "line")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, min_docs: int = 10, share: float = 0.01, left_percent: int = 30) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, min_docs: int = 10, share: float = 0.0, left_percent: int = 30) -> DataFrame:
     """One row per document: id, the counts, base_failed, removed_words, removed_lines (their places among lines with a word), kept."""
     rows = cut(_measured(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()))
     hot = frequent_lines(rows, min_docs, share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

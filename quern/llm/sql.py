@@ -20,8 +20,7 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worde
 win AS (SELECT doc_id, p, array_to_string(ws[p:p + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS p FROM w WHERE len(ws) >= 8)),
 again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM again) GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT same) AS host_docs FROM d GROUP BY host),
-freq AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT same) AS n FROM worded GROUP BY ALL) JOIN hosts USING (host) WHERE n > 10 AND n > host_docs * 0.01::DOUBLE),
+freq AS (SELECT host, norm FROM worded GROUP BY ALL HAVING count(DISTINCT same) > 10),
 gone AS (SELECT doc_id, sum(k)::BIGINT AS removed_words FROM worded JOIN freq USING (host, norm) GROUP BY doc_id),
 f AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words FROM base JOIN sym USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT ((n_words - removed_words) * 100 < n_words * 30) AS kept FROM f"""

@@ -17,13 +17,13 @@ def hot_host(spark):
 
 
 def test_absolute_limit_in_a_hot_host(hot_host):
-    got = {r["doc_id"]: r["removed_lines"] for r in quality_rules.quality_rules(hot_host, share=0.0).collect()}
+    got = {r["doc_id"]: r["removed_lines"] for r in quality_rules.quality_rules(hot_host).collect()}
     assert all(got[i] == list(range((i < 20) + (i < 200) + (i < 2_000))) for i in range(2_200))
 
 
-def test_share_of_a_hot_host_as_in_the_sql(hot_host):
+def test_share_of_a_hot_host(hot_host):
     """2,200 texts: the limit is 22, so the passage of 20 documents stays."""
-    got = {r["doc_id"]: r["removed_lines"] for r in quality_rules.quality_rules(hot_host).collect()}
+    got = {r["doc_id"]: r["removed_lines"] for r in quality_rules.quality_rules(hot_host, share=0.01).collect()}
     assert got[0] == [1, 2] and got[20] == [0, 1] and got[200] == [0] and got[2_100] == []
 
 
