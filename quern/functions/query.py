@@ -20,15 +20,15 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def rewrite_patterns(query: Column) -> Column:
-    """Currency, percentages, periods and hyphenated terms to one spelling each."""
+    """Currency, percentages, periods (a number with its unit right behind it) and three compound terms to one spelling each, in this order."""
     q = F.regexp_replace(query, r"[₹$€£]|\b(?:rs|inr)\b", " rs ")
     q = F.regexp_replace(q, r"percentage|percent|%", " percent ")
-    q = F.regexp_replace(q, r"(\d+)\s*(?:years?|yrs?|y)\b", "$1year")
-    q = F.regexp_replace(q, r"(\d+)\s*(?:months?|mo|m)\b", "$1month")
-    q = F.regexp_replace(q, r"(\d+)\s*(?:days?|d)\b", "$1day")
-    q = F.regexp_replace(q, r"lock-in", "lockin")
-    q = F.regexp_replace(q, r"expense-ratio", "expense ratio")
-    return F.regexp_replace(q, r"exit-load", "exit load")
+    q = F.regexp_replace(q, r"\b(\d+)(?:y|yr|year)s?\b", "$1 year")
+    q = F.regexp_replace(q, r"\b(\d+)(?:m|month)s?\b", "$1 month")
+    q = F.regexp_replace(q, r"\b(\d+)(?:d|day)s?\b", "$1 day")
+    q = F.regexp_replace(q, r"\block[-\s]?in\b", "lockin")
+    q = F.regexp_replace(q, r"\bexpense[-\s]?ratio\b", "expense ratio")
+    return F.regexp_replace(q, r"\bexit[-\s]?load\b", "exit load")
 
 
 def expand_abbreviations(query: Column, table: dict[str, str] | None = None) -> Column:

@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,71 +27,135 @@ def ranked(scores: DataFrame, k: int | None = None, by: str = "query_id", score:
 
 
 _QUERY_BLOCK = 256
+_NOWHERE = np.iinfo(np.int64).max
 
 
-def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's k highest scores with their names, smaller names first among equal scores."""
+def _best(scores: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's k highest scores with their places, smaller places first among equal scores; -inf is no candidate."""
     least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-    row, col = np.nonzero(scores >= least)  # ties at the edge are all in
-    s, n = scores[row, col], names[row, col]
+    row, col = np.nonzero((scores >= least) & (scores > -np.inf))  # ties at the edge are all in
+    s, n = scores[row, col], places[row, col]
     order = np.lexsort((n, -s, row))
     row, s, n = row[order], s[order], n[order]
-    start = np.searchsorted(row, np.arange(len(scores)))
-    keep = (np.arange(len(row)) - start[row]) < k
-    return s[keep].reshape(-1, k), n[keep].reshape(-1, k)
-
-
-def _asked(queries: DataFrame, query_id: str, vector: str) -> DataFrame:
-    return queries.select(F.col(query_id).cast("long"), F.col(vector).cast("array<double>")).where(F.col(vector).isNotNull())
-
-
-def _nearest(got: pa.Table, corpus: DataFrame, k: int, chunk_id: str, vector: str) -> DataFrame:
-    """query_id, chunk_id, score: at most k rows of each task for each row (id, vector) of ``got``, which travels to the tasks."""
-    ids = np.array(got.column(0).to_pylist(), np.int64)
-    q = np.array(got.column(1).to_pylist(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+    at = np.arange(len(row)) - np.searchsorted(row, np.arange(len(scores)))[row]
+    keep = at < k
+    out = np.full((len(scores), k), -np.inf), np.full((len(scores), k), _NOWHERE)
+    for o, x in zip(out, (s, n)):
+        o[row[keep], at[keep]] = x[keep]
+    return out
+
+
+class Kept:
+    """The best k names of each query so far, whatever type names have; a smaller name comes first among equal scores."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.places, self.names = k, np.full((n, k), -np.inf), np.full((n, k), _NOWHERE), None
+
+    def add(self, names: np.ndarray, score: Callable[[slice], np.ndarray]) -> None:
+        """score: of a block of queries with all the names, -inf for no candidate."""
+        known = len(self.names) if self.names is not None else 0
+        both, at = np.unique(np.concatenate([self.names, names]) if known else names, return_inverse=True)
+        there = self.scores > -np.inf
+        places = np.full(self.places.shape, _NOWHERE)
+        places[there] = at[:known][self.places[there]]
+        for lo in range(0, len(self.scores), _QUERY_BLOCK):
+            part = slice(lo, lo + _QUERY_BLOCK)
+            new = score(part)
+            self.scores[part], places[part] = _best(np.hstack([self.scores[part], new]), np.hstack([places[part], np.broadcast_to(at[known:], new.shape)]), self.k)
+        there = self.scores > -np.inf
+        used, self.places[there] = np.unique(places[there], return_inverse=True)
+        self.names = both[used]
+
+    def rows(self, query_ids: pa.Array, name_type: pa.DataType) -> pa.RecordBatch:
+        there = self.scores > -np.inf
+        names = self.names[self.places[there]] if self.names is not None else np.empty(0, object)
+        asked = query_ids.take(pa.array(np.repeat(np.arange(len(there)), there.sum(1)), pa.int64()))
+        return pa.RecordBatch.from_arrays([asked, pa.array(names, name_type), pa.array(self.scores[there])], ["query_id", "chunk_id", "score"])
+
+
+def _scored(queries: DataFrame, corpus: DataFrame) -> str:
+    """The schema of query_id, chunk_id, score; ids keep their types."""
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {corpus.schema['chunk_id'].dataType.simpleString()}, score double"
+
+
+def _allowed(wanted: list | None, groups: list | None) -> Callable[[slice], np.ndarray] | None:
+    """For a block of queries and all rows: whether a row's group is the one that a query wants; one that wants none takes all."""
+    if wanted is None or groups is None:
+        return None
+    number = {g: k for k, g in enumerate(dict.fromkeys(groups), 1)}
+    rows, asked = np.array([number[g] for g in groups]), np.array([-1 if w is None else number.get(w, 0) for w in wanted])
+    return lambda part: (asked[part, None] == -1) | (asked[part, None] == rows[None, :])
+
+
+def _asked(queries: DataFrame, query_id: str, vector: str, wanted: str | None = None) -> DataFrame:
+    group = F.col(wanted).cast("string") if wanted else F.lit(None).cast("string")
+    return queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v"), group.alias("wanted")).where("v is not null")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors without nulls as rows, from the flat buffer; different lengths are an error."""
+    sizes = set(pc.unique(pc.list_value_length(column)).to_pylist())
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different dimensions: {sorted(sizes)}")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _nearest(got: pa.Table, queries: DataFrame, corpus: DataFrame, k: int, chunk_id: str, vector: str, group: str | None) -> DataFrame:
+    """query_id, chunk_id, score: at most k rows of each task for each row (query_id, v, wanted) of ``got``, which travels to the tasks."""
+    ids = got.column("query_id").combine_chunks()
+    q = _matrix(got.column("v").combine_chunks()) if got.num_rows else np.zeros((0, 0))
     q_norm = np.sqrt((q * q).sum(1))
+    wanted = got.column("wanted").to_pylist() if group else None
+    grouped = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    rows = corpus.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"), grouped.alias("g")).where("chunk_id is not null and v is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(ids):
             return
-        # What is kept of each query so far; unused places have score -inf.
-        best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        kept, name_type = Kept(len(ids), k), None
         for batch in batches:
-            rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and len(v) == q.shape[1]]
-            if not rows:
+            if not batch.num_rows:
                 continue
-            c_ids, c = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-            c_norm = np.sqrt((c * c).sum(1))
-            for at in range(0, len(ids), _QUERY_BLOCK):
-                part = slice(at, at + _QUERY_BLOCK)
+            name_type, c = batch.column(0).type, _matrix(batch.column(1))
+            if c.shape[1] != q.shape[1]:
+                raise ValueError(f"queries have {q.shape[1]} dimensions, rows {c.shape[1]}")
+            c_norm, fits = np.sqrt((c * c).sum(1)), _allowed(wanted, batch.column(2).to_pylist() if wanted else None)
+
+            def score(part: slice) -> np.ndarray:
                 s = np.round(q[part] @ c.T / (q_norm[part, None] * c_norm[None, :] + 1e-8), 12)
-                best_s[part], best_i[part] = _best(np.hstack([best_s[part], s]), np.hstack([best_i[part], np.broadcast_to(c_ids, s.shape)]), k)
-        there = best_s > -np.inf
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(1))), pa.array(best_i[there]), pa.array(best_s[there])], ["query_id", "chunk_id", "score"])
+                return s if fits is None else np.where(fits(part), s, -np.inf)
+
+            kept.add(batch.column(0).to_numpy(zero_copy_only=False), score)
+        if name_type is not None:
+            yield kept.rows(ids, name_type)
 
-    return corpus.select(F.col(chunk_id).cast("long").alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "query_id long, chunk_id long, score double")
+    return rows.mapInArrow(run, _scored(queries, rows))
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", max_queries: int = 20_000) -> DataFrame:
-    """query_id, chunk_id, score (cosine), rank: exact, one matrix product per Arrow batch.
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", max_queries: int = 20_000, wanted: str | None = None, group: str | None = None) -> DataFrame:
+    """query_id, chunk_id, score (cosine), rank: exact, one matrix product per Arrow batch. Ids may have any type with an order.
 
     The queries travel to every task, so their number is checked against
     ``max_queries``; dense_topk_blocks takes any number. A task emits at most k
-    rows per query, whatever the size of its partition.
+    rows per query, whatever the size of its partition. Where a query's ``wanted``
+    is not null, only rows with that ``group`` are ranked for it. Rows without a
+    vector or an id are no candidates; vectors of another dimension are an error.
     """
-    got = _asked(queries, query_id, vector).limit(max_queries + 1).toArrow()
+    asked = _asked(queries, query_id, vector, wanted)
+    got = asked.limit(max_queries + 1).toArrow()
     if got.num_rows > max_queries:
         raise ValueError(f"more than {max_queries} queries; ask them by dense_topk_blocks")
-    return ranked(_nearest(got, corpus, k, chunk_id, vector), k)
+    return ranked(_nearest(got, asked, corpus, k, chunk_id, vector, group), k)
 
 
-def dense_topk_blocks(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", max_queries: int = 20_000) -> DataFrame:
+def dense_topk_blocks(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", max_queries: int = 20_000, wanted: str | None = None, group: str | None = None) -> DataFrame:
     """dense_topk for any number of queries: blocks of at most ``max_queries``, one pass over the corpus each, ranked together.
 
     A task holds one block; the driver holds all query vectors, read once.
     """
-    got = _asked(queries, query_id, vector).toArrow()
-    blocks = [_nearest(got.slice(at, max_queries), corpus, k, chunk_id, vector) for at in range(0, max(1, got.num_rows), max_queries)]
+    asked = _asked(queries, query_id, vector, wanted)
+    got = asked.toArrow()
+    blocks = [_nearest(got.slice(at, max_queries), asked, corpus, k, chunk_id, vector, group) for at in range(0, max(1, got.num_rows), max_queries)]
     return ranked(reduce(DataFrame.unionByName, blocks), k)
 
 
@@ -113,24 +178,100 @@ def token_idf(docs: DataFrame, text_col: str = "text", epsilon: float = 0.25) ->
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("raw")).alias("idf"))
 
 
+def token_weights(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "query", text_col: str = "text", epsilon: float = 0.25) -> DataFrame:
+    """query_id, token, w (times in the query x idf) of the queries' tokens that documents have."""
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    return asked.join(token_idf(docs, text_col, epsilon), "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
+
+
 def bm25_scores(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "query", chunk_id: str = "chunk_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, broadcast_tokens: int = 500_000) -> DataFrame:
-    """query_id, chunk_id, score for pairs that share a token.
+    """query_id, chunk_id, score for pairs that share a token: one row each, so for few queries or rare words; bm25_topk makes no pairs.
 
     The queries' tokens are counted; up to ``broadcast_tokens`` of them filter the
     documents' tokens before any shuffle, more of them join by shuffle.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    weights = asked.join(token_idf(docs, text_col, epsilon), "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
+    weights = token_weights(queries, docs, query_id, query_text, text_col, epsilon)
+    asked = queries.select(F.explode(tokens(F.col(query_text))).alias("token")).distinct()
     words = docs.select(F.col(chunk_id).alias("chunk_id"), tokens(F.col(text_col)).alias("t"))
-    postings = words.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("token")).join(small_side(asked.select("token").distinct(), broadcast_tokens), "token", "left_semi").groupBy("chunk_id", "token", "dl").agg(F.count(F.lit(1)).alias("f"))
+    postings = words.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("token")).join(small_side(asked, broadcast_tokens), "token", "left_semi").groupBy("chunk_id", "token", "dl").agg(F.count(F.lit(1)).alias("f"))
     pairs = postings.join(weights, "token").crossJoin(F.broadcast(corpus_stats(docs, chunk_id, text_col).select("avgdl")))
     part = F.col("w") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, **options) -> DataFrame:
-    """The best k per query; scores that are not positive go after the cut."""
-    return ranked(bm25_scores(queries, docs, **options), k).where("score > 0")
+def _bm25_best(got: pa.Table, avgdl: float, docs: DataFrame, query_schema: DataFrame, k: int, chunk_id: str, text_col: str, group: str | None, k1: float, b: float) -> DataFrame:
+    """query_id, chunk_id, score above 0: at most k rows of each task for each query of ``got`` (query_id, wanted, token, w)."""
+    got = got.sort_by([("query_id", "ascending")])
+    ids = pc.unique(got.column("query_id").combine_chunks())
+    query = pc.index_in(got.column("query_id").combine_chunks(), ids).to_numpy()
+    words = got.column("token").combine_chunks().dictionary_encode()
+    token, vocabulary = words.indices.to_numpy(), words.dictionary
+    by_token = np.argsort(token, kind="stable")
+    w, query, first = got.column("w").to_numpy()[by_token], query[by_token], np.searchsorted(token[by_token], np.arange(len(vocabulary) + 1))
+    wanted = dict(zip(got.column("query_id").to_pylist(), got.column("wanted").to_pylist())) if group else None
+    wanted = [wanted[i] for i in ids.to_pylist()] if group else None
+    grouped = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    rows = docs.select(F.col(chunk_id).alias("chunk_id"), tokens(F.col(text_col)).alias("t"), grouped.alias("g")).where("chunk_id is not null and size(t) > 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(ids):
+            return
+        kept, name_type = Kept(len(ids), k), None
+        for whole in batches:
+            for at in range(0, whole.num_rows, _QUERY_BLOCK):
+                batch = whole.slice(at, _QUERY_BLOCK)
+                name_type, dl = batch.column(0).type, pc.list_value_length(batch.column(1)).to_numpy()
+                said = batch.column(1).flatten().dictionary_encode()
+                known = pc.fill_null(pc.index_in(said.dictionary, vocabulary), -1).to_numpy()[said.indices.to_numpy()]
+                doc = np.repeat(np.arange(len(dl)), dl)[known >= 0]
+                if not len(doc):
+                    continue
+                used, column = np.unique(known[known >= 0], return_inverse=True)
+                f = np.bincount(doc * len(used) + column, minlength=len(dl) * len(used)).reshape(len(dl), -1)
+                part_of = f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avgdl)[:, None])
+                # Weights of the used tokens, by query: a block of queries is a slice of them.
+                sizes = first[used + 1] - first[used]
+                entry = np.repeat(first[used] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+                order = np.argsort(query[entry], kind="stable")
+                q_at, t_at, w_at = query[entry][order], np.repeat(np.arange(len(used)), sizes)[order], w[entry][order]
+                fits = _allowed(wanted, batch.column(2).to_pylist() if wanted else None)
+
+                def score(part: slice) -> np.ndarray:
+                    n = min(part.stop, len(ids)) - part.start
+                    lo, hi = np.searchsorted(q_at, (part.start, part.start + n))
+                    weights = np.zeros((n, len(used)))
+                    weights[q_at[lo:hi] - part.start, t_at[lo:hi]] = w_at[lo:hi]
+                    s = np.round(weights @ part_of.T, 6)
+                    return np.where((s > 0) if fits is None else (s > 0) & fits(part), s, -np.inf)
+
+                kept.add(batch.column(0).to_numpy(zero_copy_only=False), score)
+        if name_type is not None:
+            yield kept.rows(ids, name_type)
+
+    return rows.mapInArrow(run, _scored(query_schema, rows))
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", chunk_id: str = "chunk_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, max_weights: int = 500_000, wanted: str | None = None, group: str | None = None) -> DataFrame:
+    """The best k per query with a score above 0; a document is scored where it is, so at most k rows of a task and query are shuffled.
+
+    The weights of the queries' tokens travel to the tasks, in blocks of queries
+    with about ``max_weights`` of them, one pass over the documents each; the driver
+    holds them all. Where a query's ``wanted`` is not null, only documents with that
+    ``group`` are ranked for it. Null ids are neither asked nor found.
+    """
+    weights = token_weights(queries, docs, query_id, query_text, text_col, epsilon).where("query_id is not null")
+    group_of = queries.select(F.col(query_id).alias("query_id"), (F.col(wanted).cast("string") if wanted else F.lit(None).cast("string")).alias("wanted"))
+    got = weights.join(group_of, "query_id").orderBy("query_id", "token").toArrow() if wanted else weights.withColumn("wanted", F.lit(None).cast("string")).orderBy("query_id", "token").toArrow()
+    avgdl = corpus_stats(docs, chunk_id, text_col).first()["avgdl"] or 1.0
+    blocks, at = [], 0
+    ids = got.column("query_id").to_pylist()
+    while at < len(ids) or not blocks:
+        end = min(len(ids), at + max_weights)
+        while end < len(ids) and ids[end] == ids[end - 1]:  # a query is in one block
+            end += 1
+        blocks.append(_bm25_best(got.slice(at, end - at), avgdl, docs, weights, k, chunk_id, text_col, group, k1, b))
+        at = max(end, at + 1)
+    return ranked(reduce(DataFrame.unionByName, blocks), k)
 
 
 def reciprocal_rank_fusion(dense: DataFrame, sparse: DataFrame, dense_weight: Column | float = 0.7, sparse_weight: Column | float = 0.3, k: int = 20) -> DataFrame:

@@ -313,10 +313,25 @@ def search_entities(spark, d):
 
 
 # ---------------------------------------------------------------- queries and policy
-_NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(replace(lower(text), chr(160), ' '), '\s+', ' ', 'g')), '[₹$€£]|\b(?:rs|inr)\b', ' rs ', 'g'), 'percentage|percent|%', ' percent ', 'g'), '(\d+)\s*(?:years?|yrs?|y)\b', '\1year', 'g'), '(\d+)\s*(?:months?|mo|m)\b', '\1month', 'g'), '(\d+)\s*(?:days?|d)\b', '\1day', 'g')"
-
-
-@query(rf"SELECT conv_id, turn, trim(regexp_replace(replace(replace(replace({_NORM}, 'lock-in', 'lockin'), 'expense-ratio', 'expense ratio'), 'exit-load', 'exit load'), ' +', ' ', 'g')) AS normalized FROM conversations")
+def _normal_sql(text: str) -> str:
+    """The rewrites in their order, each a rule of its own."""
+    out = rf"trim(regexp_replace(replace(lower({text}), chr(160), ' '), '\s+', ' ', 'g'))"
+    for rule, to in (
+        (r"[₹$€£]|\b(?:rs|inr)\b", " rs "),
+        (r"percentage|percent|%", " percent "),
+        (r"\b(\d+)(y|yr|year)s?\b", r"\1 year"),
+        (r"\b(\d+)(m|month)s?\b", r"\1 month"),
+        (r"\b(\d+)(d|day)s?\b", r"\1 day"),
+        (r"\block(-|\s)?in\b", "lockin"),
+        (r"\bexpense(-|\s)?ratio\b", "expense ratio"),
+        (r"\bexit(-|\s)?load\b", "exit load"),
+        (r" +", " "),
+    ):
+        out = f"regexp_replace({out}, '{rule}', '{to}', 'g')"
+    return f"trim({out})"
+
+
+@query(f"SELECT conv_id, turn, {_normal_sql('text')} AS normalized FROM conversations")
 def query_normalize(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", qn.normalize_query(F.translate("text", " ", " "), compose=False).alias("normalized"))
 

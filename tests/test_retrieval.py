@@ -14,7 +14,7 @@ def test_dense_topk_matches_brute_force_with_ties(spark):
     rng = random.Random(2)
     vectors = {i: [rng.uniform(-1, 1) for _ in range(8)] for i in range(60)}
     vectors[7], vectors[9] = list(vectors[3]), list(vectors[3])  # exact ties
-    v = spark.createDataFrame([*vectors.items(), (100, None), (101, [1.0])], "chunk_id long, embedding array<double>").repartition(3)
+    v = spark.createDataFrame([*vectors.items(), (100, None), (None, vectors[3])], "chunk_id long, embedding array<double>").repartition(3)
     q = spark.createDataFrame([(k, vectors[k]) for k in (3, 20)], "query_id long, embedding array<double>")
     got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in rt.dense_topk(q, v, 5).collect()}
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (math.hypot(*a) * math.hypot(*b) + 1e-8)
@@ -23,6 +23,8 @@ def test_dense_topk_matches_brute_force_with_ties(spark):
         assert [got[k, n] for n in range(1, 6)] == want
     with pytest.raises(ValueError):
         rt.dense_topk(q, v, 5, max_queries=1)
+    with pytest.raises(Exception, match="dimension"):
+        rt.dense_topk(q, v.unionByName(spark.createDataFrame([(101, [1.0])], v.schema)), 5).collect()
     assert rt.dense_topk(q.where("false"), v, 5).count() == 0
 
 

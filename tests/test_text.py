@@ -72,7 +72,15 @@ def test_urls(evaluate):
 
 def test_query_rewrites(evaluate):
     n = lambda s, **k: evaluate(qn.normalize_query(F.lit(s), **k))
-    assert n("Lock-in for 3 yrs, 5%") == "lockin for 3year, 5 percent"
+    assert n("Lock-in for 3 yrs, 5%") == "lockin for 3 yrs, 5 percent"
+    assert n("block-in 10 m expenseratio 5yrs") == "block-in 10 m expense ratio 5 year"
+    assert n("Lock in, lockin, 3year 1y 18months 6m 30days 1d x3y") == "lockin, lockin, 3 year 1 year 18 month 6 month 30 day 1 day x3y"
+    assert n("exitload Exit-Load expense-ratio EXPENSE RATIO") == "exit load exit load expense ratio expense ratio"
+    assert n("What is the exit load for HDFC Mid Cap Fund?") == "what is the exit load for hdfc mid cap fund?"
+    assert n("How much is the expense ratio % for ELSS?") == "how much is the expense ratio percent for elss?"
+    assert n("₹500 SIP for 3 years returns?") == "rs 500 sip for 3 years returns?"
+    assert n("1 year lockin period for tax saver fund") == "1 year lockin period for tax saver fund"
+    assert n("0.45% expense ratio comparison") == "0.45 percent expense ratio comparison"
     assert n("₹500 over years") == "rs 500 over years"
     assert n("percentage of ﬁve") == "percent of five"
     assert n("nav today", expand=True) == "net asset value today"
