@@ -35,7 +35,7 @@ def resolve_longest(queries: DataFrame, alias_table: DataFrame, query_id: str =
     hits = q.join(_checked(alias_table.select("entity_id", "name", "alias"), max_aliases), F.expr("contains(q, alias)"))
     best = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.char_length("alias")), "entity_id", "alias"))).where("n = 1")
     sure = F.when(F.col("q") == F.lower(F.col("name")), F.greatest(F.lit(0.9), F.char_length("alias") / F.char_length("q"))).otherwise(F.char_length("alias") / F.char_length("q"))
-    told = best.select("query_id", "entity_id", "alias", F.round(F.least(F.lit(1.0), sure + F.when(F.char_length("alias") > 10, 0.1).otherwise(0.0)), 6).alias("confidence"))
+    told = best.select("query_id", "entity_id", "name", "alias", F.round(F.least(F.lit(1.0), sure + F.when(F.char_length("alias") > 10, 0.1).otherwise(0.0)), 6).alias("confidence"))
     return queries.select(F.col(query_id).alias("query_id")).join(told, "query_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 

@@ -289,18 +289,20 @@ def channel_weights(numeric_heavy: Column) -> tuple[Column, Column]:
 
 
 def section_boost(query: Column, section: Column, boosts: dict[str, float] | None = None) -> Column:
-    """Factor for a result whose section shares tokens with the query."""
-    q, s = F.array_distinct(tokens(query)), F.array_distinct(tokens(section))
+    """Factor for a result whose section shares words, as white space parts them, with the query; a key may be any part of a shared word."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+"), lambda w: w != ""))
+    q, s = words(query), words(section)
     shared = F.array_intersect(q, s)
     has = lambda key: F.exists(shared, lambda t: F.contains(t, F.lit(key)))
     best = F.greatest(F.lit(1.0), *[F.when(has(key), F.lit(float(v))).otherwise(F.lit(1.0)) for key, v in (boosts or lx.SECTION_BOOSTS).items()])
     return F.when(F.size(shared) > 0, best + F.size(shared) * 0.1 / F.greatest(F.size(q), F.lit(1))).otherwise(F.lit(1.0))
 
 
-def filter_or_relax(results: DataFrame, keep: Column, by: str = "query_id") -> DataFrame:
-    """Rows that fit; of queries where none fits, all. One window, no second job."""
+def filter_or_relax(results: DataFrame, keep: Column, by: str = "query_id", relax: Column | None = None) -> DataFrame:
+    """Rows that fit; of queries where none fits (and which may relax), all. One window, no second job."""
     flagged = results.withColumn("_fits", keep).withColumn("_any", F.max(F.col("_fits").cast("int")).over(Window.partitionBy(by)))
-    return flagged.where(F.col("_fits") | (F.coalesce(F.col("_any"), F.lit(0)) == 0)).drop("_fits", "_any")
+    none = F.coalesce(F.col("_any"), F.lit(0)) == 0
+    return flagged.where(F.col("_fits") | (none if relax is None else none & relax)).drop("_fits", "_any")
 
 
 def rerank(results: DataFrame, k: int = 3, scorer: Callable[[Column, Column], Column] = overlap_score, query_text: str = "query", text_col: str = "text") -> DataFrame:

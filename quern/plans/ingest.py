@@ -39,9 +39,11 @@ def chunk(docs: DataFrame, positive: list[str] | None = None, negative: list[str
     section = lambda s, i: F.struct((i + 1).alias("no"), s["heading"].alias("heading"), tx.collapse(F.array_join(s["content"], " ")).alias("text"))
     good = F.filter(F.transform("sections", section), lambda s: tx.is_relevant(s["text"], threshold, positive, negative))
     kept = F.filter(tx.sentences(tx.collapse(F.col("full_text"))), lambda s: tx.is_relevant(s, fallback_threshold, positive, negative))
-    fallback = F.filter(F.array(F.struct(F.lit(999).alias("no"), F.lit("Fallback").alias("heading"), F.array_join(kept, " ").alias("text"))), lambda s: s["text"] != "")
+    fallback = F.filter(F.array(F.struct(F.lit(999).alias("no"), F.lit("Document").alias("heading"), F.array_join(kept, " ").alias("text"))), lambda s: s["text"] != "")
     picked = numbered.withColumn("_good", good).withColumn("s", F.explode(F.when(F.size("_good") > 0, F.col("_good")).otherwise(fallback)))
-    pieces = picked.select("url", "doc_no", F.col("s.no").alias("section_no"), F.col("s.heading").alias("section_heading"), F.posexplode(tx.chunks(F.col("s.text"))).alias("pos", "text"))
+    # Of when the page was fetched; the footer of an answer cites it.
+    date = F.col("source_date").cast("string") if "source_date" in docs.columns else F.lit(None).cast("string")
+    pieces = picked.withColumn("source_date", date).select("url", "source_date", "doc_no", F.col("s.no").alias("section_no"), F.col("s.heading").alias("section_heading"), F.posexplode(tx.chunks(F.col("s.text"))).alias("pos", "text"))
     title = title_from_url(F.col("url"))
     return pieces.select(
         F.format_string("c-%02d-%03d-%03d", "doc_no", "section_no", F.col("pos") + 1).alias("chunk_id"),
@@ -51,6 +53,7 @@ def chunk(docs: DataFrame, positive: list[str] | None = None, negative: list[str
         slug(title).alias("entity_id"),
         F.lit("web_page").alias("doc_type"),
         "section_heading",
+        "source_date",
         F.lit(CLEANER_VERSION).alias("cleaner_version"),
         score(F.col("text")).alias("relevance_score"),
     )
@@ -64,7 +67,7 @@ def embed(chunks: DataFrame, encoder=None, dim: int = 384, model: str = "hashed-
 
 
 def ingest(pages: DataFrame, approved: DataFrame | None = None, mode: str = "strict", **options) -> DataFrame:
-    """Pages (url, html) to chunks, after the allowlist if one is given."""
+    """Pages (url, html and, where known, source_date) to chunks, after the allowlist if one is given."""
     listed = pages if approved is None else pages.join(approved.select("url").distinct(), "url", "left_semi")
     return listed.transform(extract, mode).transform(clean).transform(chunk, **options)
 
