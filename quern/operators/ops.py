@@ -112,6 +112,29 @@ def freshness(artefacts: DataFrame, now: Column, max_hours: float = 48.0) -> Dat
     return artefacts.select("name", F.round(age_hours(F.col("updated_at"), now), 6).alias("age_hours")).withColumn("is_stale", F.col("age_hours") > max_hours)
 
 
+def index_health(report: DataFrame) -> DataFrame:
+    """count_match, failed_filters, issues, status from (total_input_chunks, total_indexed_chunks, filter_checks map)."""
+    failed = F.array_sort(F.map_keys(F.map_filter("filter_checks", lambda _, ok: ~ok)))
+    out = report.withColumn("count_match", F.col("total_input_chunks") == F.col("total_indexed_chunks")).withColumn("failed_filters", failed)
+    out = out.withColumn("issues", (~F.col("count_match")).cast("int") + F.size("failed_filters"))
+    return out.select("count_match", "failed_filters", "issues", health_status(F.col("issues"), 2).alias("status"))
+
+
+def data_freshness(artefacts: DataFrame, now: Column, max_hours: float = 48.0, index: str = "index", embeddings: str = "embeddings") -> DataFrame:
+    """One row of (name, updated_at): ages, index_outdated (older than the embeddings), issues, status. A missing artefact is an issue."""
+    at = lambda n: F.max(F.when(F.col("name") == n, F.col("updated_at")))
+    m = artefacts.agg(at(index).alias("_i"), at(embeddings).alias("_e"))
+    m = m.select(F.round(age_hours(F.col("_i"), now), 6).alias("index_hours"), F.round(age_hours(F.col("_e"), now), 6).alias("embedding_hours"), F.coalesce(F.col("_i") < F.col("_e"), F.lit(False)).alias("index_outdated"))
+    late = lambda c: (F.col(c).isNull() | (F.col(c) > max_hours)).cast("int")
+    m = m.withColumn("issues", late("index_hours") + late("embedding_hours") + F.col("index_outdated").cast("int"))
+    return m.withColumn("status", health_status(F.col("issues"), 1))
+
+
+def health_rollup(checks: DataFrame) -> DataFrame:
+    """One row of (check, status): the worst status of all, the names by status, how many there are."""
+    return roll_up(checks, "check", "unhealthy", "degraded", "healthy")
+
+
 def retry_schedule(attempts: DataFrame, op_col: str, ts_col: str, tie: str, base: int = 60, cap: int = 3600, most: int = 3) -> DataFrame:
     """Adds attempt (1-based per operation), delay before the next one, and whether one is allowed."""
     nth = F.row_number().over(Window.partitionBy(op_col).orderBy(ts_col, tie))

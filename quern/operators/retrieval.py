@@ -336,7 +336,7 @@ def adaptive_thresholds(kind: Column, threshold: float = 0.1, margin: float = 0.
 
 
 def rerank_statistics(results: DataFrame) -> DataFrame:
-    """Per query: count, mean, population deviation, extremes, upper median, and three score ranges."""
+    """Per query: count, mean, population deviation, extremes, upper median, the best three, and three score ranges."""
     s = F.col("score")
     got = results.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -349,4 +349,15 @@ def rerank_statistics(results: DataFrame) -> DataFrame:
         F.count_if((s >= 0.2) & (s <= 0.5)).alias("n_medium"),
         F.count_if(s < 0.2).alias("n_low"),
     )
-    return got.select("query_id", "n", "mean_score", "std_score", "min_score", "max_score", F.element_at("all", (F.floor(F.col("n") / 2) + 1).cast("int")).alias("median_score"), "n_high", "n_medium", "n_low")
+    return got.select("query_id", "n", "mean_score", "std_score", "min_score", "max_score", F.element_at("all", (F.floor(F.col("n") / 2) + 1).cast("int")).alias("median_score"), F.slice(F.reverse("all"), 1, 3).alias("top_scores"), "n_high", "n_medium", "n_low")
+
+
+def freshness_boost(score: Column, date: Column, today: Column, half_life_days: float = 180.0, floor: float = 0.5) -> Column:
+    """A score that falls with the age of its source, by half each half-life, to ``floor`` of it at least; an unknown date counts as oldest."""
+    age = F.greatest(F.lit(0), F.datediff(today, date))
+    return score * F.when(date.isNull(), F.lit(floor)).otherwise(F.greatest(F.lit(floor), F.pow(F.lit(0.5), age / F.lit(half_life_days))))
+
+
+def generic_penalty(score: Column, section: Column, generic: tuple[str, ...] = ("Document", "Untitled Section"), factor: float = 0.8) -> Column:
+    """A lower score for chunks whose section says nothing."""
+    return F.when(section.isNull() | section.isin(*generic), score * F.lit(factor)).otherwise(score)

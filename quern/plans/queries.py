@@ -147,10 +147,10 @@ def confidence_gate(spark, d):
 
 
 @query(f"""WITH {_DENSE} SELECT query_id, count(*) AS n, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score,
-round(list_sort(list(score))[count(*) // 2 + 1], 6) AS median_score, count(*) FILTER (score > 0.5) AS n_high, count(*) FILTER (score BETWEEN 0.2 AND 0.5) AS n_medium, count(*) FILTER (score < 0.2) AS n_low FROM dense GROUP BY query_id""")
+round(list_sort(list(score))[count(*) // 2 + 1], 6) AS median_score, round(list_sum(list_reverse_sort(list(score))[1:3]), 6) AS top3_sum, count(*) FILTER (score > 0.5) AS n_high, count(*) FILTER (score BETWEEN 0.2 AND 0.5) AS n_medium, count(*) FILTER (score < 0.2) AS n_low FROM dense GROUP BY query_id""")
 def rerank_stats(spark, d):
     r = rt.rerank_statistics(_dense(spark, d))
-    return r.select("query_id", "n", *[F.round(c, 6).alias(c) for c in ("mean_score", "std_score", "min_score", "max_score", "median_score")], "n_high", "n_medium", "n_low")
+    return r.select("query_id", "n", *[F.round(c, 6).alias(c) for c in ("mean_score", "std_score", "min_score", "max_score", "median_score")], F.round(F.aggregate("top_scores", F.lit(0.0), lambda a, x: a + x), 6).alias("top3_sum"), "n_high", "n_medium", "n_low")
 
 
 _TURNS = """turns AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS s FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
@@ -776,15 +776,15 @@ def retry_reset(spark, d):
 
 
 # ---------------------------------------------------------------- evaluation
-_JUDGED = "judged AS (SELECT l.doc_id AS query_id, CASE WHEN length(d.text) < 500 THEN 'easy' WHEN length(d.text) < 2000 THEN 'medium' ELSE 'hard' END AS difficulty, l.quality = 1 AS success, l.toxic = 0 AS entity_correct, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'junk' END AS reason FROM labels l JOIN documents d USING (doc_id))"
+_JUDGED = "judged AS (SELECT l.doc_id AS query_id, CASE WHEN length(d.text) < 500 THEN 'easy' WHEN length(d.text) < 2000 THEN 'medium' ELSE 'hard' END AS difficulty, l.quality = 1 AS success, l.toxic = 0 AS entity_correct, l.quality + l.toxic > 0 AS confident, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'junk' END AS reason FROM labels l JOIN documents d USING (doc_id))"
 
 
 def _judged(spark, d):
     j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.char_length("text").alias("n")), "doc_id")
-    return j.select(F.col("doc_id").alias("query_id"), F.when(F.col("n") < 500, "easy").when(F.col("n") < 2000, "medium").otherwise("hard").alias("difficulty"), (F.col("quality") == 1).alias("success"), (F.col("toxic") == 0).alias("entity_correct"), F.lit(1.0).alias("keyword_share"), F.when(F.col("toxic") == 1, "toxic").otherwise("junk").alias("reason"))
+    return j.select(F.col("doc_id").alias("query_id"), F.when(F.col("n") < 500, "easy").when(F.col("n") < 2000, "medium").otherwise("hard").alias("difficulty"), (F.col("quality") == 1).alias("success"), (F.col("toxic") == 0).alias("entity_correct"), F.lit(1.0).alias("keyword_share"), (F.col("quality") + F.col("toxic") > 0).alias("confident"), F.when(F.col("toxic") == 1, "toxic").otherwise("junk").alias("reason"))
 
 
-@query(f"WITH {_JUDGED} SELECT count(*) AS n, round(100 * avg(success::INT), 6) AS success_rate, round(100 * avg(entity_correct::INT), 6) AS entity_rate, 100::DOUBLE AS keyword_rate, avg(success::INT) * 100 >= 85 AS passed FROM judged")
+@query(f"WITH {_JUDGED} SELECT count(*) AS n, round(100 * avg(success::INT), 6) AS success_rate, round(100 * avg(entity_correct::INT), 6) AS entity_rate, 100::DOUBLE AS keyword_rate, round(100 * avg(confident::INT), 6) AS confidence_rate, avg(success::INT) * 100 >= 85 AS passed FROM judged")
 def eval_metrics(spark, d):
     return evaluate.metrics(_judged(spark, d))
 
@@ -809,6 +809,39 @@ def eval_confusion(spark, d):
     return evaluate.confusion(_judged(spark, d), F.col("success"), F.col("entity_correct"))
 
 
+@query(f"WITH {_JUDGED} SELECT count(*) FILTER (success) AS n, round(100 * avg((NOT entity_correct)::INT) FILTER (success), 6) AS confusion_rate FROM judged")
+def entity_confusion(spark, d):
+    return evaluate.confusion_rate(_judged(spark, d))
+
+
+@query("""WITH facts AS (SELECT unnest(['the', 'que', 'licence', 'copyright', 'token']) AS fact), reg AS (SELECT DISTINCT source AS entity_id FROM documents WHERE source IS NOT NULL)
+SELECT entity_id, fact FROM reg, facts WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.source = entity_id AND contains(lower(d.text), fact))""")
+def coverage_gaps(spark, d):
+    docs = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("entity_id"), "text")
+    facts = spark.createDataFrame([(f,) for f in ("the", "que", "licence", "copyright", "token")], "fact string")
+    return evaluate.coverage_gaps(docs, facts, docs)
+
+
+@query("SELECT order_key AS order_id, round(0.9::DOUBLE * greatest(0.5, pow(0.5, greatest(0, datediff('day', placed, DATE '1998-09-01')) / 180.0)), 6) AS boosted FROM (SELECT o_orderkey AS order_key, o_orderdate::DATE AS placed FROM orders)")
+def freshness_boost(spark, d):
+    boosted = rt.freshness_boost(F.lit(0.9), F.to_date("o_orderdate"), F.lit("1998-09-01").cast("date"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.round(boosted, 6).alias("boosted"))
+
+
+@query(rf"""WITH {_TURNS}, p AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(q), '[\p{{L}}\p{{N}}_]+')) AS known, list_filter(list_transform(string_split(regexp_replace(s, '([.!?])', '\1' || chr(1), 'g'), chr(1)), lambda x: list_distinct(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]+'))), lambda w: len(w) > 0) AS parts FROM turns)
+SELECT conv_id, turn, round(CASE WHEN len(parts) > 0 THEN len(list_filter(parts, lambda w: len(list_intersect(w, known)) >= len(w) * 0.2::DOUBLE)) / len(parts) ELSE 1 END, 6) AS aligned FROM p""")
+def evidence_alignment(spark, d):
+    return _turn_pairs(spark, d).select("conv_id", "turn", F.round(answers.evidence_alignment(F.col("s"), F.col("q"), 0.2), 6).alias("aligned"))
+
+
+@query("WITH a AS (SELECT max(ts) FILTER (event_type = 'error') AS i, max(ts) FILTER (event_type = 'signup') AS e FROM events) SELECT round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(i)) / 3.6e9, 4) AS index_hours, round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(e)) / 3.6e9, 4) AS embedding_hours, i < e AS index_outdated, ((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(i)) / 3.6e9 > 48)::BIGINT + ((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(e)) / 3.6e9 > 48)::BIGINT + (i < e)::BIGINT AS issues FROM a")
+def data_freshness(spark, d):
+    """The latest error stands for the index, the latest signup for the embeddings."""
+    a = table(spark, d, "events").where("event_type in ('error', 'signup')").groupBy(F.when(F.col("event_type") == "error", "index").otherwise("embeddings").alias("name")).agg(F.max("ts").alias("updated_at"))
+    r = ops.data_freshness(a, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    return r.select(F.round("index_hours", 4).alias("index_hours"), F.round("embedding_hours", 4).alias("embedding_hours"), "index_outdated", long("issues").alias("issues"))
+
+
 # ---------------------------------------------------------------- events
 def _events(spark, d):
     return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,18 +21,32 @@ class HttpFailure(Exception):
         self.code = code
 
 
-def http_get(url: str, timeout: float = 20.0) -> tuple[int, str, bytes]:
-    """Status, content type and body, by the standard library."""
+def http_get(url: str, timeout: float = 20.0, listed: frozenset[str] = frozenset()) -> tuple[int, str, bytes]:
+    """Status, content type and body, by the standard library. A redirect is followed only to a listed URL, and fails with its status else."""
     import urllib.error
     import urllib.request
 
+    class Listed(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, req, fp, code, msg, headers, newurl):
+            if newurl not in listed:
+                raise HttpFailure(code, f"redirect to a URL that is not listed: {newurl}")
+            return super().redirect_request(req, fp, code, msg, headers, newurl)
+
     try:
-        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "quern"}), timeout=timeout) as r:
+        with urllib.request.build_opener(Listed).open(urllib.request.Request(url, headers={"User-Agent": "quern"}), timeout=timeout) as r:
             return r.status, r.headers.get("Content-Type", ""), r.read()
     except urllib.error.HTTPError as e:
         raise HttpFailure(e.code, str(e)) from e
 
 
+def listed_get(approved: DataFrame, limit: int = 100_000) -> Callable[[str], tuple[int, str, bytes]]:
+    """http_get that follows redirects to approved URLs; their table travels to the tasks, so its size is checked."""
+    urls = [r["url"] for r in approved.select("url").distinct().limit(limit + 1).collect()]
+    if len(urls) > limit:
+        raise ValueError(f"the allowlist has more than {limit} URLs")
+    return partial(http_get, listed=frozenset(urls))
+
+
 def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, bytes]] = http_get, retries: int = 2) -> DataFrame:
     """One row per URL. An error status keeps its code; other failures have code 0 and are tried again."""
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.operators.policy import redact
+
 REGISTRY = T.StructType([T.StructField("sources", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("url", "source_type", "scheme_name", "authority_level", "retrieval_timestamp", "refresh_frequency")])))])
 ALLOWLIST = T.StructType(
     [T.StructField("mode", T.StringType())]
@@ -37,9 +39,24 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def append_log(df: DataFrame, path: str, day: Column) -> None:
-    """One JSON row per processed query, partitioned by day, so that old days can be dropped whole."""
-    df.withColumn("day", day).write.mode("append").partitionBy("day").json(path)
+def append_log(df: DataFrame, path: str, day: Column, private: tuple[str, ...] = ("query",)) -> None:
+    """One JSON row per processed query, without personal data in ``private`` columns, partitioned by day, so that old days can be dropped whole."""
+    clean = df.withColumns({c: redact(F.col(f"`{c}`")) for c in private if c in df.columns})
+    clean.withColumn("day", day).write.mode("append").partitionBy("day").json(path)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def expire_log(spark: SparkSession, path: str, first_day: str) -> list[str]:
+    """Deletes the log's days before ``first_day`` (yyyy-MM-dd) and returns them."""
+    root, fs = _files(spark, path)
+    old = sorted(d for s in fs.listStatus(root) if (d := s.getPath().getName().removeprefix("day=")) < first_day and s.getPath().getName().startswith("day="))
+    for d in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"day={d}"), True)
+    return old
 
 
 def registry(spark: SparkSession, path: str, fallback: DataFrame | None = None) -> DataFrame:
@@ -103,3 +120,26 @@ def publish(df: DataFrame, root: str) -> str:
     path = f"{root}/version={uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
+
+
+def switch(spark: SparkSession, root: str, version_path: str) -> None:
+    """Makes a published version the current one: a pointer is written beside the old one and takes its place."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: N806
+    name, (folder, fs) = version_path.rsplit("/", 1)[-1], _files(spark, root)
+    n = max((int(s.getPath().getName().split("-")[1]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("current-")), default=-1) + 1
+    # A new name each time: a rename to a fresh name is one step on every file system, and the highest number counts.
+    written = Path(folder, f"_next-{uuid.uuid4().hex}")
+    out = fs.create(written, False)
+    out.write(bytearray(name, "utf-8"))
+    out.close()
+    if not fs.rename(written, Path(folder, f"current-{n:012d}")):
+        raise RuntimeError("another switch came first")
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """The path of the current version."""
+    folder, fs = _files(spark, root)
+    pointers = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("current-"))
+    if not pointers:
+        return None
+    return f"{root}/{spark.read.text(f'{root}/{pointers[-1]}').first()[0]}"

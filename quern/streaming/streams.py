@@ -68,9 +68,9 @@ def retry_state(attempts: DataFrame, most: int = 3) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        for batch in batches:
-            for ok in batch.sort_values("ts")["ok"]:
-                n = 0 if ok else n + 1
+        # All rows of the micro-batch in order; a row that comes in a later one counts there.
+        for ok in pd.concat(list(batches)).sort_values("ts")["ok"]:
+            n = 0 if ok else n + 1
         state.update((n,))
         yield pd.DataFrame({"op": [key[0]], "attempts": [n], "exhausted": [n >= most]})
 
