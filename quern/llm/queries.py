@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +12,8 @@ from quern.llm import bpe, chat_format, exact_dedup, langid, mixing, ngram_join,
 from quern.llm.common import fold, table
 from quern.llm.sql import SQL
 
-#: Where the vocabulary files are; a parameter, never a copy.
-TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The installed vocabulary file; the operators take its path as a parameter.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
