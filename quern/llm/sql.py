@@ -87,4 +87,24 @@ rep AS (SELECT x AS doc_id, least(x, min(y)) AS rep_id, count(*) + 1 AS copies F
 deg AS (SELECT x AS doc_id, count(*) AS n_links FROM edges GROUP BY x)
 SELECT doc_id, class_id, coalesce(rep_id, doc_id) AS rep_id, coalesce(copies, 1) AS copies, coalesce(n_links, 0) AS n_links FROM cls LEFT JOIN rep USING (doc_id) LEFT JOIN deg USING (doc_id)"""
 
-SQL = {"op1_exact_dedup": OP1, "op2_quality_rules": OP2, "op4_chat_formatting": OP4, "op6_mixing": OP6, "op9_url_filter": OP9, "op10_ngram_jaccard_join": OP10}
+
+
+def _op13(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """A chain of rounds, written out; components are rows."""
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) AS n
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT n, unnest(range({dim})) AS p, unnest(v) AS x FROM kept),
+c0 AS MATERIALIZED (SELECT n - 1 AS c, p, x FROM x WHERE n <= {k})"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT n, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM (SELECT n, c, sum((x.x - k.x) * (x.x - k.x))::BIGINT AS d FROM x JOIN c{r} k USING (p) GROUP BY n, c) GROUP BY n)")
+        if r < rounds:
+            floored = "((s - ((s % m) + m) % m) // m)::BIGINT"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c, p, coalesce(f, k.x) AS x FROM c{r} k LEFT JOIN (SELECT c, p, {floored} AS f FROM (SELECT c, p, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS m FROM x JOIN a{r} USING (n) GROUP BY c, p)) USING (c, p))")
+    return "WITH " + ",\n".join(parts) + f""",
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256 FROM kept JOIN a{rounds} USING (n) JOIN h USING (c)"""
+
+
+SQL = {"op1_exact_dedup": OP1, "op2_quality_rules": OP2, "op4_chat_formatting": OP4, "op6_mixing": OP6, "op9_url_filter": OP9, "op10_ngram_jaccard_join": OP10, "op13_centroids": _op13()}
