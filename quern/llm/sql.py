@@ -89,6 +89,32 @@ SELECT doc_id, class_id, coalesce(rep_id, doc_id) AS rep_id, coalesce(copies, 1)
 
 
 
+def _op11() -> str:
+    """The least (cost, audit) of each state, row by row; the repair is read off the audit."""
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, k: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
+    step = lambda s, cost, letter: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}'}}"
+    never = "{'c': 1000000000::BIGINT, 'a': '~'}"
+    edited = lambda s, initial, rerole=True: f"CASE WHEN gone THEN {never} WHEN init = '{initial}' THEN {step(s, 'late', 'K')} ELSE {step(s, '1 + late', 'R') if rerole else never} END"
+    return rf"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hit AS (SELECT *, {crc} % 20 AS k FROM src),
+left_over AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE k <> 0),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM left_over),
+told AS (SELECT *, substr(role, 1, 1) AS init, CASE WHEN NOT regexp_matches(text, '{_WORD}') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault, substr(lag(role) OVER (PARTITION BY conv_id ORDER BY n), 1, 1) || substr(role, 1, 1) AS pair FROM seen),
+steps AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, {{'c': 0::BIGINT, 'a': ''}} AS st, {never} AS op, {{'c': 5::BIGINT, 'a': 'I'}} AS asked, {{'c': 10::BIGINT, 'a': 'II'}} AS answered FROM conversations
+ UNION ALL
+ SELECT conv_id, n, st, op, asked, least(answered, {step('asked', 5, 'I')}) AS answered
+ FROM (SELECT conv_id, n, st, op, least(asked, {step('st', 5, 'I')}, {step('op', 5, 'I')}, {step('answered', 5, 'I')}) AS asked, answered
+ FROM (SELECT conv_id, n, {step('st', 2, 'D')} AS st, least({step('op', 2, 'D')}, {edited('st', 's', False)}) AS op, least({step('asked', 2, 'D')}, {edited('ready', 'u')}) AS asked, least({step('answered', 2, 'D')}, {edited('asked', 'a')}) AS answered
+ FROM (SELECT t.conv_id, t.n, st, op, asked, answered, least(st, op, answered) AS ready, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS late, init FROM steps s JOIN told t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND t.n = s.n + 1)))),
+done AS (SELECT conv_id, least(st, answered).c AS cost, least(st, answered).a AS audit FROM steps QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+letters AS (SELECT conv_id, p, substr(audit, p, 1) AS letter, length(replace(substr(audit, 1, p), 'I', '')) AS n, length(replace(substr(audit, 1, p), 'D', '')) AS place FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM done)),
+written AS (SELECT l.conv_id, p, letter, place, CASE WHEN letter <> 'I' THEN role END AS role, CASE WHEN letter = 'I' THEN '' ELSE text END AS text, max(CASE WHEN place = 1 AND letter = 'K' AND init = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS opened FROM letters l LEFT JOIN told t ON l.conv_id IS NOT DISTINCT FROM t.conv_id AND l.n = t.n WHERE letter <> 'D'),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS lines FROM written GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM done d LEFT JOIN counts c ON d.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON d.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
 def _op13(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
     """A chain of rounds, written out; components are rows."""
     parts = [
@@ -107,4 +133,4 @@ h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY p)) AS centroid_sha25
 SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256 FROM kept JOIN a{rounds} USING (n) JOIN h USING (c)"""
 
 
-SQL = {"op1_exact_dedup": OP1, "op2_quality_rules": OP2, "op4_chat_formatting": OP4, "op6_mixing": OP6, "op9_url_filter": OP9, "op10_ngram_jaccard_join": OP10, "op13_centroids": _op13()}
+SQL = {"op1_exact_dedup": OP1, "op2_quality_rules": OP2, "op4_chat_formatting": OP4, "op6_mixing": OP6, "op9_url_filter": OP9, "op10_ngram_jaccard_join": OP10, "op11_conversation_repair": _op11(), "op13_centroids": _op13()}

@@ -1,0 +1,114 @@
+"""Repairs against all edit sequences on short conversations and a plain loop on long ones."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern.llm import conv_repair as cr
+
+
+def best_of_all(rows):
+    """The least (cost, audit) among all edit sequences with at most four inserts."""
+    best = None
+    for edits in itertools.product("DKR", repeat=len(rows)):
+        for places in itertools.chain.from_iterable(itertools.combinations_with_replacement(range(len(rows) + 1), n) for n in range(5)):
+            said, cost, audit = [], 0, ""
+            for k in range(len(rows) + 1):
+                for _ in range(places.count(k)):
+                    said.append("?")
+                    audit, cost = audit + "I", cost + 5
+                if k < len(rows):
+                    audit += edits[k]
+                    cost += {"D": 2, "K": 0, "R": 1}[edits[k]] + 5 * (edits[k] != "D" and rows[k].isupper())
+                    if edits[k] != "D":
+                        cost += 10_000 * (rows[k] == "x")
+                        said.append(rows[k].lower() if edits[k] == "K" else "?")
+            if re.fullmatch(r"(s?([u?][a?])+)?", "".join(said)) and cost < 10_000 and (best is None or (cost, audit) < best):
+                best = cost, audit
+    return best
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_least_of_all_edit_sequences(n):
+    every = ["".join(p) for p in itertools.product("suaoxSUAO", repeat=n)]
+    for rows in every if n < 3 else random.Random(n).sample(every, 60 if n == 3 else 25):
+        assert cr.least_repair(rows) == best_of_all(rows), rows
+
+
+def by_loop(rows):
+    """Four states, row by row."""
+    never = (10**9, "~")
+    st, op, us, an = (0, ""), never, (5, "I"), (10, "II")
+    plus = lambda v, c, x: (v[0] + c, v[1] + x)
+    for r in rows:
+        late = 5 * r.isupper()
+        edit = lambda v, i, re_=True: never if r == "x" else plus(v, late, "K") if r.lower() == i else plus(v, 1 + late, "R") if re_ else never
+        new_us, new_an = min(plus(us, 2, "D"), edit(min(st, op, an), "u")), min(plus(an, 2, "D"), edit(us, "a"))
+        st, op = plus(st, 2, "D"), min(plus(op, 2, "D"), edit(st, "s", False))
+        us = min(new_us, *(plus(v, 5, "I") for v in (st, op, new_an)))
+        an = min(new_an, plus(us, 5, "I"))
+    return min(st, an)
+
+
+def test_long_conversations_are_settled_as_they_go():
+    for seed, letters in enumerate(["suaoxSUAO", "ua", "uauauauaua" + "x", "o", "x", "sS", "UA", "a"]):
+        rnd = random.Random(seed)
+        for n in (1, 63, 64, 65, 400, 1500):
+            rows = "".join(rnd.choice(letters) for _ in range(n))
+            out = []
+            now = cr.Repair(lambda *row: out.append(row))
+            most = 0
+            for k, r in enumerate(rows):
+                now.add(k, {"o": "tool", "s": "system", "u": "user", "a": "assistant", "x": "user"}[r.lower()], str(k), 1 if r == "x" else 3 if r.isupper() else 0)
+                most = max(most, len(now.rows))
+            *_, cost, audit = now.finish()
+            assert (cost, audit) == by_loop(rows), (letters, n)
+            assert re.fullmatch(r"(s?(ua)+)?", "".join(role[0] for role, *_ in out))
+            if letters == "ua":
+                assert most <= 2 * cr.STEP
+
+
+def report(spark, rows, absent=None):
+    clashing = {c: F.lit(c) for c in ("ck", "nth", "fault", "copy")}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns(clashing).repartition(3)
+    return {r["conv_id"]: tuple(r)[1:] for r in cr.repair_report(df, absent).collect()}
+
+
+sha = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def test_faults_and_repair(spark):
+    long = "word " * 300_000 + "end."
+    rows = [
+        (1, 0, "system", "Be kind."), (1, 1, "user", "Hi!"), (1, 2, "assistant", long),
+        (2, 5, "user", "A."), (2, 5, "user", "A."), (2, 9, "assistant", "cut \n"), (2, None, None, None),
+        (None, 1, "tool", "x."), (None, 1, "assistant", "y."),
+    ]
+    got = report(spark, rows)
+    assert got[1] == (0, 0, 0, 0, 0, 0, "KKK", sha(["system:Be kind.", "user:Hi!", "assistant:" + long]))
+    # Nulls sort first: " ", user A., user A. again, a cut off answer.
+    assert got[2] == (3, 1, 1, 1, 2, 9, "DKDK", sha(["user:A.", "assistant:cut \n"]))
+    # Ties are ordered by role: assistant before tool; rerole both.
+    assert got[None] == (0, 0, 0, 0, 1, 2, "RR", sha(["user:y.", "assistant:x."]))
+    assert report(spark, rows[:1], F.lit(True)) == {1: (0, 0, 0, 0, 0, 0, "", sha([]))}
+    assert report(spark, []) == {}
+    df = spark.createDataFrame(rows[3:7], "conv_id long, turn long, role string, text string")
+    assert sorted(map(tuple, cr.repaired_turns(df).collect())) == [(2, 0, "user", "A.", "K"), (2, 1, "assistant", "cut \n", "K")]
+
+
+def test_damage(spark):
+    rows = [(c, t, "assistant", "One. Two!") for c in range(20) for t in (0, None)] + [(None, 3, None, None)]
+    df, dropped = cr.damaged(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = sorted(map(str, (tuple(r) for r in df.where(~dropped).select("conv_id", "turn", "role", "text").collect())))
+    want = []
+    for c, t, role, text in rows:
+        k = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        role, text = role or " ", text if text is not None else " "
+        if k:
+            want += [(c, t, "user" if k == 4 else role, "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text)] * (2 if k == 3 else 1)
+    assert got == sorted(map(str, want))
