@@ -242,7 +242,7 @@ def _sorted_rows(turns: DataFrame, absent: Column | None) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("ck", "absent", "role", "text").orderBy("turn"))
     fault = F.when(end == "", 1).when(F.col("nth") > 1, 2).when(~F.right(end, F.lit(1)).isin(".", "!", "?"), 3).otherwise(0)
     numbered = rows.repartition("ck").withColumn("nth", nth)
-    return numbered.select("conv_id", "ck", "turn", "role", "text", fault.cast("int").alias("fault"), "absent").sortWithinPartitions("ck", "turn", "role", "text")
+    return numbered.select("conv_id", "ck", "turn", "role", "text", fault.cast("int").alias("fault"), "absent", "nth").sortWithinPartitions("ck", "turn", "role", "text", "nth").drop("nth")
 
 
 def _conversations(batches: Iterator[pa.RecordBatch], begin: Callable[[object], Repair]) -> Iterator[tuple[object, Repair]]:

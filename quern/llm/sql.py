@@ -98,8 +98,10 @@ def _op11() -> str:
     return rf"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
 hit AS (SELECT *, {crc} % 20 AS k FROM src),
 left_over AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE k <> 0),
-seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM left_over),
-told AS (SELECT *, substr(role, 1, 1) AS init, CASE WHEN NOT regexp_matches(text, '{_WORD}') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault, substr(lag(role) OVER (PARTITION BY conv_id ORDER BY n), 1, 1) || substr(role, 1, 1) AS pair FROM seen),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM left_over),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS nth FROM placed),
+told AS (SELECT *, substr(role, 1, 1) AS init, CASE WHEN NOT regexp_matches(text, '{_WORD}') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault, substr(lag(role) OVER (PARTITION BY conv_id ORDER BY n), 1, 1) || substr(role, 1, 1) AS pair FROM seen),
 steps AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, {{'c': 0::BIGINT, 'a': ''}} AS st, {never} AS op, {{'c': 5::BIGINT, 'a': 'I'}} AS asked, {{'c': 10::BIGINT, 'a': 'II'}} AS answered FROM conversations
  UNION ALL
  SELECT conv_id, n, st, op, asked, least(answered, {step('asked', 5, 'I')}) AS answered

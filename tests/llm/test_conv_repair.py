@@ -92,13 +92,16 @@ def test_faults_and_repair(spark):
     got = report(spark, rows)
     assert got[1] == (0, 0, 0, 0, 0, 0, "KKK", sha(["system:Be kind.", "user:Hi!", "assistant:" + long]))
     # Nulls sort first: " ", user A., user A. again, a cut off answer.
-    assert got[2] == (3, 1, 1, 1, 2, 9, "DKDK", sha(["user:A.", "assistant:cut \n"]))
+    assert got[2] == (3, 1, 1, 1, 2, 8, "DDDD", sha([]))
     # Ties are ordered by role: assistant before tool; rerole both.
     assert got[None] == (0, 0, 0, 0, 1, 2, "RR", sha(["user:y.", "assistant:x."]))
     assert report(spark, rows[:1], F.lit(True)) == {1: (0, 0, 0, 0, 0, 0, "", sha([]))}
     assert report(spark, []) == {}
     df = spark.createDataFrame(rows[3:7], "conv_id long, turn long, role string, text string")
-    assert sorted(map(tuple, cr.repaired_turns(df).collect())) == [(2, 0, "user", "A.", "K"), (2, 1, "assistant", "cut \n", "K")]
+    assert cr.repaired_turns(df).collect() == []
+    assert sorted(map(tuple, cr.repaired_turns(df.where("turn < 9")).collect())) == []
+    df = spark.createDataFrame(rows[3:6] + [(2, 6, "user", "B."), (2, 7, "user", "C!")], df.schema)
+    assert sorted(map(tuple, cr.repaired_turns(df).collect())) == [(2, 0, "user", "B.", "K"), (2, 1, "assistant", "C!", "R")]
 
 
 def test_damage(spark):
