@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, centroids, chat_format, conv_repair, exact_dedup, langid, mixing, ngram_join, quality_pu, quality_rules, toxicity, url_filter
+from quern.llm import bpe, centroids, chat_format, conv_repair, exact_dedup, langid, mixing, ngram_join, packing, quality_pu, quality_rules, toxicity, url_filter
 from quern.llm.common import fold, table
 from quern.llm.sql import SQL
 
@@ -72,12 +72,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_repair.repair_report(*conv_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_toxicity, op4_chat_formatting, op5_bpe, op6_mixing, op7_quality_classifier, op8_language_id, op9_url_filter, op10_ngram_jaccard_join, op11_conversation_repair, op13_centroids)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_toxicity, op4_chat_formatting, op5_bpe, op6_mixing, op7_quality_classifier, op8_language_id, op9_url_filter, op10_ngram_jaccard_join, op11_conversation_repair, op12_packing, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
