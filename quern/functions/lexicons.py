@@ -6,6 +6,17 @@ from __future__ import annotations
 RELEVANCE_TERMS = ["mutual fund", "fund", "sip", "nav", "expense ratio", "exit load", "lock-in", "risk", "benchmark", "aum", "scheme", "elss", "direct growth", "fund manager", "portfolio", "minimum investment"]
 NOISE_TERMS = ["stocks", "intraday", "ipo", "option chain", "demat", "f&o", "api trading", "brokerage calculator", "margin calculator", "share market today"]
 
+# Parts of a lower-cased entity name and what stands for them in an alias; more aliases of names with a term.
+ALIAS_REPLACEMENTS = [(" direct growth", ""), (" direct plan growth", ""), (" direct", ""), (" growth", ""), (" fund", ""), (" hdfc ", " "), ("hdfc ", "")]
+ALIAS_TERMS = {
+    "mid cap": ["mid cap", "midcap", "mid-cap"],
+    "large cap": ["large cap", "largecap", "large-cap"],
+    "equity": ["equity"],
+    "focused": ["focused"],
+    "elss": ["elss", "tax saver"],
+    "tax saver": ["tax saver", "elss"],
+}
+
 # Lines that are boilerplate as a whole.
 BOILERPLATE_LINES = ["download app", "open demat account", "invest now", "sign in", "sign up", "login", "read more", "view all"]
 

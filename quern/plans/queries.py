@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import lexicons as lx
@@ -389,12 +389,21 @@ def index_report(spark, d):
 
 
 # ---------------------------------------------------------------- entities
-_ALIAS = """registry AS (SELECT DISTINCT p_name AS name FROM part),
-alias AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS entity_id, name, unnest([lower(name), trim(replace(lower(name), ' ring', '')), trim(replace(lower(name), ' widget', ''))]) AS alias FROM registry)"""
+def _alias_sql(replacements: list[tuple[str, str]], extra: dict[str, list[str]]) -> str:
+    """alias (entity_id, name, alias) of registry (name)."""
+    variants = ", ".join(f"trim(replace(lower(name), {lit(a)}, {lit(b)}))" for a, b in replacements)
+    keyed = "".join(f", CASE WHEN contains(lower(name), {lit(k)}) THEN [{', '.join(map(lit, v))}] ELSE []::VARCHAR[] END" for k, v in extra.items())
+    return f"""alias AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS entity_id, name, alias FROM (SELECT name, unnest(flatten([[trim(name), trim(lower(name)), {variants}]{keyed}])) AS alias FROM registry) WHERE alias <> '')"""
+
+
+_PART_RULES = ([(" ring", ""), (" widget", ""), ("small ", "")], {"bolt": ["bolts", "bolt"]})
+_ALIAS = "registry AS (SELECT DISTINCT p_name AS name FROM part),\n" + _alias_sql(*_PART_RULES)
+_LONGEST = """hits AS (SELECT query_id, q, entity_id, name, alias, row_number() OVER (PARTITION BY query_id ORDER BY length(alias) DESC, entity_id, alias) AS n FROM q JOIN alias ON contains(q, alias))"""
+_SHARE = "CASE WHEN alias IS NULL THEN 0 ELSE round(least(1::DOUBLE, CASE WHEN hits.q = lower(name) THEN greatest(0.9::DOUBLE, length(alias) / length(hits.q)) ELSE length(alias) / length(hits.q) END + CASE WHEN length(alias) > 10 THEN 0.1::DOUBLE ELSE 0 END), 6) END"
 
 
 def _alias_table(spark, d):
-    return rs.aliases(table(spark, d, "part").select(F.col("p_name").alias("name")).distinct(), strip=(" ring", " widget"))
+    return rs.aliases(table(spark, d, "part").select(F.col("p_name").alias("name")).distinct(), "name", *_PART_RULES)
 
 
 @query(f"WITH {_ALIAS} SELECT entity_id, name, alias FROM alias")
@@ -402,21 +411,55 @@ def entity_aliases(spark, d):
     return _alias_table(spark, d).select("entity_id", "name", "alias")
 
 
-@query(f"""WITH {_ALIAS}, q AS (SELECT p_partkey AS query_id, lower('details of ' || p_name || ' ' || p_type) AS q FROM part),
-hits AS (SELECT query_id, q, entity_id, name, alias, row_number() OVER (PARTITION BY query_id ORDER BY length(alias) DESC, entity_id, alias) AS n FROM q JOIN alias ON contains(q, alias))
-SELECT q.query_id, entity_id, alias, coalesce(round(least(1::DOUBLE, length(alias) / length(hits.q) + CASE WHEN length(alias) > 10 THEN 0.1::DOUBLE ELSE 0 END), 6), 0) AS confidence FROM q LEFT JOIN hits ON q.query_id = hits.query_id AND n = 1""")
+# Every third query is a name alone, every fifth has none in it.
+_ABOUT = "q AS (SELECT p_partkey AS query_id, lower(CASE WHEN p_partkey % 5 = 0 THEN p_type || '?' WHEN p_partkey % 3 = 0 THEN p_name ELSE 'details of ' || p_name || ' ' || p_type END) AS q FROM part)"
+
+
+def _about(spark, d):
+    k = F.col("p_partkey")
+    text = F.when(k % 5 == 0, F.concat("p_type", F.lit("?"))).when(k % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit("details of "), "p_name", F.lit(" "), "p_type"))
+    return table(spark, d, "part").select(k.alias("query_id"), text.alias("query"))
+
+
+_RESOLVED = f"""WITH {_ALIAS}, {_ABOUT}, {_LONGEST} SELECT q.query_id, entity_id, alias, {_SHARE} AS confidence FROM q LEFT JOIN hits ON q.query_id = hits.query_id AND n = 1"""
+
+
+@query(_RESOLVED)
 def resolve_entity(spark, d):
-    q = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("details of "), "p_name", F.lit(" "), "p_type").alias("query"))
-    return rs.resolve_longest(q, _alias_table(spark, d)).drop("name")
+    return rs.resolve_longest(_about(spark, d), _alias_table(spark, d)).drop("name")
+
+
+@query(_RESOLVED)
+def resolve_entity_grams(spark, d):
+    """The way of a registry that is too large to travel."""
+    return rs.resolve_longest(_about(spark, d), _alias_table(spark, d), max_chars=0).drop("name")
 
 
-@query(f"""WITH {_ALIAS}, q AS (SELECT DISTINCT dense_rank() OVER (ORDER BY split_part(p_name, ' ', 1)) AS query_id, lower(split_part(p_name, ' ', 1)) AS q FROM part),
-best AS (SELECT query_id, entity_id, round(max(length(q) / length(alias)), 6) AS score FROM q JOIN alias ON contains(alias, q) GROUP BY ALL)
+@query(f"""WITH {_ALIAS}, q AS (SELECT min(p_partkey) AS query_id, lower(split_part(p_name, ' ', 1)) AS q FROM part GROUP BY split_part(p_name, ' ', 1) UNION ALL SELECT -p_partkey, lower(substr(p_name, 2, 9)) FROM part WHERE p_partkey % 20 = 7),
+best AS (SELECT query_id, entity_id, round(max(length(q) / length(alias)), 6) AS score FROM q JOIN alias ON contains(lower(alias), q) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM best) WHERE rank <= 5""")
 def search_entities(spark, d):
-    w = F.split_part("p_name", F.lit(" "), F.lit(1))
-    q = table(spark, d, "part").select(w.alias("query")).distinct().select(F.row_number().over(Window.orderBy("query")).cast("long").alias("query_id"), "query")
-    return rs.search_entities(q, _alias_table(spark, d)).withColumn("rank", long("rank"))
+    """First words of names, and cuttings of some names."""
+    p = table(spark, d, "part")
+    words = p.groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("query")).agg(F.min("p_partkey").alias("query_id")).select("query_id", "query")
+    cuttings = p.where("p_partkey % 20 = 7").select((-F.col("p_partkey")).alias("query_id"), F.substring("p_name", 2, 9).alias("query"))
+    return rs.search_entities(words.unionByName(cuttings), _alias_table(spark, d)).withColumn("rank", long("rank"))
+
+
+# Names and questions that meet every default replacement and keyed term; what is asked is written as one may write it.
+_NAMED = """CASE p_partkey % 6 WHEN 0 THEN 'HDFC Mid Cap Fund Direct Growth' WHEN 1 THEN 'HDFC Large Cap ' || p_brand || ' Fund Direct Plan Growth' WHEN 2 THEN p_name || ' HDFC Equity Direct' WHEN 3 THEN 'Focused ' || p_name || ' Growth' WHEN 4 THEN p_brand || ' ELSS Fund' ELSE 'HDFC Tax Saver ' || p_brand END"""
+_SAID = """CASE p_partkey % 7 WHEN 0 THEN 'nav of midcap funds' WHEN 1 THEN 'large-cap ' || p_brand WHEN 2 THEN p_name || ' hdfc equity direct' WHEN 3 THEN 'is ' || p_brand || ' elss good' WHEN 4 THEN 'focused ' || p_name || '?' WHEN 5 THEN 'tax saver ' || p_brand || ' exit load' ELSE p_type END"""
+_DEFAULT_ALIAS = f"registry AS (SELECT DISTINCT {_NAMED} AS name FROM part),\n" + _alias_sql(lx.ALIAS_REPLACEMENTS, lx.ALIAS_TERMS)
+
+
+@query(f"""WITH {_DEFAULT_ALIAS}, q AS (SELECT p_partkey AS query_id, lower({_SAID}) AS q FROM part), {_LONGEST}
+SELECT q.query_id, entity_id, alias, {_SHARE} AS confidence, CASE WHEN alias IS NULL THEN 0::DOUBLE ELSE 1 END AS as_written FROM q LEFT JOIN hits ON q.query_id = hits.query_id AND n = 1""")
+def resolve_entity_domain(spark, d):
+    p = table(spark, d, "part")
+    known = rs.aliases(p.select(F.expr(_NAMED).alias("name")).distinct())
+    asked = p.select(F.col("p_partkey").alias("query_id"), F.expr(_SAID).alias("query"))
+    written = rs.resolve_longest(asked, known, as_written=True).select("query_id", F.col("confidence").alias("as_written"))
+    return rs.resolve_longest(asked, known).drop("name").join(written, "query_id")
 
 
 # ---------------------------------------------------------------- queries and policy
