@@ -37,6 +37,23 @@ def test_ids_and_text_equal_the_library(texts, reference):
     assert 0 < enc.repaired < enc.speculated  # both ways are taken
 
 
+def test_odd_numerals_are_split_as_published(reference):
+    """In texts whose words are new, known, and known again without the odd characters."""
+    enc = bpe.ByteBpe(VOCABULARY)
+    rng = random.Random(11)
+    letters = "ab 12²½Ⅳ〇一_.\x1c\x1f\n'"
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    for texts in (odd[:200], [t.translate({ord(c): "x" for c in "²½Ⅳ〇\x1c\x1f"}) for t in odd], odd, ["x²", "2²"], ["²"], ["²", "²²"]):
+        got = [list(struct.unpack(f"<{len(g) // 4}I", g)) for g in enc.encode_batch(texts)]
+        assert got == [w.ids for w in reference.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_odd_characters():
+    odd = bpe.odd_characters()
+    assert set("²½Ⅳ\x1c\x1f") <= odd and odd.isdisjoint("aé世9٣ _.\n\xa0'😀")
+    assert 1155 <= len(odd) < 60_000
+
+
 def test_merging_long_words_is_the_same(reference):
     enc = bpe.ByteBpe(VOCABULARY)
     rng = random.Random(3)
