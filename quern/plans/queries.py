@@ -17,8 +17,9 @@ from quern.operators import resolve as rs
 from quern.operators import retrieval as rt
 from quern.plans import answer as pl
 from quern.plans import generate, ingest
-from quern.sources import fetch
+from quern.sources import fetch, postings
 from quern.sources import io as sio
+from quern.sources.shared import shared_folder
 from quern.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +113,15 @@ def bm25_topk(spark, d):
     return _sparse(spark, d).select("query_id", "chunk_id", "score", long("rank").alias("rank"))
 
 
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM sparse")
+def bm25_stored_index(spark, d):
+    """The same search in an index that is written first."""
+    path = shared_folder(spark, "postings")
+    postings.write_postings(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), path)
+    asked = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return postings.search_postings(asked, path).select("query_id", "chunk_id", "score", long("rank").alias("rank"))
+
+
 @query(rf"""WITH {_VOCABULARY} SELECT token, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raws, (SELECT avg(raw) AS mean FROM raws)""")
 def bm25_idf(spark, d):
     return rt.token_idf(table(spark, d, "documents")).select("token", "df", F.round("idf", 6).alias("idf"))

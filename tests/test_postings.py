@@ -1,0 +1,70 @@
+"""The stored inverted index against the scan, and what it reads."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern.operators import retrieval as rt
+from quern.sources import postings as ps
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rnd = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    text = lambda: " ".join(rnd.choices(words, [1 / (k + 1) for k in range(60)], k=rnd.randint(0, 40)))
+    docs = [(f"d{k:03d}", text(), f"g{k % 3}") for k in range(400)] + [("e1", None, "g0"), ("e2", "", "g1"), (None, "w1 w2", "g1"), ("é", "w1 Ünï w1", None)]
+    asked = [(k, text(), None if k % 2 else f"g{k % 5}") for k in range(40)] + [(100, None, None), (101, "nothing known", None), (102, "w0 w0 ünï", None), (None, "w3", None)]
+    return spark.createDataFrame(docs, "chunk_id string, text string, g string").repartition(3), spark.createDataFrame(asked, "query_id long, query string, wanted string")
+
+
+def rows(df):
+    return sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 5)) for r in df.collect())
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 4, "segment": 300, "buckets": 5}])
+def test_equals_the_scan(spark, corpus, tmp_path, options):
+    docs, asked = corpus
+    ps.write_postings(docs, f"{tmp_path}/i", group="g", **options)
+    there = docs.where("chunk_id is not null")
+    assert rows(ps.search_postings(asked, f"{tmp_path}/i", 5)) == rows(rt.bm25_topk(asked, there, 5))
+    assert rows(ps.search_postings(asked, f"{tmp_path}/i", 5, max_weights=50)) == rows(rt.bm25_topk(asked, there, 5))
+    by_group = ps.search_postings(asked, f"{tmp_path}/i", 5, wanted="wanted")
+    assert rows(by_group) == rows(rt.bm25_topk(asked, there, 5, wanted="wanted", group="g"))
+    found = spark.read.parquet(f"{tmp_path}/i/tokens").agg(F.sum("df")).first()[0]
+    assert found == spark.read.parquet(f"{tmp_path}/i/blocks").agg(F.sum("n")).first()[0]
+    assert spark.read.parquet(f"{tmp_path}/i/blocks").agg(F.max("n")).first()[0] <= options.get("block", ps.BLOCK)
+
+
+def test_only_asked_buckets_are_read(spark, corpus, tmp_path):
+    docs, _ = corpus
+    ps.write_postings(docs, f"{tmp_path}/i", buckets=16)
+    one = spark.createDataFrame([(1, "w5")], "query_id long, query string")
+    got = ps.search_postings(one, f"{tmp_path}/i")
+    assert got.count() == 10
+    bucket = spark.range(1).select(ps.bucket_of(F.lit("w5"), 16)).first()[0]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert f"bucket#" in plan and all(f"= {bucket})" in line for line in plan.splitlines() if "PartitionFilters: [isnotnull(bucket" in line)
+    assert plan.count("PartitionFilters: [isnotnull(bucket") >= 2
+
+
+def test_blocks_that_cannot_win_are_left_out(spark, monkeypatch, tmp_path):
+    """One word that all documents have: only the first of many blocks can hold the best."""
+    docs = spark.createDataFrame([(k, "rare " * (k < 3) + "common " * (20 if k < 8 else 1) + "x " * 30) for k in range(512)], "chunk_id long, text string").coalesce(1)
+    ps.write_postings(docs, f"{tmp_path}/i", block=8)
+    asked = spark.createDataFrame([(1, "rare common")], "query_id long, query string")
+    want = rows(rt.bm25_topk(asked, docs, 3))
+    assert rows(ps.search_postings(asked, f"{tmp_path}/i", 3)) == want and len(want) == 3
+    import numpy as np
+
+    most, first = np.array([2.0, 2.4, 0.5, 0.5]), np.array([0, 2, 4, 6, 8])
+    doc, parts = np.array([0, 1, 0, 1, 2, 3, 4, 5]), np.array([1.9, 2.0, 2.4, 2.3, 0.5, 0.4, 0.5, 0.1])
+    keep = ps._worth([(np.arange(0, 1), 1.0), (np.arange(1, 4), 1.0)], most, 2, first, doc, parts, 6, None)
+    assert [k.tolist() for k in keep] == [[True], [True, False, False]]
+
+
+def test_empty(spark, tmp_path):
+    docs = spark.createDataFrame([], "chunk_id long, text string")
+    ps.write_postings(docs, f"{tmp_path}/i")
+    assert ps.search_postings(spark.createDataFrame([(1, "a")], "query_id long, query string"), f"{tmp_path}/i").collect() == []
