@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,17 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def pieces_by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have at most ``most`` bytes together, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, before = 0, 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, end - at)
+            at, before = end, int(ends[end - 1])
+
+
 def fold(id_col: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import loaded
-from quern.llm.common import cut, pieces
+from quern.llm.common import cut, pieces_by_size
 
 #: Most rows of a block that is ranked by one task.
 BLOCK = 250_000
@@ -73,7 +73,7 @@ def encoded_pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int =
             columns = [pa.array(c, t) for c, t in zip(list(zip(*rows))[1:], types)]
             return pa.RecordBatch.from_arrays([names.take(at), *columns], ["id", *(n for n, _ in fields)])
 
-        for part in pieces(batches):
+        for part in pieces_by_size(batches, "text"):  # many new words at once are encoded faster
             rows: list[tuple] = []
             for k, ids in enumerate(bpe.encode_batch([t or "" for t in part.column("text").to_pylist()])):
                 ids += last

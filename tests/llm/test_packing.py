@@ -11,6 +11,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
+from quern.llm import common
 from quern.llm import packing as pk
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -103,3 +104,11 @@ def test_ranks_of_a_hot_size(spark):
     for r in got:
         ranks[r["length"]].append(r["rank"])
     assert {s: len(r) for s, r in ranks.items()} == counts and all(sorted(r) == list(range(len(r))) for r in ranks.values())
+
+
+def test_slices_by_size():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n >= 0 else None for n in (3, 4, -1, 50, 0, 0, 9, 2)])], ["t"])
+    got = [p.column(0).to_pylist() for p in common.pieces_by_size([batch, batch.slice(0, 0)], "t", 10)]
+    assert [[len(x or "") for x in p] for p in got] == [[3, 4, 0], [50], [0, 0, 9], [2]] and sum(got, []) == batch.column(0).to_pylist()
