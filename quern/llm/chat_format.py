@@ -5,22 +5,27 @@ every ``<|`` gets a backslash between its characters (and ``<\|`` one more, and
 on), so control strings appear only where a turn begins or ends, and the change
 can be undone exactly. Roles also have ``%`` and line feeds percent-encoded.
 
-Windows: a turn too long to be history (more than ``history`` tokens, but at
-least a quarter and at most half of the budget less the system turn) has a
-window of its own and no history. Between such turns, the running sum of turn
-tokens puts a turn into the span ``start // stride``. The stride is the budget
-less the system turn and less the longest of the conversation's other turns, so
-that a span never passes the budget by ending in the middle of a turn, and is at
-least half of what the system turn leaves. The first turn, if its role is
-``system``, opens every window. What the budget leaves is filled with the turns
-just before the span, back to the last long turn at most and up to ``history``
-tokens. Only assistant texts of the span itself are under the loss mask;
-repeated ones are not, so each is a target exactly once.
-
-So all windows together have at most 1 + history / stride times the turns'
-tokens, and a system turn each. A turn is never cut: if the system turn and one
-turn pass the budget alone, their window has ``over_budget``. Windows are bounded
-by the budget or one turn.
+Windows: a target turn and the turns since the last target before it are an
+exchange, which stays together where the budget less the system turn (the room)
+holds it; turns after the last target go with it. Of a longer exchange the turns
+next to its target stay with it as far as there is room, and the others stand alone. So a
+question is in the window of its answer, and a window has no target only
+if its turns fit beside none.
+
+An exchange of more than half the room has a window of its own. Between such, the
+running sum of turn tokens puts an exchange into the span ``start // stride``; the stride
+is the room less the longest of the conversation's other exchanges, so that a span
+never passes the budget by ending within one, and is at least half the
+room. The first turn, if its role is ``system``, opens every window. What the
+budget leaves is filled with the turns just before, up to ``history`` tokens. Only
+assistant texts of the window itself are under the loss mask; repeated ones are
+not, so each is a target exactly once.
+
+Every window but the last of a run has a stride of tokens or belongs to an exchange of half the
+room, so the repeated turns are at most about 2 x history / stride times the
+turns' tokens, and a system turn a window. A turn is never cut: if the system turn
+and one turn pass the budget alone, their window has ``over_budget``. Windows are
+bounded by the budget or one turn.
 
 Defined results: null role and text count as empty; a null conversation id is a
 conversation of its own; turns are ordered by (turn, role, MD5 of the
@@ -76,30 +81,45 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 512, tar
     # The plan is made from lengths alone; texts join it when it is done.
     plan = rows.select("conv_id", "ck", "turn", "tk", "role", "h", F.char_length("head").alias("lo"), F.char_length("piece").alias("size"), tokens(F.col("piece")).alias("tok"))
     by, whole = Window.partitionBy("ck").orderBy("turn", "role", "h"), Window.partitionBy("ck")
+    until, prior = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
     plan = plan.withColumn("nth", F.row_number().over(by))
     plan = plan.withColumn("is_system", (F.col("nth") == 1) & (F.col("role") == "system"))
-    plan = plan.withColumn("sys", F.coalesce(F.max(F.when(F.col("is_system"), F.col("tok"))).over(whole), F.lit(0)))
-    room = F.greatest(F.lit(1), F.lit(budget) - F.col("sys"))
-    plan = plan.withColumn("is_long", ~F.col("is_system") & (F.col("tok") > F.greatest(F.least(F.lit(history), F.floor(room / 2)), F.floor(room / 4))))
-    short = ~F.col("is_system") & ~F.col("is_long")
-    plan = plan.withColumn("stride", F.greatest(F.lit(1), room - F.coalesce(F.max(F.when(short, F.col("tok"))).over(whole), F.lit(0))))
-    # Segments, in order: odd ones are a long turn each, even ones the turns between two of them. A system turn goes with the next turn.
-    seg = 2 * F.sum(F.col("is_long").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("is_long").cast("int")
+    own, target = ~F.col("is_system"), ~F.col("is_system") & (F.col("role") == target_role)
+    plan = plan.withColumn("sys", F.coalesce(F.max(F.when(F.col("is_system"), F.col("tok"))).over(whole), F.lit(0))).withColumn("room", F.greatest(F.lit(1), F.lit(budget) - F.col("sys")))
+    plan = plan.withColumn("size_of", F.when(own, F.col("tok")).otherwise(F.lit(0))).withColumn("to", F.sum("size_of").over(until)).withColumn("from", F.col("to") - F.col("size_of"))
+    # Exchanges, numbered by the targets before; the turns after the last target belong to its exchange.
+    plan = plan.withColumn("exchange", F.least(F.coalesce(F.count_if(target).over(prior), F.lit(0)), F.count_if(target).over(whole) - 1))
+    inside = Window.partitionBy("ck", "exchange")
+    plan = plan.withColumn("t_to", F.max(F.when(target, F.col("to"))).over(inside))
+    ahead = own & (F.col("to") < F.col("t_to")) & (F.col("t_to") - F.col("from") <= F.col("room"))
+    plan = plan.withColumn("begin", F.min(F.when(target | ahead, F.col("from"))).over(inside))
+    behind = own & (F.col("to") > F.col("t_to")) & (F.col("to") - F.col("begin") <= F.col("room"))
+    plan = plan.withColumn("joined", F.coalesce(target | ahead | behind, F.lit(False)))
+    # Items: what is joined in an exchange, or one turn.
+    follows = F.coalesce(F.lag("joined").over(by) & (F.lag("exchange").over(by) == F.col("exchange")), F.lit(False))
+    plan = plan.withColumn("begins", own & ~(F.col("joined") & follows)).withColumn("item", F.sum(F.col("begins").cast("int")).over(until))
+    of_item = Window.partitionBy("ck", "item")
+    plan = plan.withColumn("item_tok", F.sum("size_of").over(of_item)).withColumn("is_long", own & (F.col("item_tok") > F.floor(F.col("room") / 2)))
+    plan = plan.withColumn("stride", F.greatest(F.lit(1), F.col("room") - F.coalesce(F.max(F.when(own & ~F.col("is_long"), F.col("item_tok"))).over(whole), F.lit(0))))
+    # Segments, in order: odd ones are a long item each, even ones the items between two of them. A system turn goes with the next turn.
+    seg = 2 * F.sum((F.col("is_long") & F.col("begins")).cast("int")).over(until) - F.col("is_long").cast("int")
     plan = plan.withColumn("seg", seg).withColumn("seg", F.when(F.col("is_system"), F.coalesce(F.lead("seg").over(by), F.lit(0))).otherwise(F.col("seg")))
-    inside = Window.partitionBy("ck", "seg").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    plan = plan.withColumn("start", F.when(F.col("is_system"), F.lit(0)).otherwise(F.sum(F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("tok"))).over(inside) - F.col("tok")))
-    plan = plan.withColumn("span", F.floor(F.col("start") / F.col("stride")).cast("long")).drop("turn")
-    plan = cut(plan)  # used five times below; a row of it is some numbers and keys
+    first_of = lambda keys: F.min(F.when(own, F.col("from"))).over(Window.partitionBy("ck", *keys))
+    start = F.coalesce(first_of(["item"]) - first_of(["seg"]), F.lit(0))
+    plan = plan.withColumn("span", F.when(F.col("is_system"), F.lit(0)).otherwise(F.floor(start / F.col("stride"))).cast("long"))
+    plan = cut(plan.select("conv_id", "ck", "tk", "role", "h", "lo", "size", "tok", "nth", "is_system", "sys", "from", "to", "seg", "span"))  # used four times below; a row of it is some numbers and keys
 
     own = ~F.col("is_system")
-    spans = plan.groupBy("ck", "seg", "span").agg(F.coalesce(F.min(F.when(own, F.col("start"))), F.lit(0)).alias("first"), F.coalesce(F.max(F.when(own, F.col("start") + F.col("tok"))), F.lit(0)).alias("last"), F.max("sys").alias("sys"), F.max("is_system").alias("has_system"))
+    spans = plan.groupBy("ck", "seg", "span").agg(F.coalesce(F.min(F.when(own, F.col("from"))), F.lit(0)).alias("first"), F.coalesce(F.max(F.when(own, F.col("to"))), F.lit(0)).alias("last"), F.max("sys").alias("sys"), F.max("is_system").alias("has_system"))
     spans = spans.withColumn("room", F.least(F.lit(history), F.lit(budget) - F.col("sys") - (F.col("last") - F.col("first"))))
-    spans = spans.withColumn("window", F.row_number().over(Window.partitionBy("ck").orderBy("seg", "span")) - 1).drop("last", "sys")
+    spans = spans.withColumn("window", F.row_number().over(Window.partitionBy("ck").orderBy("seg", "span")) - 1)
     kept = ["conv_id", "ck", "tk", "role", "h", "nth", "lo", "size", "tok", "window"]
     new = plan.join(spans.select("ck", "seg", "span", "window"), ["ck", "seg", "span"]).select(*kept, F.lit(2).alias("part"))
-    # A turn can be history only of spans whose first token is at most `history` after its own.
-    later = plan.where(short).withColumn("to", F.floor((F.col("start") + history) / F.col("stride"))).where("to > span")
-    past = later.withColumn("span", F.explode(F.sequence(F.col("span") + 1, F.col("to")))).join(spans.drop("has_system"), ["ck", "seg", "span"]).where("start >= first - room").select(*kept, F.lit(1).alias("part"))
+    # A turn is history of windows that begin at most `history` tokens after it began; both meet in stretches of that many tokens.
+    width = max(1, history)
+    looks_at = F.explode(F.sequence(F.floor((F.col("first") - F.col("room")) / width), F.floor(F.col("first") / width)))
+    back = spans.where("room > 0 and first > 0").select("ck", "window", "first", "room", looks_at.alias("stretch"))
+    past = plan.where(own).withColumn("stretch", F.floor(F.col("from") / width)).join(back, ["ck", "stretch"]).where("from >= first - room and to <= first").select(*kept, F.lit(1).alias("part"))
     opening = plan.where("is_system").join(spans.where("not has_system").select("ck", "window"), "ck").select(*kept, F.lit(0).alias("part"))
 
     before = Window.partitionBy("ck", "window").orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)

@@ -32,15 +32,23 @@ t AS (SELECT *, length('<|im_start|>' || {_ESC.format("replace(replace(role, '%'
 a AS (SELECT *, (size + 3) // 4 AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(raw)) AS nth FROM t),
 b AS (SELECT *, nth = 1 AND role = 'system' AS is_system FROM a),
 c AS (SELECT *, coalesce(max(CASE WHEN is_system THEN tok END) OVER (PARTITION BY conv_id), 0) AS sys FROM b),
-l AS (SELECT *, NOT is_system AND tok > greatest(least(512, greatest(1, 2048 - sys) // 2), greatest(1, 2048 - sys) // 4) AS is_long FROM c),
-o AS (SELECT *, greatest(1, greatest(1, 2048 - sys) - coalesce(max(CASE WHEN NOT is_system AND NOT is_long THEN tok END) OVER (PARTITION BY conv_id), 0)) AS stride, 2 * sum(is_long::INT) OVER (PARTITION BY conv_id ORDER BY nth ROWS UNBOUNDED PRECEDING) - is_long::INT AS own FROM l),
-g AS (SELECT *, CASE WHEN is_system THEN coalesce(lead(own) OVER (PARTITION BY conv_id ORDER BY nth), 0) ELSE own END AS seg FROM o),
-e AS (SELECT *, CASE WHEN is_system THEN 0 ELSE sum(CASE WHEN is_system THEN 0 ELSE tok END) OVER (PARTITION BY conv_id, seg ORDER BY nth ROWS UNBOUNDED PRECEDING) - tok END AS start FROM g),
-s AS (SELECT *, start // stride AS span FROM e),
-spans AS (SELECT conv_id, seg, span, coalesce(min(CASE WHEN NOT is_system THEN start END), 0) AS first, coalesce(max(CASE WHEN NOT is_system THEN start + tok END), 0) AS last, max(sys) AS sys, bool_or(is_system) AS has_system FROM s GROUP BY conv_id, seg, span),
+m AS (SELECT *, greatest(1, 2048 - sys) AS room, NOT is_system AND role = 'assistant' AS target, CASE WHEN is_system THEN 0 ELSE tok END AS own FROM c),
+g AS (SELECT *, sum(own) OVER w AS upto, sum(own) OVER w - own AS start, least(count(*) FILTER (target) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), count(*) FILTER (target) OVER (PARTITION BY conv_id) - 1) AS x FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY nth)),
+u AS (SELECT *, max(CASE WHEN target THEN upto END) OVER (PARTITION BY conv_id, x) AS t_to FROM g),
+v AS (SELECT *, NOT is_system AND upto < t_to AND t_to - start <= room AS ahead FROM u),
+y AS (SELECT *, min(CASE WHEN target OR ahead THEN start END) OVER (PARTITION BY conv_id, x) AS begun FROM v),
+z AS (SELECT *, coalesce(target OR ahead OR (NOT is_system AND upto > t_to AND upto - begun <= room), false) AS joined FROM y),
+i AS (SELECT *, NOT is_system AND NOT (joined AND coalesce(lag(joined) OVER w AND lag(x) OVER w = x, false)) AS begins FROM z WINDOW w AS (PARTITION BY conv_id ORDER BY nth)),
+j AS (SELECT *, sum(begins::INT) OVER (PARTITION BY conv_id ORDER BY nth) AS item FROM i),
+k AS (SELECT *, sum(own) OVER (PARTITION BY conv_id, item) AS item_tok FROM j),
+l AS (SELECT *, NOT is_system AND item_tok > room // 2 AS is_long FROM k),
+o AS (SELECT *, greatest(1, room - coalesce(max(CASE WHEN NOT is_system AND NOT is_long THEN item_tok END) OVER (PARTITION BY conv_id), 0)) AS stride, 2 * sum((is_long AND begins)::INT) OVER (PARTITION BY conv_id ORDER BY nth) - is_long::INT AS own_seg FROM l),
+q AS (SELECT *, CASE WHEN is_system THEN coalesce(lead(own_seg) OVER (PARTITION BY conv_id ORDER BY nth), 0) ELSE own_seg END AS seg FROM o),
+s AS (SELECT *, CASE WHEN is_system THEN 0 ELSE (min(CASE WHEN NOT is_system THEN start END) OVER (PARTITION BY conv_id, item) - min(CASE WHEN NOT is_system THEN start END) OVER (PARTITION BY conv_id, seg)) // stride END AS span FROM q),
+spans AS (SELECT conv_id, seg, span, coalesce(min(CASE WHEN NOT is_system THEN start END), 0) AS first, coalesce(max(CASE WHEN NOT is_system THEN upto END), 0) AS last, max(sys) AS sys, bool_or(is_system) AS has_system FROM s GROUP BY conv_id, seg, span),
 rooms AS (SELECT *, least(512, 2048 - sys - (last - first)) AS room FROM spans),
 pieces AS (SELECT conv_id, size FROM s
- UNION ALL SELECT s.conv_id, size FROM s JOIN rooms r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND NOT s.is_system AND r.seg = s.seg AND r.span > s.span AND s.start >= r.first - r.room
+ UNION ALL SELECT s.conv_id, size FROM s JOIN rooms r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND NOT s.is_system AND s.upto <= r.first AND s.start >= r.first - r.room
  UNION ALL SELECT s.conv_id, size FROM s JOIN rooms r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.is_system AND NOT r.has_system),
 chars AS (SELECT conv_id, sum(size)::BIGINT AS formatted_chars FROM pieces GROUP BY conv_id),
 wins AS (SELECT conv_id, count(*) AS n_windows FROM spans GROUP BY conv_id),

@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quern.llm import chat_format as cf
 from quern.llm import common, components, exact_dedup, ngram_join, toxicity
@@ -84,6 +86,46 @@ def test_one_long_turn_leaves_the_stride_alone(spark, long_at, system):
     assert sum(len(w["loss_spans"]) for w in windows) == 100
 
 
+@pytest.mark.parametrize("answer", [1_900, 2_100, 3_900, 6_000, 8_000])
+def test_long_answers_keep_their_questions(spark, answer):
+    """Three questions of 100 characters and three long answers; then a question without an answer."""
+    turns = [(1, k, ("user", "assistant")[k % 2], f"{k}" * (answer if k % 2 else 100)) for k in range(7)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    windows = sorted(cf.format_windows(df).collect(), key=lambda w: w["window"])
+    assert not any(w["over_budget"] for w in windows)
+    # Beside an answer of 8,000 and its question the last one does not fit.
+    assert [bool(w["loss_spans"]) for w in windows] == [True] * (len(windows) - (answer == 8_000)) + [False] * (answer == 8_000)
+    for w in windows:
+        said = [p.split("\n", 1)[1] for p in w["text"].split(cf.END + "\n")[:-1]]
+        for s in w["loss_spans"]:
+            k = int(w["text"][s["start"]])
+            assert str(k - 1) * 100 in said
+    one = cf.format_windows(df.where("turn < 2").withColumn("text", F.when(F.col("turn") == 0, F.repeat(F.lit("q"), 7_000)).otherwise(F.repeat(F.lit("a"), 4_000)))).collect()
+    assert sorted(len(w["loss_spans"]) for w in one) == [0, 1]  # a question that does not fit beside its answer
+
+
+def test_windows_without_a_target(spark):
+    """Only where the turns fit beside none: exchanges are not cut at the stride."""
+    import random
+
+    rnd = random.Random(4)
+    rows = []
+    for c in range(60):
+        for k in range(rnd.randint(1, 40)):
+            rows.append((c, k, rnd.choice(["user", "user", "assistant"]), "x" * rnd.choice([5, 200, 900, 2_500, 5_000])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    answered = {r[0] for r in rows if r[2] == "assistant"}
+    tokens = lambda t: -(-len(f"{cf.START}{t[2]}\n{t[3]}{cf.END}\n") // 4)
+    exchanges = {}
+    for r in rows:
+        done = sum(x[0] == r[0] and x[1] < r[1] and x[2] == "assistant" for x in rows)
+        exchanges[r[0], done] = exchanges.get((r[0], done), 0) + tokens(r)
+    small = {c for c in answered if all(n <= 1_000 for (own, _), n in exchanges.items() if own == c)}
+    windows = cf.format_windows(df).collect()
+    assert small and all(w["loss_spans"] for w in windows if w["conv_id"] in small)
+    assert sum(w["n_tokens"] for w in windows) <= 3 * sum(map(tokens, rows))
+
+
 # ------------------------------------------------------------------ pipeline stages
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, `row` string, salt int, `odd name` array<string>"
 
