@@ -43,7 +43,7 @@ from quern.llm.common import pieces
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same in the standard library's terms, for texts without odd_characters().
 FAST_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-CACHE_WORDS, CACHE_PAIRS = 400_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 600_000, 1_000_000
 #: Longest word, in bytes, that takes part in steps over whole batches.
 WIDE = 64
 #: Tokens that one step of decoding gathers.
