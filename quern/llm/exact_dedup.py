@@ -15,7 +15,7 @@ the input) for the report, into one row per (digest, salt) where rows are kept.
 
 Defined results: null text counts as empty; a null id sorts last and its group
 keeps it only if all ids are null; of rows that repeat the winning id and text
-exactly one is kept; an empty table gives no rows; texts of any length are
+exactly one is kept, the same one in reruns; an empty table gives no rows; texts of any length are
 compared whole; columns of any other name are untouched.
 """
 
@@ -37,13 +37,17 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{SPACE}]{{2,}}|[\x09-\x0D]", " ")
 
 
+def digest(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(f"`{id_col}`").alias("id"),
         normalised(F.col(f"`{text_col}`")).alias("norm"),
         F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(salts)).cast("int").alias("salt"),
-    ).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    ).withColumn("digest", digest(F.col("norm")))
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = MAX_SALTS) -> DataFrame:
@@ -54,12 +58,14 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # One exchange by digest serves both the global combine and the collision check.
     winners = salted.repartition("digest").groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask"))
     checked = winners.select("digest", "keep_id", "group_size", "mask", F.count(F.lit(1)).over(Window.partitionBy("digest")).alias("texts"))
+    # Different texts under one digest would need the text as a join key below; stop rather than merge them. Who stays depends on
+    # this check, so no plan can leave it out.
+    sure = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a digest")).cast(checked.schema["keep_id"].dataType)).otherwise(F.col("keep_id"))
     return checked.select(
         "digest",
         F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), s)) != 0)).alias("salt"),
-        "keep_id",
-        # Different texts under one digest would need the text as a join key below; stop rather than merge them.
-        F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest"))).otherwise(F.col("group_size")).alias("group_size"),
+        sure.alias("keep_id"),
+        "group_size",
     )
 
 
@@ -78,8 +84,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = MAX_SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    order = F.struct(F.col("id").isNull(), "id")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Of rows that share the winning id and text the one whose other columns have the
+    smallest hash stays. Rows are folded by digest; that one text stands behind each
+    is checked, on all texts, where the winners come from.
+    """
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.name != text_col]
+    order = F.struct(F.col("id").isNull(), "id", F.xxhash64(*plain) if plain else F.lit(0))
     best = _keyed(docs, id_col, text_col, salts).groupBy("digest", "salt").agg(F.min_by("row", order).alias("row"), F.min("id").alias("id"))
     # No id is below its group's keep_id, so this is equality; as such it would become a key of the join, and rows would be exchanged again.
     wins = (F.col("id") <= F.col("keep_id")) | F.col("keep_id").isNull()

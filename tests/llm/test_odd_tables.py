@@ -24,6 +24,23 @@ def test_many_null_ids_of_one_text(spark):
     assert sorted(map(tuple, exact_dedup.drop_exact_duplicates(df).collect()), key=str) == sorted([(7, "a b"), (3, "c"), (None, "only null")], key=str)
 
 
+def test_two_texts_under_one_digest_stop_the_job(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest", lambda norm: F.unhex(F.md5(F.substring(norm, 1, 1))))
+    df = spark.createDataFrame([(1, "alpha", "x"), (2, "beta", "x"), (3, "beta", "y")], "doc_id long, text string, lang string")
+    assert exact_dedup.drop_exact_duplicates(df).count() == 2
+    for f in (exact_dedup.drop_exact_duplicates, exact_dedup.exact_dedup):
+        got = f(df.unionByName(spark.createDataFrame([(4, "another", "x")], df.schema)))
+        assert "raise_error" in got._jdf.queryExecution().optimizedPlan().toString()
+        with pytest.raises(Exception, match="two texts share a digest"):
+            got.collect()
+
+
+def test_of_equal_ids_and_texts_reruns_keep_the_same_row(spark):
+    rows = [(1, "same", f"source {k}") for k in range(40)]
+    kept = {exact_dedup.drop_exact_duplicates(spark.createDataFrame(sorted(rows, key=lambda r: hash((n, r))), "doc_id long, text string, source string").repartition(n)).first()["source"] for n in (1, 3, 7)}
+    assert len(kept) == 1
+
+
 def test_ids_written_out_in_steps(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "STEP", 3)
     df = spark.createDataFrame([(1, "x")] * 10 + [(2, "x")] * 4, "doc_id long, text string").repartition(2)
