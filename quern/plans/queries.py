@@ -17,7 +17,7 @@ from quern.operators import resolve as rs
 from quern.operators import retrieval as rt
 from quern.plans import answer as pl
 from quern.plans import generate, ingest
-from quern.sources import fetch, postings
+from quern.sources import fetch, postings, vector_index
 from quern.sources import io as sio
 from quern.sources.shared import shared_folder
 from quern.streaming import streams
@@ -72,6 +72,28 @@ def dense_topk(spark, d):
     return _dense(spark, d).select("query_id", "chunk_id", F.round("score", 6).alias("score"), long("rank").alias("rank"))
 
 
+def _stored_vectors(spark, d):
+    """The queries, and the path of an index of all vectors."""
+    path, v = shared_folder(spark, "vectors"), _vectors(spark, d)
+    vector_index.write_vectors(v, path)
+    return v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), path
+
+
+@query(f"WITH {_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dense")
+def dense_stored_index(spark, d):
+    """The exact search of an index that is written first."""
+    found = vector_index.search_vectors(*_stored_vectors(spark, d), exact=True)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), long("rank").alias("rank"))
+
+
+@query()
+def dense_index_recall(spark, d):
+    """Of each query's exact best ten, how many a search of the nearest lists alone finds."""
+    asked, path = _stored_vectors(spark, d)
+    near = vector_index.search_vectors(asked, path).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    return _dense(spark, d).join(near, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("found"))
+
+
 @query(f"""WITH {_DENSE}, f AS (SELECT *, max(CASE WHEN q_label = c_label THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS anyfit FROM dense)
 SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM f WHERE q_label = c_label OR anyfit = 0""")
 def dense_filter_or_relax(spark, d):
