@@ -1,9 +1,11 @@
 """HTML to sections, as an Arrow-batched UDF over the standard library's event parser.
 
-``h1`` to ``h3`` open a section. In ``strict`` mode only text that is pending when
-a block tag (p li td th div span) ends is kept; every other end tag throws the
-pending text away. In ``inline`` mode the text of inline tags flows to the block
-around it and is flushed at block boundaries.
+``h1`` to ``h3`` with a text open a section; an empty heading opens none. In
+``strict`` mode the pieces of text since the last end tag, trimmed and joined by
+spaces, are kept when a block tag (p li td th div span) ends; every other end tag
+throws them away. In ``inline`` mode the text of inline tags flows to the block
+around it and is flushed at block boundaries and at br, tr and hr. The last section
+is kept without content, too, if it has a heading.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_HEADINGS, _BLOCKS, _SILENT = {"h1", "h2", "h3"}, {"p", "li", "td", "th", "div", "span"}, {"script", "style", "noscript"}
+_HEADINGS, _BLOCKS, _SILENT, _BREAKS = {"h1", "h2", "h3"}, {"p", "li", "td", "th", "div", "span"}, {"script", "style", "noscript"}, {"br", "tr", "hr"}
 SECTIONS = T.ArrayType(T.StructType([T.StructField("heading_level", T.StringType()), T.StructField("heading", T.StringType()), T.StructField("content", T.ArrayType(T.StringType()))]))
 
 
@@ -27,15 +29,16 @@ class _Events(HTMLParser):
         self.done: list[tuple[str, str, list[str]]] = []
 
     def take(self) -> str:
-        text, self.pending = " ".join("".join(self.pending).split()), []
+        glue = "" if self.inline else " "
+        text, self.pending = " ".join(glue.join(self.pending).split()), []
         return text
 
     def keep(self) -> None:
         if text := self.take():
             self.lines.append(text)
 
-    def close_section(self) -> None:
-        if self.lines:
+    def close_section(self, last: bool = False) -> None:
+        if self.lines or (last and self.title != "Document"):
             self.done.append((self.level, self.title, self.lines))
             self.lines = []
 
@@ -46,7 +49,7 @@ class _Events(HTMLParser):
             if self.inline:
                 self.keep()
             self.pending, self.naming = [], tag
-        elif self.inline and not self.silent and tag in _BLOCKS:
+        elif self.inline and not self.silent and (tag in _BLOCKS or tag in _BREAKS) and not self.naming:
             self.keep()
 
     def handle_endtag(self, tag):
@@ -54,12 +57,14 @@ class _Events(HTMLParser):
             self.silent = max(0, self.silent - 1)
         elif self.silent:
             return
-        elif tag in _HEADINGS and self.naming == tag:
+        elif tag in _HEADINGS:
             name, self.naming = self.take(), None
-            self.close_section()
-            self.level, self.title = tag, name or "Document"
-        elif tag in _BLOCKS:
-            self.keep()
+            if name:
+                self.close_section()
+                self.level, self.title = tag, name
+        elif tag in _BLOCKS or (self.inline and tag in _BREAKS):
+            if not (self.inline and self.naming):
+                self.keep()
         elif not self.inline:
             self.take()
 
@@ -76,9 +81,8 @@ def sections_of(html: str | None, inline: bool = False) -> list[dict]:
     events = _Events(inline)
     events.feed(html or "")
     events.close()
-    if events.naming is None:
-        events.keep()
-    events.close_section()
+    events.keep()
+    events.close_section(last=True)
     return [{"heading_level": a, "heading": b, "content": c} for a, b, c in events.done]
 
 

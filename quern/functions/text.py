@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from quern.functions import lexicons as lx
 
@@ -40,11 +44,20 @@ def is_boilerplate(text: Column, lines: list[str] | None = None) -> Column:
     return (F.char_length(text) <= 2) | F.lower(text).isin(lines or lx.BOILERPLATE_LINES)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def first_occurrences(items: Column) -> Column:
-    """Array without later items that equal an earlier one ignoring case; order kept. Nulls go."""
+    """Array without later items that equal an earlier one ignoring case; order kept. Nulls go.
+
+    Sorted by lower case and place, the first of each run stays: m log m steps for m items.
+    """
     kept = F.filter(items, lambda x: x.isNotNull())
-    lowered = F.transform(kept, lambda x: F.lower(x))
-    return F.filter(kept, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    placed = F.array_sort(F.transform(kept, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("at"), x.alias("item"))))
+    first = once(placed, lambda s: F.filter(s, lambda e, i: (i == 0) | (e["low"] != F.get(s, i - 1)["low"])))
+    return F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["at"].alias("at"), e["item"].alias("item")))), lambda e: e["item"])
 
 
 def clean_items(items: Column, lines: list[str] | None = None) -> Column:
@@ -62,35 +75,53 @@ def is_relevant(text: Column, threshold: float = 0.25, positive: list[str] | Non
     return (F.char_length(text) >= 30) & (relevance_score(text, positive, negative) >= threshold)
 
 
-def chunks(text: Column, low: int = lx.CHUNK_MIN, high: int = lx.CHUNK_MAX, overlap: int = lx.CHUNK_OVERLAP) -> Column:
-    """Overlapping chunks (array of strings) of a white-space-collapsed text.
+def overlap_pieces(text: str, low: int = lx.CHUNK_MIN, high: int = lx.CHUNK_MAX, overlap: int = lx.CHUNK_OVERLAP) -> Iterator[str]:
+    """Overlapping pieces of a text, one after the other.
 
     A window of ``high`` characters that does not reach the end is cut after its
     last ". ", "; " or ", " if that lies at ``low`` or later; the next window begins
-    ``overlap`` before the cut. The fold runs inside one row; its number of steps
-    is the text's length over the least advance.
+    ``overlap`` before the cut. Pieces are trimmed; empty ones are left out.
     """
+    start, n = 0, len(text)
+    while start < n:
+        size = min(high, n - start)
+        if start + high < n:
+            cut = max(text.rfind(d, start, start + high) for d in (". ", "; ", ", ")) - start
+            size = cut + 1 if cut >= low else size
+        if piece := text[start : start + size].strip(" "):
+            yield piece
+        if start + size >= n:
+            return
+        start = max(start + size - overlap, start + 1)
+
+
+def _checked_sizes(low: int, high: int, overlap: int) -> None:
     if not low > overlap >= 0 or high < low:
         raise ValueError("chunk sizes must satisfy high >= low > overlap >= 0")
 
-    def step(state: Column, _: Column) -> Column:
-        start, done = state["start"], state["done"]
-        window = F.substr(text, start + 1, F.lit(high))
-        full = start + high < F.char_length(text)
-        # Where the last delimiter begins; -1 if there is none.
-        last = lambda d: F.when(F.contains(window, F.lit(d)), F.char_length(window) - F.instr(F.reverse(window), d[::-1]) - len(d) + 1).otherwise(-1)
-        cut = F.greatest(last(". "), last("; "), last(", "))
-        size = F.when(full & (cut >= low), cut + 1).otherwise(F.char_length(window))
-        piece = F.trim(F.substr(window, F.lit(1), size))
-        ended = start + size >= F.char_length(text)
-        return (
-            F.when(done, state)
-            .otherwise(F.struct(F.when(ended, start).otherwise(F.greatest(start + size - overlap, start + 1)).cast("int").alias("start"), F.when(piece == "", state["out"]).otherwise(F.concat(state["out"], F.array(piece))).alias("out"), ended.alias("done")))
-        )
-
-    first = F.struct(F.lit(0).cast("int").alias("start"), F.array().cast("array<string>").alias("out"), (F.char_length(text) == 0).alias("done"))
-    steps = F.sequence(F.lit(0), (F.char_length(text) / (low - overlap)).cast("int") + 1)
-    return F.aggregate(steps, first, step, lambda s: s["out"])
+
+def chunks(text: Column, low: int = lx.CHUNK_MIN, high: int = lx.CHUNK_MAX, overlap: int = lx.CHUNK_OVERLAP) -> Column:
+    """The overlap_pieces() of a white-space-collapsed text as an array, linear in the text; null for null."""
+    _checked_sizes(low, high, overlap)
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list(overlap_pieces(t, low, high, overlap)), na_action="ignore")
+
+    return cut(text)
+
+
+@udtf(returnType="ord int, chunk string", useArrow=True)
+class OverlapChunks:
+    """ord (from 1), chunk of a text, as rows that are passed on as they are made: for very long texts and for SQL.
+
+    ``spark.udtf.register("overlap_chunks", OverlapChunks)``, then ``LATERAL overlap_chunks(text, 600, 900, 150)``.
+    """
+
+    def eval(self, text: str, low: int, high: int, overlap: int):
+        _checked_sizes(low, high, overlap)
+        for n, piece in enumerate(overlap_pieces(text or "", low, high, overlap), 1):
+            yield n, piece
 
 
 def sentences(text: Column) -> Column:

@@ -21,7 +21,7 @@ def prompts(results: DataFrame, top: int = 3) -> DataFrame:
 
 
 def generate(rows: DataFrame, generator: Callable[[list[str]], list[str]]) -> DataFrame:
-    """query_id, generated: the generator runs on executors over batches of prompts; null where it fails."""
+    """query_id (of any type), generated: the generator runs on executors over batches of prompts; null where it fails."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -32,7 +32,8 @@ def generate(rows: DataFrame, generator: Callable[[list[str]], list[str]]) -> Da
                 said = [None] * len(asked)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], ["query_id", "generated"])
 
-    return rows.select(F.col("query_id").cast("long").alias("query_id"), "prompt").mapInArrow(run, "query_id long, generated string")
+    asked = rows.select("query_id", "prompt")
+    return asked.mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, generated string")
 
 
 def fallback(chunk: Column, url: Column, date: Column, limit: int = 2) -> Column:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -106,3 +107,83 @@ def test_html_strict_drops_inline_tails():
     inline = sections_of(html, inline=True)
     assert inline[0]["content"] == ["one two three", "four"]
     assert sections_of(None) == [] and sections_of("") == []
+
+
+def test_clean_items_of_many_lines_is_not_quadratic(spark):
+    """20,000 lines, each twice: a few seconds, where each line against all others would take hours."""
+    lines = [f"line {k} of  it" for k in range(20_000)]
+    items = F.split(F.lit("\n".join(lines + [x.upper() for x in lines] + ["x", "Login"])), "\n")
+    got = spark.range(1).select(tx.clean_items(items).alias("c")).first()["c"]
+    assert got == [f"line {k} of it" for k in range(20_000)]
+
+
+def test_first_occurrences(evaluate):
+    got = evaluate(tx.first_occurrences(F.array(*[F.lit(x) for x in ["b", "A", "a", None, "B", "c", "", "A"]])))
+    assert got == ["b", "A", "c", ""]
+    assert evaluate(tx.first_occurrences(F.array().cast("array<string>"))) == [] and evaluate(tx.first_occurrences(F.lit(None).cast("array<string>"))) is None
+
+
+def test_chunks_of_a_very_long_text(spark):
+    text = " ".join(f"word {k}; and, more." for k in range(220_000))  # 5 MB
+    got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(tx.chunks(F.col("t")).alias("c")).collect()
+    pieces = got[0]["c"]
+    assert got[1]["c"] is None and got[2]["c"] == []
+    at = 0
+    for p in pieces:
+        assert p == p.strip(" ") and len(p) <= 900
+        at = text.index(p, max(0, at - 200))
+        at += len(p)
+    assert at == len(text) and len(text) / 752 - 5 < len(pieces) < len(text) / 700
+
+
+def test_chunks_by_sql(spark):
+    spark.udtf.register("overlap_chunks", tx.OverlapChunks)
+    spark.createDataFrame([(1, "a, b. " * 400), (2, "short"), (3, None)], "id long, t string").createOrReplaceTempView("long_texts")
+    got = spark.sql("SELECT id, ord, chunk FROM long_texts, LATERAL overlap_chunks(t, 600, 900, 150) ORDER BY id, ord").collect()
+    want = [(1, n, c) for n, c in enumerate(tx.overlap_pieces("a, b. " * 400), 1)] + [(2, 1, "short")]
+    assert [tuple(r) for r in got] == want and len(want) > 3
+
+
+def by_loop(html):
+    """Strict extraction of simple markup, token by token: another way than the event parser's."""
+    sections, now, pending, silent = [], ["h1", "Document", []], [], 0
+    for end, tag, slash, data in re.findall(r"<(/?)([a-z0-9]+)[^>]*?(/?)>|([^<]+)", html):
+        if data:
+            pending += [data.strip()] * (not silent and bool(data.strip()))
+            continue
+        if tag in ("script", "style", "noscript") and not slash:
+            silent = max(0, silent - 1) if end else silent + 1
+            continue
+        if silent:
+            continue
+        if not end and tag in ("h1", "h2", "h3"):
+            pending = []
+        if end or slash:
+            text, pending = " ".join(" ".join(pending).split()), []
+            if text and tag in ("h1", "h2", "h3"):
+                sections += [now] * bool(now[2])
+                now = [tag, text, []]
+            elif text and tag in ("p", "li", "td", "th", "div", "span"):
+                now[2].append(text)
+    now[2] += [" ".join(" ".join(pending).split())] * bool(pending)
+    sections += [now] * (bool(now[2]) or now[1] != "Document")
+    return [tuple(s) for s in sections]
+
+
+def test_strict_sections_equal_a_loop():
+    rnd = random.Random(8)
+    parts = ["<h1>", "</h1>", "<h2>", "</h2>", "<h3></h3>", "<p>", "</p>", "<li>", "</li>", "<b>", "</b>", "<br>", "<br/>", "<div>", "</div>", "<span>", "</span>", "<script>", "</script>", "<td>", "</td>", " ", "\n", "word", " two words ", "3  x"]
+    for _ in range(3000):
+        html = "".join(rnd.choices(parts, k=rnd.randint(0, 25)))
+        if html.count("<script>") != html.count("</script>") or re.search(r"<script>(?!</script>)", html):
+            continue  # inside a script there is no markup
+        assert [(s["heading_level"], s["heading"], s["content"]) for s in sections_of(html)] == by_loop(html), html
+
+
+def test_breaks_and_headings():
+    assert [s["content"] for s in sections_of("<p>a<br>b</p>")] == [["a b"]]
+    assert [s["content"] for s in sections_of("<p>a<br>b<br/>c</p><table><tr><td>d<tr><td>e</table>", inline=True)] == [["a", "b", "c", "d", "e"]]
+    html = "<h1>One</h1><p>x</p><h2></h2><p>y</p><h2>Foo <b>bar</b></h2><p>z</p><h3>Last</h3>"
+    assert [(s["heading"], s["content"]) for s in sections_of(html)] == [("One", ["x", "y", "z"]), ("Last", [])]
+    assert [(s["heading"], s["content"]) for s in sections_of(html, inline=True)] == [("One", ["x", "y"]), ("Foo bar", ["z"]), ("Last", [])]
+    assert [s["content"] for s in sections_of("<p>a<b>b</b>c</p>", inline=True)] == [["abc"]]
