@@ -17,6 +17,7 @@ from quern.operators import resolve as rs
 from quern.operators import retrieval as rt
 from quern.plans import answer as pl
 from quern.plans import generate, ingest
+from quern.sources import buckets as bucketed
 from quern.sources import fetch, postings, vector_index
 from quern.sources import io as sio
 from quern.sources.shared import shared_folder
@@ -103,8 +104,8 @@ def dense_filter_or_relax(spark, d):
     return rt.filter_or_relax(got, F.coalesce(F.col("q_label") == F.col("c_label"), F.lit(False))).select("query_id", "chunk_id", F.round("score", 6).alias("score"), long("rank").alias("rank"))
 
 
-_VOCABULARY = r"""dfs AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM documents) GROUP BY token),
-raws AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, (SELECT count(*) AS n FROM documents))"""
+_VOCABULARY = r"""dfs AS MATERIALIZED (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM documents) GROUP BY token),
+raws AS MATERIALIZED (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, (SELECT count(*) AS n FROM documents))"""
 
 
 def _bm25_sql(docs: str, asked: str, also: str = "true") -> str:
@@ -420,6 +421,18 @@ def index_report(spark, d):
     return sio.index_report(chunks, index).select("total_input_chunks", "total_indexed_chunks", "embedding_dim", F.to_json("filter_checks").alias("filter_checks"))
 
 
+# Of a hundred documents one is changed, one removed, one added under another id; what is read is what the change left.
+@query("""SELECT doc_id, source, CASE WHEN doc_id % 100 = 7 THEN 'changed: ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 100 <> 8
+UNION ALL SELECT -1 - doc_id, source, text FROM documents WHERE doc_id % 100 = 9""".replace("SELECT doc_id, source, CASE", "WITH after AS (SELECT doc_id, source, CASE", 1) + ") SELECT doc_id, source, sha256(coalesce(text, '')) AS text_sha FROM after")
+def index_upsert(spark, d):
+    root, docs = shared_folder(spark, "rows"), table(spark, d, "documents").select("doc_id", "source", "text")
+    part = lambda k: docs.where(F.col("doc_id") % 100 == k)
+    bucketed.upsert(root, docs, "doc_id", 64)
+    changed = part(7).withColumn("text", F.concat(F.lit("changed: "), F.coalesce("text", F.lit("")))).unionByName(part(9).withColumn("doc_id", -1 - F.col("doc_id")))
+    bucketed.upsert(root, changed, "doc_id", 64, removed=part(8).select("doc_id"))
+    return bucketed.read_buckets(spark, root, "doc_id long, source string, text string").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"))
+
+
 # ---------------------------------------------------------------- entities
 def _alias_sql(replacements: list[tuple[str, str]], extra: dict[str, list[str]]) -> str:
     """alias (entity_id, name, alias) of registry (name)."""
