@@ -21,7 +21,7 @@ from quern.sources import buckets as bucketed
 from quern.sources import fetch, postings, vector_index
 from quern.sources import io as sio
 from quern.sources.shared import shared_folder
-from quern.streaming import streams
+from quern.streaming import state, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -427,9 +427,9 @@ UNION ALL SELECT -1 - doc_id, source, text FROM documents WHERE doc_id % 100 = 9
 def index_upsert(spark, d):
     root, docs = shared_folder(spark, "rows"), table(spark, d, "documents").select("doc_id", "source", "text")
     part = lambda k: docs.where(F.col("doc_id") % 100 == k)
-    bucketed.upsert(root, docs, "doc_id", 64)
+    bucketed.upsert(root, docs, "doc_id", 32)
     changed = part(7).withColumn("text", F.concat(F.lit("changed: "), F.coalesce("text", F.lit("")))).unionByName(part(9).withColumn("doc_id", -1 - F.col("doc_id")))
-    bucketed.upsert(root, changed, "doc_id", 64, removed=part(8).select("doc_id"))
+    bucketed.upsert(root, changed, "doc_id", 32, removed=part(8).select("doc_id"))
     return bucketed.read_buckets(spark, root, "doc_id long, source string, text string").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"))
 
 
@@ -858,6 +858,25 @@ def retry_schedule(spark, d):
     return ops.retry_schedule(e, "user_id", "ts", "event_id").select("event_id", "user_id", long("attempt").alias("attempt"), "delay_s", "may_retry")
 
 
+@query("WITH a AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS attempt FROM events WHERE event_type = 'error') SELECT event_id, user_id, attempt, least(60 * pow(2, least(attempt, 40)), 3600)::DOUBLE AS delay_s, attempt < 3 AS may_retry FROM a")
+def retry_stream(spark, d):
+    """The same schedule from a stream with timers, whose rows come out of order in several micro-batches."""
+    root, before = shared_folder(spark, "attempts"), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    e = _events(spark, d).where("event_type = 'error'").select(F.col("user_id").cast("string").alias("op"), F.col("event_id").alias("id"), F.lit(False).alias("ok"), "ts")
+    # Dealt by hash, so each file has rows of all times; a last row far ahead lets the watermark pass all others.
+    e.repartition(4, "id").write.parquet(f"{root}/in/rows")
+    e.agg((F.max("ts") + F.expr("interval 900 days")).alias("ts")).select(F.lit("end").alias("op"), F.lit(-1).cast("long").alias("id"), F.lit(True).alias("ok"), "ts").coalesce(1).write.parquet(f"{root}/in/zz")
+    state.use_rocksdb(spark)
+    try:
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        told = state.retry_timers(stream, "800 days")
+        told.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = spark.read.schema("op string, id string, ts timestamp, kind string, attempt long, delay_s double, may_retry boolean").parquet(f"{root}/out").where("kind = 'attempt'")
+    return got.select(F.col("id").cast("long").alias("event_id"), F.col("op").cast("long").alias("user_id"), "attempt", "delay_s", "may_retry")
+
+
 @query("SELECT event_id, '[' || event_type || '] ' || CASE WHEN length(props || repeat('x', (event_id % 200)::INT)) > 100 THEN substr(props || repeat('x', (event_id % 200)::INT), 1, 100) || '...' ELSE props || repeat('x', (event_id % 200)::INT) END AS line FROM events")
 def notification_log(spark, d):
     m = F.concat("props", F.expr("repeat('x', cast(event_id % 200 as int))"))
