@@ -47,24 +47,27 @@ def listed_get(approved: DataFrame, limit: int = 100_000) -> Callable[[str], tup
     return partial(http_get, listed=frozenset(urls))
 
 
+def fetch_one(url: str, get: Callable[[str], tuple[int, str, bytes]], retries: int = 2) -> tuple:
+    """A row of FETCHED. An error status keeps its code; other failures have code 0 and are tried again."""
+    for left in range(retries, -1, -1):
+        try:
+            code, kind, body = get(url)
+            return url, "success", code, hashlib.sha256(body).hexdigest(), kind, len(body), None, body
+        except HttpFailure as e:
+            return url, "failed", e.code, "", None, 0, str(e), None
+        except Exception as e:  # noqa: BLE001  whatever a fetcher raises is a failed fetch
+            if not left:
+                return url, "failed", 0, "", None, 0, f"{type(e).__name__}: {e}", None
+    raise AssertionError("unreachable")
+
+
 def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, bytes]] = http_get, retries: int = 2) -> DataFrame:
-    """One row per URL. An error status keeps its code; other failures have code 0 and are tried again."""
-
-    def one(url: str) -> tuple:
-        for left in range(retries, -1, -1):
-            try:
-                code, kind, body = get(url)
-                return url, "success", code, hashlib.sha256(body).hexdigest(), kind, len(body), None, body
-            except HttpFailure as e:
-                return url, "failed", e.code, "", None, 0, str(e), None
-            except Exception as e:  # noqa: BLE001  whatever a fetcher raises is a failed fetch
-                if not left:
-                    return url, "failed", 0, "", None, 0, f"{type(e).__name__}: {e}", None
+    """One row per URL, by fetch_one()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
-            rows = [one(u) for u in batch.column(0).to_pylist()]
+            rows = [fetch_one(u, get, retries) for u in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [c.split()[0] for c in FETCHED.split(", ")])
 
     return urls.select("url").where("url is not null").mapInArrow(run, FETCHED)
