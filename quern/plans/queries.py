@@ -12,6 +12,7 @@ from quern.functions import query as qn
 from quern.functions import text as tx
 from quern.functions import urls as ul
 from quern.functions.html import html_sections, section_text
+from quern.functions.tables import table_lines
 from quern.operators import answers, evaluate, ops, policy
 from quern.operators import resolve as rs
 from quern.operators import retrieval as rt
@@ -405,6 +406,22 @@ def html_sections_inline(spark, d):
     return table(spark, d, "pages").select("page_id", s.alias("s")).select("page_id", long(F.size("s")).alias("n_sections"), F.array_join("s.heading", "|").alias("headings"), F.sha2(section_text(F.col("s")), 256).alias("text_sha"))
 
 
+# The pages have no tables; one is written for each, with spans, two header rows and a row header.
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS host, length(html)::VARCHAR AS n, page_id % 3 = 0 AS short FROM pages)
+SELECT page_id, unnest([0, 1, 2, 3]) AS line_no, unnest(['Size, characters: ' || n, 'Size, kind: ' || CASE WHEN short THEN 'short' ELSE 'long' END, 'Size, characters, kind, ' || host || ': both ' || page_id, 'note & ' || page_id]) AS line FROM p""")
+def page_tables(spark, d):
+    number, host = F.col("page_id").cast("string"), ul.host(F.col("url"))
+    kind = F.when(F.col("page_id") % 3 == 0, "short").otherwise("long")
+    html = F.concat(
+        F.lit("<p>x</p><table><thead><tr><th rowspan=2></th><th colspan=2>Size</th></tr><tr><th>characters<th>kind</tr></thead><tr><th rowspan=2>"), host, F.lit("</th><td hidden>"), F.lit("</td></tr>"),
+        F.lit("</table><table><tr><th colspan=2>Size</th></tr><tr><th>characters</th><th>kind</th></tr><tr><td>"), F.char_length("html").cast("string"), F.lit("</td><td><i>"), kind,
+        F.lit("</i></td></tr><tr><td rowspan=1 colspan=2>"), F.lit("</td></tr></table><table><thead><tr><td></td><td colspan=2>Size</td></tr><tr><td></td><td>characters</td><td>kind</td></tr></thead><tr><th>"), host,
+        F.lit("</th><td colspan=2>both "), number, F.lit("</td></tr></table><table><tr><td>note &amp; "), number, F.lit("</td></tr></table>"),
+    )
+    lines = table(spark, d, "pages").select("page_id", F.posexplode(table_lines(html)).alias("line_no", "line"))
+    return lines.select("page_id", "line_no", "line")
+
+
 def _chunks(spark, d):
     return ingest.ingest(table(spark, d, "pages").select("url", "html"), positive=lx.SYNTHETIC_RELEVANCE, negative=lx.SYNTHETIC_NOISE)
 
