@@ -13,7 +13,7 @@ from quern.functions import text as tx
 from quern.functions import urls as ul
 from quern.functions.html import html_sections, section_text
 from quern.functions.tables import table_lines
-from quern.operators import answers, evaluate, ops, policy
+from quern.operators import answers, canonical, evaluate, ops, policy
 from quern.operators import resolve as rs
 from quern.operators import retrieval as rt
 from quern.plans import answer as pl
@@ -508,6 +508,20 @@ def search_entities(spark, d):
     return rs.search_entities(words.unionByName(cuttings), _alias_table(spark, d)).withColumn("rank", long("rank"))
 
 
+# Of seven names one lacks a letter, one has another letter instead of one; the letters' places go with the key.
+_TYPED = """CASE p_partkey % 7 WHEN 3 THEN substr(p_name, 1, (p_partkey % 5)::INT + 1) || substr(p_name, (p_partkey % 5)::INT + 3) WHEN 5 THEN substr(p_name, 1, (p_partkey % 6)::INT) || 'x' || substr(p_name, (p_partkey % 6)::INT + 2) ELSE p_name END"""
+
+
+@query(f"""WITH RECURSIVE names AS (SELECT lower({_TYPED}) AS name, count(*) AS n FROM part GROUP BY 1),
+best AS (SELECT a.name, first(b.name ORDER BY b.n DESC, b.name) AS best, first(b.n ORDER BY b.n DESC, b.name) AS best_n FROM names a JOIN names b ON a.name <> b.name AND levenshtein(a.name, b.name) <= 1 GROUP BY a.name),
+follows AS (SELECT name, n, CASE WHEN best_n > n OR (best_n = n AND best < name) THEN best ELSE name END AS next FROM names LEFT JOIN best USING (name)),
+walk AS (SELECT name, n, next AS at FROM follows UNION ALL SELECT w.name, w.n, f.next FROM walk w JOIN follows f ON f.name = w.at WHERE f.next <> w.at)
+SELECT w.name, w.n, w.at AS canonical FROM walk w JOIN follows f ON f.name = w.at WHERE f.next = w.at""")
+def canonical_names(spark, d):
+    typed = table(spark, d, "part").select(F.expr(_TYPED).alias("name"))
+    return canonical.canonical_names(typed)
+
+
 # Names and questions that meet every default replacement and keyed term; what is asked is written as one may write it.
 _NAMED = """CASE p_partkey % 6 WHEN 0 THEN 'HDFC Mid Cap Fund Direct Growth' WHEN 1 THEN 'HDFC Large Cap ' || p_brand || ' Fund Direct Plan Growth' WHEN 2 THEN p_name || ' HDFC Equity Direct' WHEN 3 THEN 'Focused ' || p_name || ' Growth' WHEN 4 THEN p_brand || ' ELSS Fund' ELSE 'HDFC Tax Saver ' || p_brand END"""
 _SAID = """CASE p_partkey % 7 WHEN 0 THEN 'nav of midcap funds' WHEN 1 THEN 'large-cap ' || p_brand WHEN 2 THEN p_name || ' hdfc equity direct' WHEN 3 THEN 'is ' || p_brand || ' elss good' WHEN 4 THEN 'focused ' || p_name || '?' WHEN 5 THEN 'tax saver ' || p_brand || ' exit load' ELSE p_type END"""
