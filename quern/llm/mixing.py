@@ -37,19 +37,23 @@ def size_class(size: str) -> Column:
     return F.expr(f"length(bin({size})) * 4 + (shiftright({size}, greatest(length(bin({size})) - 3, 0)) & 3)").cast("int")
 
 
+#: Rows that a block, which one task numbers, has at most if all of them are in one source and size class.
+BLOCK_ROWS = 100_000
+
+
 def unit(text: Column) -> Column:
     """A number in [0, 1) from the first 32 bits of an MD5 digest."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, blocks: int) -> DataFrame:
+def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, bits: int) -> DataFrame:
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         F.when(F.col(f"`{source_col}`").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(f"`{source_col}`").cast("string"))).alias("src"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))).alias("h"),
-    ).select("*", size_class("size").alias("cls"), (F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % blocks).alias("block"))
+    ).select("*", size_class("size").alias("cls"), F.shiftrightunsigned(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - bits).alias("block"))
 
 
 def targets(sizes: DataFrame, share: float = 1.5, max_copies: int = 2, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -66,9 +70,15 @@ def targets(sizes: DataFrame, share: float = 1.5, max_copies: int = 2, weights:
     return levels.withColumn("common", common).select("src", "source_size", F.when(F.col("common").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("common") * F.col("w"))).alias("target"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = 1.5, max_copies: int = 2, weights: tuple[float, ...] = WEIGHTS, blocks: int = 256) -> DataFrame:
-    """row (struct of all columns), id, size, source_size, target, copies."""
-    rows = _prepared(docs, id_col, text_col, source_col, seed, blocks)
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = 1.5, max_copies: int = 2, weights: tuple[float, ...] = WEIGHTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """row (struct of all columns), id, size, source_size, target, copies.
+
+    The order within a source is (size class, hash, id). Blocks are cut from it by the
+    hash's leading bits, as many as the number of rows asks for, so their number
+    changes no result, and no block has more than about ``block_rows``.
+    """
+    bits = min(32, max(8, (docs.count() // block_rows).bit_length()))
+    rows = _prepared(docs, id_col, text_col, source_col, seed, bits)
     # Used twice below; cut, so that texts are read for it once.
     counts = cut(rows.groupBy("src", "cls", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
     sizes = counts.groupBy("src").agg(F.sum("words").alias("source_size"))

@@ -58,8 +58,8 @@ SELECT said.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(l
 _UNIT = "(('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296::DOUBLE)"
 
 OP6 = rf"""WITH d AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-k AS (SELECT *, length(bin(size)) * 4 + ((size >> greatest(length(bin(size)) - 3, 0)) & 3) AS cls, ('0x' || substr(h, 1, 4))::BIGINT % 256 AS block FROM d),
-r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cls, block, h, doc_id) AS nth FROM k),
+k AS (SELECT *, length(bin(size)) * 4 + ((size >> greatest(length(bin(size)) - 3, 0)) & 3) AS cls FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cls, h, doc_id) AS nth FROM k),
 s AS (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
 w AS (SELECT *, [3.0::DOUBLE, 1, 2][((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::INT] AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / nullif(sum(w) OVER () - coalesce(sum(w) OVER b, 0), 0) AS level FROM w WINDOW b AS (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

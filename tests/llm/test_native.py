@@ -166,3 +166,11 @@ def test_windows_say_each_turn_once(spark, budget, history):
 def test_no_conversations(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert cf.digest(cf.format_windows(df)).count() == 0
+
+
+def test_the_number_of_blocks_changes_no_mix(spark):
+    from quern.llm import mixing
+
+    df = spark.createDataFrame([(k, "w " * (k % 7), f"s{k % 2}") for k in range(3000)], "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix_report(df).collect()))
+    assert sorted(map(tuple, mixing.mix_report(df, block_rows=1).collect())) == want
