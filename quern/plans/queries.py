@@ -13,7 +13,7 @@ from quern.functions import text as tx
 from quern.functions import urls as ul
 from quern.functions.html import html_sections, section_text
 from quern.functions.tables import table_lines
-from quern.operators import answers, canonical, evaluate, ops, policy
+from quern.operators import answers, canonical, evaluate, ops, policy, telemetry
 from quern.operators import resolve as rs
 from quern.operators import retrieval as rt
 from quern.plans import answer as pl
@@ -938,6 +938,18 @@ def latency_percentiles(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.percentile("value", 0.95), 4).alias("p95"), F.round(F.max("value"), 4).alias("worst"))
 
 
+@query("SELECT event_type, count(*) AS n, round(max(value), 4) AS worst, true AS p50_holds, true AS p95_holds, true AS keys_hold FROM events GROUP BY 1")
+def latency_sketches(spark, d):
+    """Hourly sketches merged by type, and whether their quantiles and distinct users are within the stated errors of the exact ones."""
+    e = table(spark, d, "events")
+    told = telemetry.latency_report(telemetry.hourly_sketches(e), "kind")
+    at = lambda q: F.percentile_approx("value", F.lit(q), F.lit(1_000_000))
+    b = telemetry.RANK_ERROR
+    exact = e.groupBy("event_type").agg(at(0.5 - b).alias("l50"), at(0.5 + b).alias("h50"), at(0.95 - b).alias("l95"), at(0.95 + b).alias("h95"), F.count_distinct("user_id").alias("users"))
+    both = told.join(exact, F.col("kind") == F.col("event_type"))
+    return both.select("event_type", "n", F.round("worst", 4).alias("worst"), F.col("p50").between(F.col("l50"), F.col("h50")).alias("p50_holds"), F.col("p95").between(F.col("l95"), F.col("h95")).alias("p95_holds"), (F.abs(F.col("n_keys") - F.col("users")) <= F.greatest(F.lit(1), F.col("users") * 0.05)).alias("keys_hold"))
+
+
 @query("SELECT user_id, count(*) AS attempts FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 150) GROUP BY 1")
 def retry_reset(spark, d):
     e = table(spark, d, "events")
@@ -945,6 +957,67 @@ def retry_reset(spark, d):
     return ops.reset_retries(e.where("event_type = 'error'"), done, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts"))
 
 
+_CHUNKS_IN = "doc_id % 50 <> 0 AND text IS NOT NULL"
+_INDEX = f"""ix AS (SELECT count(*) AS total, count(*) FILTER ({_CHUNKS_IN}) AS indexed, coalesce(max((coalesce(lang, '') <> '')::INT) FILTER ({_CHUNKS_IN}), 0) = 1 AS lang_ok, coalesce(max((coalesce(source, '') <> '')::INT) FILTER ({_CHUNKS_IN}), 0) = 1 AS source_ok FROM documents)"""
+
+
+def _index_report(spark, d):
+    """Documents as chunks; those with a text, but for every fiftieth id, are in the index."""
+    docs = table(spark, d, "documents").withColumn("embedding", F.array(F.lit(1.0)))
+    index = docs.where("doc_id % 50 <> 0 and text is not null").withColumns({c: F.coalesce(c, F.lit("")) for c in ("lang", "source")})
+    return sio.index_report(docs, index, ("lang", "source"))
+
+
+@query(f"""WITH {_INDEX}, x AS (SELECT count(*) AS total, count(*) FILTER (length(text) > 0) AS ok FROM documents)
+SELECT 'extraction' AS gate, CASE WHEN ok < 0.95 * total THEN 'failed' ELSE 'passed' END AS status, round(ok / total, 6) AS value, total FROM x
+UNION ALL SELECT 'index', CASE WHEN indexed = total AND lang_ok AND source_ok THEN 'passed' ELSE 'failed' END, round(indexed / total, 6), total FROM ix""")
+def extraction_and_index_gates(spark, d):
+    texts = table(spark, d, "documents").select(F.col("text").alias("full_text"))
+    return ops.extraction_gate(texts).unionByName(ops.index_gate(_index_report(spark, d)))
+
+
+@query(f"""WITH {_INDEX} SELECT indexed = total AS count_match, concat_ws(',', CASE WHEN NOT lang_ok THEN 'lang' END, CASE WHEN NOT source_ok THEN 'source' END) AS failed_filters, CASE (indexed <> total)::INT + (NOT lang_ok)::INT + (NOT source_ok)::INT WHEN 0 THEN 'healthy' WHEN 3 THEN 'unhealthy' ELSE 'degraded' END AS status FROM ix""")
+def index_health(spark, d):
+    return ops.index_health(_index_report(spark, d)).select("count_match", F.array_join("failed_filters", ",").alias("failed_filters"), "status")
+
+
+def _told(issues: str, degraded: int) -> str:
+    return f"CASE WHEN {issues} = 0 THEN 'healthy' WHEN {issues} <= {degraded} THEN 'degraded' ELSE 'unhealthy' END"
+
+
+_HEALTH = f"""WITH {_INDEX}, e AS (SELECT (count(embedding) < count(*))::INT + (min(len(embedding)) <> max(len(embedding)))::INT + (count(*) FILTER (len(list_filter(embedding, lambda x: abs(x) >= 1e-10)) = 0) > 0)::INT + (min(len(embedding)) < 100 OR max(len(embedding)) > 2000)::INT AS n FROM embeddings),
+a AS (SELECT max(ts) FILTER (event_type = 'error') AS i, max(ts) FILTER (event_type = 'signup') AS e FROM events),
+f AS (SELECT (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(i) > 48 * 3600000000)::INT + (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(e) > 48 * 3600000000)::INT + (i < e)::INT AS n FROM a),
+h AS (SELECT 'embeddings' AS part, {_told('n', 2)} AS status FROM e UNION ALL SELECT 'freshness', {_told('n', 1)} FROM f UNION ALL SELECT 'index', {_told('((indexed <> total)::INT + (NOT lang_ok)::INT + (NOT source_ok)::INT)', 2)} FROM ix)"""
+
+
+@query(f"""{_HEALTH} SELECT CASE WHEN count(*) FILTER (status = 'unhealthy') > 0 THEN 'unhealthy' WHEN count(*) FILTER (status = 'degraded') > 0 THEN 'degraded' ELSE 'healthy' END AS overall,
+coalesce(string_agg(part, ',' ORDER BY part) FILTER (status = 'unhealthy'), '') AS unhealthy, coalesce(string_agg(part, ',' ORDER BY part) FILTER (status = 'degraded'), '') AS degraded, count(*) AS checks FROM h""")
+def health_rollup(spark, d):
+    a = table(spark, d, "events").where("event_type in ('error', 'signup')").groupBy(F.when(F.col("event_type") == "error", "index").otherwise("embeddings").alias("name")).agg(F.max("ts").alias("updated_at"))
+    parts = {"embeddings": ops.embedding_health(table(spark, d, "embeddings")), "freshness": ops.data_freshness(a, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")), "index": ops.index_health(_index_report(spark, d))}
+    checks = [df.select(F.lit(n).alias("check"), "status") for n, df in parts.items()]
+    r = ops.health_rollup(checks[0].unionByName(checks[1]).unionByName(checks[2]))
+    return r.select("overall", F.array_join("failed", ",").alias("unhealthy"), F.array_join("warned", ",").alias("degraded"), "checks")
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(q, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, k: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN NULL ELSE conv_id || ' asks ' || turn END AS q FROM conversations) SELECT conv_id, turn, [{', '.join(lit(t) for t in lx.DONT_KNOW_TEMPLATES)}][CASE WHEN q IS NULL THEN 0 ELSE {_CRC} % {len(lx.DONT_KNOW_TEMPLATES)} END + 1] AS answer FROM r""")
+def dont_know_compose(spark, d):
+    q = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.concat(F.col("conv_id").cast("string"), F.lit(" asks "), F.col("turn").cast("string")))
+    return table(spark, d, "conversations").select("conv_id", "turn", policy.dont_know_answer(q).alias("answer"))
+
+
+@query(f"""WITH {_ROUTE}, m AS (SELECT *, CASE WHEN blank THEN 'error' WHEN has_pii THEN 'pii_block' WHEN intent <> 'factual' THEN 'refusal' ELSE 'retrieve' END AS route, CASE WHEN turn % 2 = 0 THEN 'extractive' ELSE 'dont_know' END AS method FROM r WHERE NOT blank)
+SELECT conv_id, turn, 'personal data check > ' || CASE WHEN route = 'pii_block' THEN 'blocked > ' ELSE 'intent ' || intent || ' > ' END || CASE route WHEN 'refusal' THEN 'refused > ' WHEN 'retrieve' THEN 'retrieved, ' || method || ' > ' ELSE '' END || 'checked' AS flow FROM m""")
+def decision_flow(spark, d):
+    routed = pl.route(table(spark, d, "conversations").where("trim(coalesce(text, '')) <> ''"), "text", lx.SYNTHETIC_PII, _TOPICS)
+    method = F.when(F.col("turn") % 2 == 0, "extractive").otherwise("dont_know")
+    return routed.select("conv_id", "turn", answers.decision_flow(F.col("route"), method, F.col("intent")).alias("flow"))
+
+
 # ---------------------------------------------------------------- evaluation
 _JUDGED = "judged AS (SELECT l.doc_id AS query_id, CASE WHEN length(d.text) < 500 THEN 'easy' WHEN length(d.text) < 2000 THEN 'medium' ELSE 'hard' END AS difficulty, l.quality = 1 AS success, l.toxic = 0 AS entity_correct, l.quality + l.toxic > 0 AS confident, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'junk' END AS reason FROM labels l JOIN documents d USING (doc_id))"
 
