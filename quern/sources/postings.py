@@ -121,7 +121,7 @@ def write_postings(docs: DataFrame, path: str, chunk_id: str = "chunk_id", text:
             yield rest
 
     schema = _BLOCKS.format(kind)
-    rows.mapInArrow(run, schema).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    rows.mapInArrow(run, schema).sortWithinPartitions("bucket", "token").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/blocks")
     spark = docs.sparkSession
     found = spark.read.schema(schema).parquet(f"{path}/blocks").groupBy("bucket", "token").agg(F.sum("n").cast("long").alias("df"))
     found.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/tokens")
