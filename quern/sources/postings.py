@@ -6,6 +6,7 @@ Layout below one path:
   segment each, with the highest tf and the least length of the block. Files are sorted by
   token, so that readers open the buckets of their tokens only and skip row groups in them.
 * ``tokens/bucket=N``: token, df.
+* ``blocks/bucket=-1``: for each segment how many documents and words it has.
 * ``stats``: one row: n_docs, avgdl, mean_idf (of the raw idf of all tokens), buckets, id_type.
 
 A segment is what one task read of the documents up to a number of postings, so it is
@@ -27,12 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
-from quern.operators.retrieval import ranked
+from quern.operators.retrieval import ranked, small_side
 
 #: Postings after which a segment ends, and documents of a block.
 SEGMENT, BLOCK = 1_000_000, 128
 
 
+_NAMES = ["bucket", "token", "segment", "block", "ids", "tf", "dl", "groups", "n", "max_tf", "min_dl"]
+
+
 class _Segment:
     """Postings of some documents, by numbers of tokens and documents."""
 
@@ -41,6 +45,7 @@ class _Segment:
         self.number: dict[str, int] = {}
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # token, document, tf
         self.ids, self.groups, self.lengths, self.size = [], [], [], 0
+        self.docs, self.texts, self.words = 0, 0, 0
 
     def add(self, ids: pa.Array, words: pa.Array, groups: pa.Array) -> None:
         n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -52,13 +57,27 @@ class _Segment:
             first = sum(map(len, self.ids))
             self.parts.append((known[place % len(known)], place // len(known) + first, tf))
             self.size += len(tf)
+        self.docs += len(n)
+        self.texts += len(n) - words.null_count  # a null text is a document, but its length is not averaged
+        self.words += int(n.sum())
         self.ids.append(ids)
         self.groups.append(groups)
         self.lengths.append(n)
 
-    def rows(self, segment: int) -> pa.RecordBatch | None:
-        if not self.parts:
-            return None
+    def batches(self, segment: int) -> Iterator[pa.RecordBatch]:
+        """The blocks, and a row of bucket -1 with the numbers of documents, texts and words."""
+        if not self.docs:
+            return
+        some = lambda *v: pa.array([v], pa.list_(pa.int32()))
+        kind = self.ids[0].type
+        number = lambda v: pa.array([v], pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [number(-1), pa.array([None], pa.string()), pa.array([segment]), number(0), pa.array([[]], pa.list_(kind)), some(self.docs, self.texts), some(self.words), pa.array([[]], pa.list_(pa.string())), number(0), number(0), number(0)], _NAMES
+        )
+        if self.parts:
+            yield self.rows(segment)
+
+    def rows(self, segment: int) -> pa.RecordBatch:
         token, doc, tf = (np.concatenate(c) for c in zip(*self.parts))
         words = np.array(list(self.number), object)
         bucket = np.array([crc32(w.encode("utf-8", "surrogatepass")) % self.buckets for w in words])
@@ -90,7 +109,7 @@ class _Segment:
                 pa.array(np.maximum.reduceat(tf, starts), pa.int32()),
                 pa.array(np.minimum.reduceat(dl, starts), pa.int32()),
             ],
-            ["bucket", "token", "segment", "block", "ids", "tf", "dl", "groups", "n", "max_tf", "min_dl"],
+            _NAMES,
         )
 
 
@@ -115,22 +134,21 @@ def write_postings(docs: DataFrame, path: str, chunk_id: str = "chunk_id", text:
             for at in range(0, whole.num_rows, 256):
                 now.add(*whole.slice(at, 256).columns)
                 if now.size >= segment:
-                    yield now.rows(task << 24 | nth)
+                    yield from now.batches(task << 24 | nth)
                     now, nth = _Segment(buckets, block), nth + 1
-        if (rest := now.rows(task << 24 | nth)) is not None:
-            yield rest
+        yield from now.batches(task << 24 | nth)
 
     schema = _BLOCKS.format(kind)
     rows.mapInArrow(run, schema).sortWithinPartitions("bucket", "token").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/blocks")
     spark = docs.sparkSession
-    found = spark.read.schema(schema).parquet(f"{path}/blocks").groupBy("bucket", "token").agg(F.sum("n").cast("long").alias("df"))
+    written = spark.read.schema(schema).parquet(f"{path}/blocks")
+    found = written.where("bucket >= 0").groupBy("bucket", "token").agg(F.sum("n").cast("long").alias("df"))
     found.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/tokens")
-    # Lengths as the BM25 operators have them: a null text has none, and counts -1.
-    total = docs.where(F.col(chunk_id).isNotNull()).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl")).first()
-    n = total["n_docs"]
+    total = written.where("bucket = -1").agg(F.sum(F.col("tf")[0].cast("long")).alias("docs"), F.sum(F.col("tf")[1].cast("long")).alias("texts"), F.sum(F.col("dl")[0].cast("long")).alias("words")).first()
+    n = total["docs"] or 0
     raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean = _tokens(spark, path).agg(F.avg(raw).alias("m")).first()["m"]
-    spark.createDataFrame([(n, float(total["avgdl"] or 1.0), float(mean or 0.0), buckets, kind)], "n_docs long, avgdl double, mean_idf double, buckets int, id_type string").coalesce(1).write.parquet(f"{path}/stats")
+    spark.createDataFrame([(n, (total["words"] / total["texts"] if total["texts"] else 0.0) or 1.0, float(mean or 0.0), buckets, kind)], "n_docs long, avgdl double, mean_idf double, buckets int, id_type string").coalesce(1).write.parquet(f"{path}/stats")
 
 
 def _tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -236,7 +254,8 @@ def search_postings(queries: DataFrame, path: str, k: int = 10, query_id: str =
     deal = F.pmod(F.xxhash64("query_id"), F.lit(deals)).cast("int")
     weights = asked.join(_tokens(spark, path).where(F.col("bucket").isin(used)), ["bucket", "token"]).select(deal.alias("deal"), "query_id", "wanted", "token", (F.col("qtf") * idf).alias("w"))
     blocks = spark.read.schema(_BLOCKS.format(stats["id_type"])).parquet(f"{path}/blocks").where(F.col("bucket").isin(used))
-    matched = blocks.join(weights.select("deal", "token").distinct(), "token")
+    # Counted: up to a million tokens are sent to the blocks, which are then exchanged only where they match.
+    matched = blocks.join(small_side(weights.select("deal", "token").distinct(), 1_000_000), "token")
     there = matched.select("segment", "deal").distinct()
     kind = queries.schema[query_id].dataType.simpleString()
     left = matched.select("segment", "deal", "token", "block", "ids", "tf", "dl", "groups", "max_tf", "min_dl").groupBy("segment", "deal")

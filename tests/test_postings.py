@@ -34,6 +34,8 @@ def test_equals_the_scan(spark, corpus, tmp_path, options):
     assert rows(by_group) == rows(rt.bm25_topk(asked, there, 5, wanted="wanted", group="g"))
     found = spark.read.parquet(f"{tmp_path}/i/tokens").agg(F.sum("df")).first()[0]
     assert found == spark.read.parquet(f"{tmp_path}/i/blocks").agg(F.sum("n")).first()[0]
+    stats, scan = spark.read.parquet(f"{tmp_path}/i/stats").first(), rt.corpus_stats(there).first()
+    assert stats["n_docs"] == scan["n_docs"] and abs(stats["avgdl"] - scan["avgdl"]) < 1e-9
     assert spark.read.parquet(f"{tmp_path}/i/blocks").agg(F.max("n")).first()[0] <= options.get("block", ps.BLOCK)
 
 
