@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +11,18 @@ from quern.llm import bpe, centroids, chat_format, conv_repair, exact_dedup, lan
 from quern.llm.common import fold, table
 from quern.llm.sql import SQL
 
-#: The installed vocabulary file; the operators take its path as a parameter.
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+def vocabulary() -> str:
+    """The path of the installed vocabulary file, which the operators take as a parameter; only they need the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def __getattr__(name: str) -> str:
+    if name == "VOCABULARY":
+        return vocabulary()
+    raise AttributeError(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +49,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +82,7 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

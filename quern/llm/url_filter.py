@@ -12,7 +12,10 @@ longest (host and path together, then the longer host) decides.
 
 Both tables are parameters whose size the caller bounds; they travel with the
 function. Defined results: a null URL or one without ``://`` has empty host and
-path, fits no rule, and is judged by the vocabulary alone (null: allowed).
+path, fits no rule, and is judged by the vocabulary alone (null: allowed). URLs of
+any length are searched whole, in one pass; null and repeated ids and repeated
+rows are judged row by row; an empty table gives no rows; other columns, whatever
+their names, play no part.
 """
 
 from __future__ import annotations

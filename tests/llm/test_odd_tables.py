@@ -143,6 +143,17 @@ def test_windows_without_a_target(spark):
     assert sum(w["n_tokens"] for w in windows) <= 3 * sum(map(tokens, rows))
 
 
+def test_odd_urls(spark):
+    from quern.llm import url_filter
+
+    long = "http://a.example.net/" + "x-" * 500_000 + "casino"
+    rows = [(1, long), (1, long), (None, "http://B.example.org/es/1"), (2, None), (3, ""), (4, "no scheme casino")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(c) for c in ("id", "host", "path", "terms")})
+    got = Counter((r["page_id"], r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in url_filter.judge_urls(df).collect())
+    assert got == {(1, "a.example.net", 1_000_007, None, "block"): 2, (None, "b.example.org", 5, "example.org/es/", "block"): 1, (2, "", 0, None, "allow"): 1, (3, "", 0, None, "allow"): 1, (4, "", 0, None, "block"): 1}
+    assert url_filter.judge_urls(df.limit(0)).collect() == []
+
+
 # ------------------------------------------------------------------ pipeline stages
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, `row` string, salt int, `odd name` array<string>"
 
