@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe, exact_dedup, mixing, ngram_join, queries, toxicity
-from quern.llm.common import cut
+from quern.llm.common import cut, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each but the last is cut, so that its successor's several passes do not run it again."""
+    """All stages; each but the last is cut, so that its successor's several passes do not run it again. A cut that nothing needs any more is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES):
             docs = cut(docs)
+            release(before)
     return docs
