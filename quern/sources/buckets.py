@@ -93,7 +93,7 @@ def upsert(root: str, rows: DataFrame, key: str, buckets: int, removed: DataFram
     kept = old.join(keys, key, "left_anti").select(*rows.columns)
     version = uuid.uuid4().hex
     written = kept.unionByName(rows).withColumn("bucket", bucket)
-    written.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/version={version}/rows")
+    written.repartition("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/version={version}/rows")
     there = [int(n.split("=")[1]) for n in _names(spark, f"{root}/version={version}/rows") if n.startswith("bucket=")]
     after = {b: v for b, v in before.items() if b not in set(touched)} | dict.fromkeys(there, version)
     spark.createDataFrame(sorted(after.items()), "bucket int, version string").coalesce(1).write.parquet(f"{root}/version={version}/manifest")
