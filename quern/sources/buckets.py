@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.retrieval import small_side
+
 
 class Lost(RuntimeError):
     """Another change came first; read again and retry."""
@@ -90,7 +92,8 @@ def upsert(root: str, rows: DataFrame, key: str, buckets: int, removed: DataFram
     keys = keys.where(F.col(f"`{key}`").isNotNull()).distinct()
     touched = sorted(r["b"] for r in keys.select(bucket.alias("b")).distinct().collect())
     old = _read(spark, root, {b: before[b] for b in touched if b in before}, rows)
-    kept = old.join(keys, key, "left_anti").select(*rows.columns)
+    # Counted: up to a million keys are sent to the old rows, which are then exchanged once, to be written.
+    kept = old.join(small_side(keys, 1_000_000), key, "left_anti").select(*rows.columns)
     version = uuid.uuid4().hex
     written = kept.unionByName(rows).withColumn("bucket", bucket)
     written.repartition("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/version={version}/rows")
