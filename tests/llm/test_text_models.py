@@ -209,3 +209,67 @@ def test_url_tables_are_parameters():
     assert j.rule("a.b.c", "/xyzw") == ("b.c/x", "allow")  # both are five long; the longer host decides
     assert j.judge("http://n/one/two")[3] == "allow" and j.judge("http://n/one/two/three")[3] == "block"
     assert url_filter.UrlJudge([], {}).judge("http://casino")[3] == "allow"
+
+
+def test_non_negative_risk_by_loops():
+    """The fit of the quality classifier against one that goes document by document."""
+    import math
+
+    from quern.llm import quality_pu as pu
+
+    rng = np.random.default_rng(12)
+    sizes = [len(e) for e in pu.EDGES.values()]
+    draw = lambda n, top: np.column_stack([rng.integers(0, max(1, int(s * top)) + 1, n) for s in sizes]).astype(np.uint8)
+    positive, unlabelled = draw(9, 1.0), np.concatenate([draw(14, 0.5), draw(6, 1.0)])
+    features = lambda row: [1.0] + [float(c > j) for c, n in zip(row.tolist(), sizes) for j in range(n)]
+    p, u = [features(r) for r in positive], [features(r) for r in unlabelled]
+    dot = lambda w, x: sum(a * b for a, b in zip(w, x))
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    for prior in (None, 0.3, 1.5):  # the last is no share, but its risk is soon negative
+        w = [0.0] * len(p[0])
+        m, v = list(w), list(w)
+        flipped = 0
+        for t in range(1, 41):
+            grad = lambda rows, f: [sum(f(dot(w, x)) * x[k] for x in rows) / len(rows) for k in range(len(w))]  # noqa: B023, E731
+            up, uu, both = grad(p, lambda z: sig(z) - 1), grad(u, sig), grad(p, sig)
+            if prior is None:
+                g = [(a + b) / 2 for a, b in zip(up, uu)]
+            else:
+                risk = sum(math.log1p(math.exp(dot(w, x))) for x in u) / len(u) - prior * sum(math.log1p(math.exp(dot(w, x))) for x in p) / len(p)
+                flipped += risk < 0
+                g = [prior * a + b - prior * c for a, b, c in zip(up, uu, both)] if risk >= 0 else [prior * c - b for b, c in zip(uu, both)]
+            g = [a + 1e-4 * b for a, b in zip(g, w)]
+            m, v = [0.9 * a + 0.1 * b for a, b in zip(m, g)], [0.999 * a + 0.001 * b * b for a, b in zip(v, g)]
+            w = [a - 0.1 / math.sqrt(t) * (b / (1 - 0.9**t)) / (math.sqrt(c / (1 - 0.999**t)) + 1e-8) for a, b, c in zip(w, m, v)]
+        assert np.allclose(pu._descend(pu.Binned(positive), pu.Binned(unlabelled), prior, 40), w, atol=1e-6), prior
+        assert flipped or prior != 1.5
+
+
+def test_prior_by_loops():
+    import math
+
+    from quern.llm import quality_pu as pu
+
+    rng = np.random.default_rng(5)
+    positive, unlabelled = rng.normal(2, 1, 400), np.concatenate([rng.normal(2, 1, 300), rng.normal(-2, 1, 700)])
+    counts = rng.integers(1, 4, 1000).astype(float)
+    got = pu.estimate_prior(positive, unlabelled, counts=counts)
+    slack = math.sqrt(math.log(40) / 2) * (1 / math.sqrt(400) + 1 / math.sqrt(counts.sum()))
+    bounds = []
+    for c in sorted([*positive, *unlabelled]):
+        qp, qu = sum(x >= c for x in positive) / 400, sum(n for x, n in zip(unlabelled, counts) if x >= c) / counts.sum()
+        if qp > 0.05:
+            bounds.append(((qu + slack) / qp, qu / qp))
+    assert abs(got - min(bounds)[1]) < 0.02 and abs(got - counts[:300].sum() / counts.sum()) < 0.08
+
+
+def test_counts_are_bounded_on_the_driver(spark):
+    from quern.llm import quality_pu as pu
+
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(["a", "Bb", "c1", "d.", "e!"], rng.integers(1, 40)))) for k in range(600)], "doc_id long, text string")
+    fine = pu.counted(docs)
+    few = pu.bounded(fine, 40).collect()
+    assert fine.count() > 40 >= len(few) and sum(r["n"] for r in few) == 600
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 600, 9)], "doc_id long, quality int")
+    assert pu.fit(docs, labels, max_bins=40).weights.shape == pu.fit(docs, labels).weights.shape
