@@ -31,7 +31,7 @@ from quern.functions.text import tokens
 from quern.operators.retrieval import ranked, small_side
 
 #: Postings after which a segment ends, and documents of a block.
-SEGMENT, BLOCK = 1_000_000, 128
+SEGMENT, BLOCK = 400_000, 128
 
 
 _NAMES = ["bucket", "token", "segment", "block", "ids", "tf", "dl", "groups", "n", "max_tf", "min_dl"]
