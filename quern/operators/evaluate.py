@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import found_terms
+
 
 def judge(results: DataFrame, expected: DataFrame) -> DataFrame:
     """One row per expectation (query_id, expected_entity, expected_keywords, difficulty).
@@ -77,8 +79,15 @@ def confusion_rate(judged: DataFrame) -> DataFrame:
     return judged.agg(F.count_if(answered).alias("n"), F.round(100 * F.avg(F.when(answered, (~F.col("entity_correct")).cast("int"))), 6).alias("confusion_rate"))
 
 
-def coverage_gaps(registry: DataFrame, facts: DataFrame, chunks: DataFrame, entity: str = "entity_id", text: str = "text") -> DataFrame:
-    """entity, fact: pairs of a registered entity and a wanted fact (a term) that none of the entity's chunks mentions. facts: fact; a dimension."""
-    wanted = registry.select(entity).distinct().crossJoin(F.broadcast(facts.select(F.lower("fact").alias("fact")).distinct()))
-    told = chunks.select(F.col(entity), F.lower(text).alias("_t")).join(F.broadcast(facts.select(F.lower("fact").alias("fact")).distinct()), F.contains(F.col("_t"), F.col("fact"))).select(entity, "fact").distinct()
+def coverage_gaps(registry: DataFrame, facts: DataFrame, chunks: DataFrame, entity: str = "entity_id", text: str = "text", max_facts: int = 1000) -> DataFrame:
+    """entity, fact: pairs of a registered entity and a wanted fact (a term) that none of the entity's chunks mentions.
+
+    The facts (facts: fact) become part of the plan, so their number is checked; chunks are read once, without a join, and
+    only distinct pairs of an entity and a fact are exchanged.
+    """
+    terms = sorted(r["fact"] for r in facts.select(F.lower("fact").alias("fact")).where("fact is not null").distinct().limit(max_facts + 1).collect())
+    if len(terms) > max_facts:
+        raise ValueError(f"more than {max_facts} facts")
+    wanted = registry.select(entity).distinct().select(entity, F.explode(F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")).alias("fact"))
+    told = chunks.select(F.col(entity), F.explode(found_terms(F.lower(text), terms) if terms else F.array().cast("array<string>")).alias("fact")).distinct()
     return wanted.join(told, [entity, "fact"], "left_anti")

@@ -93,7 +93,11 @@ def test_boosts_and_alignment(spark, evaluate):
 def test_gaps_and_confusion(spark):
     chunks = spark.createDataFrame([("a", "The NAV is 5"), ("a", "exit load none"), ("b", None)], "entity_id string, text string")
     facts = spark.createDataFrame([("nav",), ("Exit load",)], "fact string")
-    assert sorted(map(tuple, evaluate.coverage_gaps(chunks, facts, chunks).collect())) == [("b", "exit load"), ("b", "nav")]
+    gaps = evaluate.coverage_gaps(chunks, facts, chunks)
+    assert sorted(map(tuple, gaps.collect())) == [("b", "exit load"), ("b", "nav")] and "NestedLoop" not in gaps._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        evaluate.coverage_gaps(chunks, facts, chunks, max_facts=1)
+    assert evaluate.coverage_gaps(chunks, facts.limit(0), chunks).collect() == []
     judged = spark.createDataFrame([(True, True), (True, False), (False, False)], "success boolean, entity_correct boolean")
     assert tuple(evaluate.confusion_rate(judged).first()) == (2, 50.0)
 
