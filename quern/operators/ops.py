@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def detect_changes(current: DataFrame, previous: DataFrame, force: bool = False) -> DataFrame:
-    """url, fingerprint, previous, status (new, changed, unchanged, failed) from (url, fingerprint); "" is a failed fetch."""
-    joined = current.select("url", "fingerprint").join(previous.select("url", F.col("fingerprint").alias("previous")), "url", "left")
+def detect_changes(current: DataFrame, previous: DataFrame, force: bool = False, by: tuple[str, ...] = ("url",)) -> DataFrame:
+    """url, fingerprint, previous, status (new, changed, unchanged, failed) from (url, fingerprint); "" is a failed fetch.
+
+    One row for each row of ``current``. ``by`` names what tells rows apart, where several have one url; of several
+    previous rows with one key the greatest fingerprint, or with ``last_checked`` the latest, is the known one.
+    """
+    known = F.max_by("fingerprint", F.struct("last_checked", "fingerprint")) if "last_checked" in previous.columns else F.max("fingerprint")
+    joined = current.select(*dict.fromkeys([*by, "url"]), "fingerprint").join(previous.groupBy(*by).agg(known.alias("previous")), list(by), "left")
     status = F.when(F.coalesce("fingerprint", F.lit("")) == "", "failed").when(F.col("previous").isNull(), "new")
     status = status.when((F.col("previous") != F.col("fingerprint")) | F.lit(force), "changed").otherwise("unchanged")
     return joined.withColumn("status", status)

@@ -1,11 +1,14 @@
 import datetime as dt
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import evaluate as ev
 from quern.operators import ops
 from quern.plans import answer, ingest
+from quern.plans import queries as core
 from quern.plans.answer import retrieve_and_gate
 from quern.sources import fetch
 from quern.sources import io as sio
@@ -23,6 +26,22 @@ def test_changes_and_state(spark):
     assert tuple(ops.change_summary(changes).first()) == (4, 2, 1, 1)
 
 
+def test_changes_of_pages_with_one_url(spark, tmp_path):
+    pages = [(1, "u", "a"), (2, "u", "b"), (3, "u", "c"), (5, "u", "d"), (7, "v", "e"), (10, "v", "f"), (11, None, "g")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("change_detection",):
+        assert Counter(map(tuple, core.QUERIES[name](spark, str(tmp_path)).collect())) == Counter(con.execute(core.SQL[name]).fetchall()), name
+
+
+def test_a_known_url_does_not_multiply_rows(spark):
+    cur = spark.createDataFrame([("a", "1"), ("a", "2")], "url string, fingerprint string")
+    t = dt.datetime(2024, 1, 1)
+    prev = spark.createDataFrame([("a", "9", t), ("a", "1", t + dt.timedelta(days=1))], "url string, fingerprint string, last_checked timestamp")
+    assert sorted((r["fingerprint"], r["status"]) for r in ops.detect_changes(cur, prev).collect()) == [("1", "unchanged"), ("2", "changed")]
+
+
 def test_gates(spark):
     texts = spark.createDataFrame([("x" * 200,), ("y" * 200,)], "text string")
     assert ops.text_gate(texts, "chunks", 100, 0.05, 2000, 0.1, duplicates=True).first()["status"] == "passed"
