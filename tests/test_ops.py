@@ -31,7 +31,7 @@ def test_changes_of_pages_with_one_url(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
-    for name in ("change_detection",):
+    for name in ("change_detection", "change_summary"):
         assert Counter(map(tuple, core.QUERIES[name](spark, str(tmp_path)).collect())) == Counter(con.execute(core.SQL[name]).fetchall()), name
 
 
