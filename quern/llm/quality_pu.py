@@ -7,13 +7,14 @@ binned surface statistics of whole texts is fitted in two steps:
 1. positives against unlabelled on one half of both sets; on the other half
    the class prior is the least ratio, over thresholds, of unlabelled to
    positive tail mass, with a confidence term;
-2. gradient descent on prior x R_p(+) + max(0, R_u(-) - prior x R_p(-)); when the
-   part under max is negative its gradient is followed upwards instead.
+2. Newton's steps to the least prior x R_p(+) + max(0, R_u(-) - prior x R_p(-)).
 
-The positives are a sample bounded by a parameter. Of the unlabelled documents
-counts by distinct bins, a dozen bytes each, reach the driver, so sums over them
-are sums over all documents. Beyond ``max_bins`` different rows of bins, bins are made
-coarser until there are fewer; no document goes uncounted.
+The positives are a sample bounded by a parameter. The unlabelled documents are
+counted by distinct bins, and every step sums over these counts where they are: one
+row of sums a task reaches the driver, so that sums are over all documents and no
+step depends on how many there are. A caller may ask for a fit on the driver instead,
+by gradient descent (upwards where that part is negative) over at most ``max_bins``
+rows of bins, made coarser until there are so few.
 
 Defined results: null text counts as empty; empty texts get a score like any
 other; labels of ids without a document and null labels and ids are left out; an
@@ -79,10 +80,6 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-#: Most different rows of bins on the driver, 12 bytes and a count each.
-MAX_BINS = 1_000_000
-
-
 def bins(stats: np.ndarray) -> np.ndarray:
     """Rows of statistics -> in each statistic, how many of its edges are reached."""
     return np.column_stack([np.searchsorted(np.array(edges), stats[:, k], side="right") for k, edges in enumerate(EDGES.values())]).astype(np.uint8)
@@ -216,8 +213,122 @@ def bounded(counts: DataFrame, most: int) -> DataFrame:
     return counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = 6_000, seed: str = "quality", max_bins: int = MAX_BINS) -> PuModel:
-    """``labels`` has only rows that may be learnt from; of these only those of value 1 are used. The unlabelled side is all of docs, as counts by at most ``max_bins`` rows of bins."""
+#: Of the distributed fit: the penalty on weights, most Newton steps, the change of weights under which they end, and halvings of the weight of the part under max.
+L2, ROUNDS, STILL, HALVINGS = 2e-2, 30, 1e-6, 10
+
+
+def _features(codes: np.ndarray) -> np.ndarray:
+    """Rows of bins as a 0/1 matrix: a constant, then the edges reached."""
+    return np.hstack([np.ones((len(codes), 1)), *[codes[:, k : k + 1] > np.arange(n)[None, :] for k, n in enumerate(_SIZES)]]).astype(np.float64)
+
+
+def _codes(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, len(EDGES))
+
+
+def _moments(counts: DataFrame, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of all counted rows: how many, the mean loss as negatives, its gradient and its Hessian. A task sends its sums only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, loss, g, h = 0.0, 0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))
+        for batch in pieces(batches, 4096):
+            x, n = _features(_codes(batch)), batch.column("n").to_numpy().astype(np.float64)
+            z = x @ w
+            s = _sigmoid(z)
+            total += n.sum()
+            loss += n @ np.logaddexp(0, z)
+            g += (n * s) @ x
+            h += (x * (n * s * (1 - s))[:, None]).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[total, loss], g, h.ravel()]).tobytes()], pa.binary())], ["m"])
+
+    sums = [np.frombuffer(m) for m in counts.mapInArrow(run, "m binary").toArrow().column("m").to_pylist()]
+    m = np.sum(sums, axis=0) if sums else np.zeros(2 + len(w) + len(w) ** 2)
+    n = max(1.0, m[0])
+    return m[0], m[1] / n, m[2 : 2 + len(w)] / n, m[2 + len(w) :].reshape(len(w), -1) / n
+
+
+def _newton(positive: np.ndarray, counts: DataFrame, prior: float | None) -> np.ndarray:
+    """The weights of least risk, over all counts where they are; prior None: the plain loss, as in _descend().
+
+    With the part under max, the risk is the greater of two convex ones, since the difference of both losses is linear.
+    So its least value has that part weighted by 1 if it stays positive, else by the weight in [0, 1] that makes it zero:
+    that weight is found by halving, and for each the weights by Newton's steps from the last ones. Weights are rounded,
+    so that the order of sums leaves no trace.
+    """
+    x = _features(positive)
+
+    def at(w: np.ndarray, share: float):
+        z = x @ w
+        s = _sigmoid(z)
+        plus, minus = np.logaddexp(0, -z).mean(), np.logaddexp(0, z).mean()
+        up, pu, hp = -((1 - s) @ x) / len(x), (s @ x) / len(x), (x * (s * (1 - s))[:, None]).T @ x / len(x)
+        _, loss, g, h = _moments(counts, w)
+        if prior is None:
+            part, value, g, h = 1.0, (plus + loss) / 2, (up + g) / 2, (hp + h) / 2
+        else:
+            part = loss - prior * minus
+            value, g, h = prior * plus + share * part, prior * up + share * (g - prior * pu), (1 - share) * prior * hp + share * h
+        return value + L2 / 2 * (w @ w), part, g + L2 * w, h + L2 * np.eye(len(w))
+
+    def least(w: np.ndarray, share: float) -> tuple[np.ndarray, float]:
+        value, part, g, h = at(w, share)
+        for _ in range(ROUNDS):
+            step = np.linalg.solve(h, g)
+            if np.abs(step).max() < STILL:
+                break
+            new = at(w - step, share)
+            while new[0] > value and np.abs(step).max() >= STILL:
+                step = step / 2
+                new = at(w - step, share)
+            w = w - step
+            value, part, g, h = new
+        return w, part
+
+    w, part = least(np.zeros(x.shape[1]), 1.0)
+    low, high = 0.0, 1.0
+    for _ in range(HALVINGS if part < 0 else 0):
+        share = (low + high) / 2
+        w, part = least(w, share)
+        low, high = (share, high) if part >= 0 else (low, share)
+    return np.round(w, 5)
+
+
+def _prior(positive: np.ndarray, counts: DataFrame, w: np.ndarray) -> float:
+    """estimate_prior() over the positives' scores as thresholds; unlabelled rows are counted between them in tasks."""
+    scores = np.round(_features(positive) @ w, 9)
+    cuts = np.unique(scores)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(cuts) + 1)
+        for batch in pieces(batches, 4096):
+            at = np.searchsorted(cuts, np.round(_features(_codes(batch)) @ w, 9), "right")
+            n += np.bincount(at, batch.column("n").to_numpy(), len(cuts) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], ["m"])
+
+    n = np.sum([np.frombuffer(m) for m in counts.mapInArrow(run, "m binary").toArrow().column("m").to_pylist()], axis=0)
+    return estimate_prior(scores, np.concatenate([[cuts[0] - 1], cuts]), counts=n)
+
+
+def fit_counts(positive: np.ndarray, counts: DataFrame) -> PuModel:
+    """From the positives' bins and all rows of counted(), which stay where they are: the driver has sums only, so no number of rows changes the way."""
+    counts = cut(counts)
+    first, second = (counts.where(F.col("half") == k) for k in (0, 1))
+    sizes = {r["half"]: r["n"] for r in counts.groupBy("half").agg(F.sum("n").alias("n")).collect()}  # two rows
+    if not len(positive) or not sizes:
+        return PuModel(np.zeros(1 + sum(_SIZES)), 0.5)
+    prior = 0.5
+    if len(positive) >= 4 and all(sizes.get(k, 0) >= 2 for k in (0, 1)):
+        prior = _prior(positive[1::2], second, _newton(positive[::2], first, None))
+    model = PuModel(_newton(positive, counts, prior), prior)
+    release(counts)
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = 6_000, seed: str = "quality", max_bins: int | None = None) -> PuModel:
+    """``labels`` has only rows that may be learnt from; of these only those of value 1 are used. The unlabelled side is all of docs, as counts by their bins.
+
+    These stay in tasks, by fit_counts(); with ``max_bins`` at most so many rows of coarser bins are fitted on the driver instead.
+    """
     lab = labels.where(F.col(id_col).isNotNull() & (F.col(label_col) == 1)).select(id_col).distinct()
     chosen = sampled(lab, id_col, max_positive, seed).select(F.col(id_col).alias("_id"))
     # Bounded by the sample's size: an id has one row after the aggregate.
@@ -228,9 +339,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     positive = positive[np.random.default_rng(3).permutation(len(positive))]
     if not len(positive):
         return fit_bins(positive, [(positive, np.ones(0))] * 2)
-    all_rows = bounded(counted(docs, id_col, text_col), max_bins).toArrow().sort_by([("half", "ascending"), ("bins", "ascending")])
-    half, n = all_rows.column("half").to_numpy(), all_rows.column("n").to_numpy()
-    codes = np.frombuffer(b"".join(all_rows.column("bins").to_pylist()), np.uint8).reshape(-1, len(EDGES))
+    all_rows = counted(docs, id_col, text_col)
+    if max_bins is None:
+        return fit_counts(positive, all_rows)
+    all_rows = bounded(all_rows, max_bins).toArrow().sort_by([("half", "ascending"), ("bins", "ascending")])
+    half, n, codes = all_rows.column("half").to_numpy(), all_rows.column("n").to_numpy(), _codes(all_rows)
     return fit_bins(positive, [(codes[half == k], n[half == k]) for k in (0, 1)])
 
 

@@ -273,3 +273,28 @@ def test_counts_are_bounded_on_the_driver(spark):
     assert fine.count() > 40 >= len(few) and sum(r["n"] for r in few) == 600
     labels = spark.createDataFrame([(k, 1) for k in range(0, 600, 9)], "doc_id long, quality int")
     assert pu.fit(docs, labels, max_bins=40).weights.shape == pu.fit(docs, labels).weights.shape
+
+
+def test_fit_takes_one_way_at_any_size(spark, monkeypatch):
+    from quern.llm import quality_pu as pu
+
+    def coarser(*_):
+        raise AssertionError("bins must not depend on the number of rows")
+
+    monkeypatch.setattr(pu, "bounded", coarser)
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(["a", "Bb", "c1", "d.", "e!"], rng.integers(1, 40)))) for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 300, 9)], "doc_id long, quality int")
+    a, b = pu.fit(docs, labels), pu.fit(docs.repartition(5), labels)
+    assert a.prior == b.prior and (a.weights == b.weights).all() and np.abs(a.weights).max() > 0.1
+
+    counts = pu.counted(docs)
+    rows = counts.collect()
+    codes, n = np.array([list(r["bins"]) for r in rows], np.uint8), np.array([r["n"] for r in rows])
+    u, w = pu.Binned(codes, n), rng.normal(0, 1, len(a.weights))
+    total, loss, g, h = pu._moments(counts, w)
+    s = 1 / (1 + np.exp(-u.dot(w)))
+    assert total == 300 and np.isclose(loss, u.mean(np.log1p(np.exp(u.dot(w))))) and np.allclose(g, u.mean_features(s))
+    e = np.zeros(len(w))
+    e[5] = 1e-6
+    assert np.allclose((pu._moments(counts, w + e)[2] - pu._moments(counts, w - e)[2]) / 2e-6, h[5], atol=1e-6)
