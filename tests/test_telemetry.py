@@ -40,3 +40,13 @@ def test_an_hour_made_again_replaces_itself_only(spark, events, tmp_path):
     got = tm.merged(tm.replace_hours(kept, again), "hour").select("hour", "n").collect()
     want = {r["h"]: r["n"] for r in day.where("minute(ts) < 30 or hour(ts) = 5").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {r["hour"]: r["n"] for r in got} == want and len(want) == 24
+
+
+def test_sketches_are_held_against_counts_without_exact_quantiles(spark, tmp_path):
+    from quern.plans import queries as core
+
+    rows = [(k, dt.datetime(2024, 1, 1, k % 24), k % 7 if k % 5 else None, "ab"[k % 2], None if k % 11 == 0 else float(k * 37 % 1000)) for k in range(2000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = core.latency_sketches(spark, str(tmp_path))
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()  # its cost grows with its accuracy
+    assert sorted(map(tuple, got.select("event_type", "n", "p50_holds", "p95_holds", "keys_hold").collect())) == [("a", 1000, True, True, True), ("b", 1000, True, True, True)]
