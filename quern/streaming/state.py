@@ -44,13 +44,13 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         came = [(int(ms), str(i), v) for part in rows for ms, i, v in zip(part["ms"], part["id"], part["value"])]
         self.waiting.appendList(came)
-        for ms in {r[0] for r in came}:
-            self.handle.registerTimer(ms)
-        yield self._frame([])
+        # One timer for the earliest row: when it expires, all rows that are ready are taken, and the next waiting one gets a timer.
+        self.handle.registerTimer(min(r[0] for r in came))
+        return iter(())
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         # Plain objects, whatever pandas takes strings for; the schema has their types.
-        return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=object) for k, c in enumerate(self.OUTPUT)})
+        return pd.DataFrame(rows, columns=self.OUTPUT, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
@@ -71,6 +71,7 @@ class _InOrder(StatefulProcessor):
         if ready:
             if later:
                 self.waiting.put(later)
+                self.handle.registerTimer(later[0][0])
             else:
                 self.waiting.clear()
         if state is None or (not later and now >= seen + self.idle_ms):
@@ -79,7 +80,10 @@ class _InOrder(StatefulProcessor):
             self.kept.update((*state, seen))
             if ready:
                 self.handle.registerTimer(seen + self.idle_ms)
-        yield self._frame(out)
+                if wake := self.wake(state):
+                    self.handle.registerTimer(wake)
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -87,6 +91,10 @@ class _InOrder(StatefulProcessor):
     def idle(self, key, state, now: int) -> tuple[tuple | None, list[tuple]]:
         return state, []
 
+    def wake(self, state) -> int:
+        """When idle() is to be asked again if no row comes before; 0 for never."""
+        return 0
+
 
 class _Retries(_InOrder):
     SCHEMA, VALUE = "n long, due long", "boolean"
@@ -109,12 +117,13 @@ class _Retries(_InOrder):
         n = (state[0] if state else 0) + 1
         delay = float(min(self.base * 2 ** min(n, 40), self.cap))
         due = ms + int(delay * 1000) if n < self.most else 0
-        if due:
-            self.handle.registerTimer(due)
         return (n, due), [*told, (op, i, ms, "attempt", n, delay, n < self.most)]
 
     idle = _due
 
+    def wake(self, state) -> int:
+        return state[1]
+
 
 def retry_timers(attempts: DataFrame, late: str = "10 minutes", base: int = 60, cap: int = 3600, most: int = 3, idle: int = 30 * 86_400) -> DataFrame:
     """op, id, ts, kind, attempt, delay_s, may_retry of a stream (op, id, ok, ts).

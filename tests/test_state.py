@@ -69,3 +69,48 @@ def test_changes_in_order_of_time(run):
     got = run(lambda x: st.change_states(x, "1 hour"), rows, "url string, id long, fingerprint string, ts timestamp").collect()
     told = {(r["url"], int(r["id"])): (r["status"], r["fingerprint"]) for r in got if r["url"] != "end"}
     assert told == {("u", 1): ("new", "x"), ("u", 2): ("unchanged", "x"), ("u", 3): ("failed", "x"), ("u", 4): ("changed", "y"), ("u", 5): ("unchanged", "y"), ("u", 6): ("new", "y"), ("v", 1): ("failed", ""), ("v", 2): ("new", "z")}
+
+
+def test_a_key_has_one_timer_for_its_waiting_rows():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from quern.streaming import state
+
+    class Value:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def clear(self):
+            self.value = None
+
+        def appendList(self, rows):  # noqa: N802
+            self.value = [*(self.value or []), *rows]
+
+    timers = []
+    handle = SimpleNamespace(getValueState=lambda *_: Value(), getListState=lambda *_: Value(), registerTimer=timers.append)
+    p = state._Retries(10**9, 60, 3600, 3)
+    p.init(handle)
+    ms = [(k * 7919) % 1000 * 1000 for k in range(1000)]
+    list(p.handleInputRows(("k",), iter([pd.DataFrame({"ms": ms, "id": [str(k) for k in range(1000)], "value": [False] * 1000})]), None))
+    assert timers == [0]
+    got = []
+    for now in (400_500, 2_000_000):
+        assert min(timers) <= now
+        timers.clear()
+        for part in p.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now), None):
+            got += part[part["kind"] == "attempt"][["ms", "attempt"]].values.tolist()
+        assert len(timers) <= 3
+    assert got == [[k * 1000, k + 1] for k in range(1000)]
