@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quern.functions.slices import sliced
 from quern.functions.text import tokens
 
 
@@ -31,20 +31,15 @@ def hash_encoder(dim: int = 384):
     Any UDF of the same shape (string -> array<float>) takes its place.
     """
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                v = np.zeros(dim, np.float32)
-                for w in (t or "").lower().split():
-                    h = crc32(w.encode("utf-8", "surrogatepass"))
-                    v[h % dim] += 1 if h & 0x80000000 else -1
-                n = float(np.linalg.norm(v))
-                out.append(v / n if n else v)
-            yield pd.Series(out)
-
-    return encode
+    def encode(text: str | None) -> np.ndarray:
+        v = np.zeros(dim, np.float32)
+        for w in (text or "").lower().split():
+            h = crc32(w.encode("utf-8", "surrogatepass"))
+            v[h % dim] += 1 if h & 0x80000000 else -1
+        n = float(np.linalg.norm(v))
+        return v / n if n else v
+
+    return sliced(encode, T.ArrayType(T.FloatType()))
 
 
 def overlap_score(query: Column, text: Column) -> Column:
