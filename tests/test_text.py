@@ -187,3 +187,21 @@ def test_breaks_and_headings():
     assert [(s["heading"], s["content"]) for s in sections_of(html)] == [("One", ["x", "y", "z"]), ("Last", [])]
     assert [(s["heading"], s["content"]) for s in sections_of(html, inline=True)] == [("One", ["x", "y"]), ("Foo bar", ["z"]), ("Last", [])]
     assert [s["content"] for s in sections_of("<p>a<b>b</b>c</p>", inline=True)] == [["abc"]]
+
+
+def test_udfs_hold_a_slice_of_a_batch(spark):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from quern.functions import html, tables
+    from quern.functions.slices import sliced
+    from quern.functions.vectors import hash_encoder
+
+    for udf in (hash_encoder(8), html._strict, html._inline, tables._cells):
+        parts = list(udf.func(iter([pa.array(["<p>x</p>"] * 1000)])))
+        assert sum(map(len, parts)) == 1000 and max(map(len, parts)) <= 64
+    rows = spark.range(1000, numPartitions=1).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("a. "), F.col("id").cast("string"))).alias("t"))
+    got = [r["x"] for r in rows.select(sliced(lambda t: t and t + "!", T.StringType(), 3)(F.col("t")).alias("x")).collect()]
+    assert got == [None if k % 7 == 0 else f"a. {k}!" for k in range(1000)]
+    both = rows.select("t", tx.chunks(F.col("t")).alias("c"), hash_encoder(8)(F.col("t")).alias("v")).collect()
+    assert all(r["c"] == (None if r["t"] is None else [r["t"]]) and len(r["v"]) == 8 for r in both)
