@@ -18,14 +18,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.retrieval import _best, _matrix, dense_topk, ranked
+from quern.operators.retrieval import _NOWHERE, _best, _matrix, dense_topk, ranked
 
-#: Rows of a slice, and queries that meet it at once.
-SLICE, QUERIES = 50_000, 10_000
+#: Rows of a slice, and queries that meet it at once; rows of either that are compared at once.
+SLICE, QUERIES, ROWS = 16_384, 10_000, 2048
 #: Most lists: their directions travel to the tasks (at 384 dimensions 12 MB).
 MAX_LISTS = 4096
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows: what is made of a row is as long as there are lists."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
@@ -40,7 +47,7 @@ def directions(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 7)
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
     for _ in range(rounds):
-        at = (x @ c.T).argmax(1)
+        at = np.concatenate([(x[lo : lo + 512] @ c.T).argmax(1) for lo in range(0, len(x), 512)])
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
         used = (sums != 0).any(1)
@@ -71,7 +78,7 @@ def write_vectors(corpus: DataFrame, path: str, chunk_id: str = "chunk_id", vect
     kind = rows.schema["chunk_id"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 512):
             if batch.num_rows:
                 cosine = _unit(_matrix(batch.column(1))) @ c.T
                 at = cosine.argmax(1)
@@ -113,8 +120,12 @@ def _found(k: int):
             ids = queries.column("query_id").combine_chunks()
             for lo in range(0, len(q), 256):
                 part = slice(lo, lo + 256)
-                s = np.round(q[part] @ c.T / (q_norm[part, None] * c_norm[None, :] + 1e-8), 12)
-                best, at = _best(s, np.broadcast_to(place, s.shape), min(k, s.shape[1]))
+                n = len(q[part])
+                best, at = np.full((n, k), -np.inf), np.full((n, k), _NOWHERE)
+                for row in range(0, len(c), ROWS):
+                    some = slice(row, row + ROWS)
+                    s = np.round(q[part] @ c[some].T / (q_norm[part, None] * c_norm[None, some] + 1e-8), 12)
+                    best, at = _best(np.hstack([best, s]), np.hstack([at, np.broadcast_to(place[some], s.shape)]), k)
                 row, col = np.nonzero(best > -np.inf)
                 out.append(pa.table([ids.take(pa.array(row + lo)), named.take(pa.array(at[row, col])), pa.array(best[row, col])], ["query_id", "chunk_id", "score"]))
         if out:
@@ -145,7 +156,7 @@ def search_vectors(queries: DataFrame, path: str, k: int = 10, query_id: str = "
         """The nearest lists, or with the k-th score as third column all further ones that may have a better row."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches, 512):
                 if not batch.num_rows:
                     continue
                 q = _matrix(batch.column(1))

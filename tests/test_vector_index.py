@@ -60,3 +60,21 @@ def test_empty_and_other_dimensions(spark, tables, tmp_path):
     assert vi.search_vectors(asked, f"{tmp_path}/s", 10).where("query_id = 0").count() == 2
     with pytest.raises(Exception, match="dimension|matmul"):
         vi.search_vectors(asked.withColumn("embedding", F.slice("embedding", 1, 3)), f"{tmp_path}/s").collect()
+
+
+def test_a_slice_is_compared_in_bounded_parts(monkeypatch):
+    import pyarrow as pa
+
+    from quern.sources import vector_index as vi
+
+    rng = np.random.default_rng(4)
+    c, q = rng.normal(size=(7000, 6)).round(1), rng.normal(size=(300, 6)).round(1)
+    ids = rng.permutation(7000)
+    wide, best = [], vi._best
+    monkeypatch.setattr(vi, "_best", lambda s, *a: wide.append(s.shape) or best(s, *a))
+    table = lambda name, i, v: pa.table({name: pa.array(i), "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
+    got = vi._found(5)(table("chunk_id", ids, c), table("query_id", np.arange(300), q)).to_pylist()
+    s = np.round(q @ c.T / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1))[None, :] + 1e-8), 12)
+    want = {(n, int(ids[j])) for n in range(300) for j in np.lexsort((ids, -s[n]))[:5]}
+    assert {(r["query_id"], r["chunk_id"]) for r in got} == want and len(got) == 1500
+    assert max(a * b for a, b in wide) <= 256 * (2048 + 5)
