@@ -35,6 +35,15 @@ def test_changes_of_pages_with_one_url(spark, tmp_path):
         assert Counter(map(tuple, core.QUERIES[name](spark, str(tmp_path)).collect())) == Counter(con.execute(core.SQL[name]).fetchall()), name
 
 
+def test_changes_of_pages_without_html(spark, tmp_path):
+    pages = [(k, f"u{k % 4}", None if k % 2 else f"h{k}") for k in range(1, 31)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("change_detection", "change_summary"):
+        assert Counter(map(tuple, core.QUERIES[name](spark, str(tmp_path)).collect())) == Counter(con.execute(core.SQL[name]).fetchall()), name
+
+
 def test_a_known_url_does_not_multiply_rows(spark):
     cur = spark.createDataFrame([("a", "1"), ("a", "2")], "url string, fingerprint string")
     t = dt.datetime(2024, 1, 1)
