@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,38 @@ def test_bm25_matches_formula(spark):
     assert {r["chunk_id"]: r["score"] for r in rt.bm25_scores(q, d).collect()} == pytest.approx(want, abs=2e-6)
 
 
+def test_bm25_reads_the_documents_twice(spark):
+    """Once to count, once to score."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    texts = ["a b c a", "b b d", "a e", "b", "f g h i j", "", None, "B c"]
+    plain = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").repartition(3)
+    q = spark.createDataFrame([(1, "a b b"), (2, "c zz b"), (3, ""), (None, "a")], "query_id long, query string")
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in rt.bm25_topk(q, plain.withColumn("text", seen("text")), 8).collect()}
+    assert read.value <= 2 * len(texts)
+    assert got == pytest.approx({(r["query_id"], r["chunk_id"]): r["score"] for r in rt.bm25_scores(q.where("query_id is not null"), plain).where("score > 0").collect()}, abs=2e-6)
+
+
+def test_token_counts_leave_a_task_in_parts(monkeypatch):
+    rng = random.Random(4)
+    lists = [[f"w{rng.randint(0, 9)}" for _ in range(rng.randint(0, 6))] for _ in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(lists[k : k + 5], pa.list_(pa.string()))], ["said"]) for k in range(0, 40, 5)]
+    want = Counter(w for x in lists for w in x)
+    for held in (2, 12, 1000):
+        monkeypatch.setattr(rt, "_COUNTS_HELD", held)
+        parts = [r for b in rt._token_counts(iter(batches)) for r in b.to_pylist()]
+        got = Counter()
+        for r in parts:
+            got[r["token"]] += r["n"]
+        assert got == want and (len(parts) == len(want)) == (held > 100)
+    assert list(rt._token_counts(iter([]))) == []
+
+
 def test_rrf_weights_and_missing_side(spark):
     dense = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, chunk_id long, rank int")
     sparse = spark.createDataFrame([(1, 11, 1)], "query_id long, chunk_id long, rank int")
