@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.operators import resolve as rs
 from quern.operators import retrieval as rt
 from quern.operators.ranking import distributed_rank
+from quern.plans import queries as core
 
 
 def test_dense_topk_matches_brute_force_with_ties(spark):
@@ -65,6 +67,31 @@ def test_bm25_reads_the_documents_twice(spark):
     assert got == pytest.approx({(r["query_id"], r["chunk_id"]): r["score"] for r in rt.bm25_scores(q.where("query_id is not null"), plain).where("score > 0").collect()}, abs=2e-6)
 
 
+def test_bm25_query_asks_every_benchmark_row(spark, tmp_path):
+    """Ids that 20 does not divide are asked, too; against brute force and the query's SQL."""
+    texts = {1: "a b c a", 2: "b b d", 3: "a e", 4: "F g h i j", 5: "", 7: "d e", 8: "A e"}
+    asked = {0: "a b b", 1: "g", 7: "d e", 19: "zz", 20: "c a", 41: "E", -3: "h b", 43: None, None: "a"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(asked.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    toks = {i: t.lower().split() for i, t in texts.items()}
+    df, avgdl = Counter(w for t in toks.values() for w in set(t)), sum(map(len, toks.values())) / len(texts)
+    raw = {w: math.log(len(texts) - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    want = set()
+    for q, text in asked.items():
+        if q is None or text is None:
+            continue
+        score = {i: round(sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avgdl)) for w in text.lower().split() if w in t), 6) for i, t in toks.items()}
+        best = sorted((i for i in score if score[i] > 0), key=lambda i: (-score[i], i))[:10]
+        want |= {(q, i, score[i], n) for n, i in enumerate(best, 1)}
+    got = sorted(map(tuple, core.bm25_topk(spark, str(tmp_path)).collect()))
+    assert got == sorted(want) and {q for q, *_ in got} == {0, 1, 7, 20, 41, -3}
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(con.execute(core.SQL["bm25_topk"]).fetchall())
+
+
 def test_token_counts_leave_a_task_in_parts(monkeypatch):
     rng = random.Random(4)
     lists = [[f"w{rng.randint(0, 9)}" for _ in range(rng.randint(0, 6))] for _ in range(40)]
